@@ -174,25 +174,30 @@ def _squash_replace(log: DataFrame) -> DataFrame:
     )
 
 
+def _net(log: DataFrame, attributes: str) -> DataFrame:
+    if attributes not in ("merge", "replace"):
+        raise ValueError("attributes must be 'merge' or 'replace'")
+    net = _squash_merge(log) if attributes == "merge" else _squash_replace(log)
+    return net.withColumn("action", F.coalesce(F.col("life.action"), F.lit(UPDATE)))
+
+
 def squash_entities(log: DataFrame, attributes: str = "merge") -> DataFrame:
     """One net entry per entity: CREATE, UPDATE or DELETE with the combined attributes.
 
     A CREATE keeps its own time, a run of UPDATEs takes the latest, a DELETE
     clears what came before it.
     """
-    if attributes not in ("merge", "replace"):
-        raise ValueError("attributes must be 'merge' or 'replace'")
-    net = _squash_merge(log) if attributes == "merge" else _squash_replace(log)
     lived = F.col("life").isNotNull()
     pick = lambda f: F.when(lived, F.col(f"life.{f}")).otherwise(F.col(f"entry.{f}")).alias(f)
-    return net.select(
-        *ENTITY,
-        F.coalesce(F.col("life.action"), F.lit(UPDATE)).alias("action"),
-        pick("ts"),
-        pick("seq"),
-        pick("src"),
-        pick("dst"),
-        "attributes",
+    return _net(log, attributes).select(
+        *ENTITY, "action", pick("ts"), pick("seq"), pick("src"), pick("dst"), "attributes"
+    )
+
+
+def _changes(log: DataFrame, attributes: str) -> DataFrame:
+    """Net entries for a state. Only a CREATE brings ends, so those of UPDATEs are not looked up."""
+    return _net(log, attributes).select(
+        *ENTITY, "action", F.col("life.src").alias("src"), F.col("life.dst").alias("dst"), "attributes"
     )
 
 
@@ -218,7 +223,7 @@ def net_actions(log: DataFrame) -> DataFrame:
 
 def create_graph_from_logs(log: DataFrame, attributes: str = "merge") -> DataFrame:
     """State after the whole log, starting from nothing."""
-    return conform(squash_entities(log, attributes).where(F.col("action") == CREATE), STATE)
+    return conform(_changes(log, attributes).where(F.col("action") == CREATE), STATE)
 
 
 def state_at(log: DataFrame, t, attributes: str = "merge") -> DataFrame:
@@ -232,6 +237,7 @@ def apply_squashed(state: DataFrame, net: DataFrame, attributes: str = "merge")
     A net CREATE brings its own attributes and needs nothing of the old state; only
     UPDATE and DELETE look it up. That lookup is a left join, so when the net
     entries are few Spark sends them to the state and leaves the state in place.
+    Both uses of the net entries need the same columns and share one exchange.
     """
     fresh = conform(net.where(F.col("action") == CREATE), STATE)
     change = net.select(*ENTITY, "action", F.col("attributes").alias("newer"))
@@ -248,7 +254,7 @@ def apply_squashed(state: DataFrame, net: DataFrame, attributes: str = "merge")
 
 def apply_logs(state: DataFrame, log: DataFrame, attributes: str = "merge") -> DataFrame:
     """State after applying a range of the log to an earlier state."""
-    return apply_squashed(state, squash_entities(log, attributes), attributes)
+    return apply_squashed(state, _changes(log, attributes), attributes)
 
 
 def apply_vertex_logs(state: DataFrame, log: DataFrame, attributes: str = "merge") -> DataFrame:

@@ -17,7 +17,9 @@ from ..schema import ATTRIBUTE_INTERVALS, CREATE, EDGE, ENTITY, INTERVALS, ORDER
 from .changelog import is_lifecycle
 from .ordered import OrderedRows
 
-_FROM, _TO = F.col("valid_from"), F.col("valid_to")
+
+def _bounds() -> tuple[Column, Column]:
+    return F.col("valid_from"), F.col("valid_to")
 
 
 def _is_live(action: Column, last_lifecycle: Column) -> Column:
@@ -115,18 +117,18 @@ def _states(intervals: DataFrame, keep: Column) -> DataFrame:
 
 def snapshot_validity(intervals: DataFrame, t) -> DataFrame:
     """State at a time: rows with from <= t < to."""
-    return _states(intervals, half_open_contains(_FROM, _TO, t))
+    return _states(intervals, half_open_contains(*_bounds(), t))
 
 
 def snapshot_validity_left_open(intervals: DataFrame, t) -> DataFrame:
     """Rows with from < t <= to, with all their columns."""
-    return intervals.where(left_open_contains(_FROM, _TO, t))
+    return intervals.where(left_open_contains(*_bounds(), t))
 
 
 def entity_at_validity(intervals: DataFrame, entity_type: str, id_: int, t) -> DataFrame:
     """The state of one entity at a time: one row, or none."""
     named = (F.col("entity_type") == entity_type) & (F.col("id") == id_)
-    return _states(intervals.where(named), half_open_contains(_FROM, _TO, t))
+    return _states(intervals.where(named), half_open_contains(*_bounds(), t))
 
 
 def vertex_at_validity(intervals: DataFrame, id_: int, t) -> DataFrame:
@@ -143,7 +145,7 @@ def neighbours_validity(intervals: DataFrame, vertex: int, start=None, stop=None
     return (
         _presence(intervals)
         .where((F.col("entity_type") == EDGE) & ((src == vertex) | (dst == vertex)))
-        .where(touches(_FROM, _TO, start, stop))
+        .where(touches(*_bounds(), start, stop))
         .select(other_end(src, dst, vertex).alias("id"))
         .distinct()
     )
@@ -167,16 +169,17 @@ def activated_validity(
     if mode == "net_create":
         if not is_merged(intervals):
             raise ValueError("net_create needs lives: build the intervals with attribute_intervals")
-        inside = within(_FROM, start, stop)
+        begins, ends = _bounds()
+        inside = within(begins, start, stop)
         if stop is not None:
-            inside = inside & (_TO.isNull() | (_TO > instant(stop)))
+            inside = inside & (ends.isNull() | (ends > instant(stop)))
         else:
-            inside = inside & _TO.isNull()
+            inside = inside & ends.isNull()
         return _presence(intervals).where(inside).select(*ENTITY)
     if mode != "first_activation":
         raise ValueError("mode must be 'first_activation' or 'net_create'")
     # Later rows cannot move a first start into the interval, so the scan stops at its end.
-    rows = _presence(intervals).where(within(_FROM, None, stop))
+    rows = _presence(intervals).where(within(F.col("valid_from"), None, stop))
     return (
         rows.groupBy(*ENTITY)
         .agg(F.min("valid_from").alias("first"))
