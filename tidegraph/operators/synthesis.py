@@ -99,9 +99,16 @@ def sort_by_mode(df: DataFrame, mode: str, weight: str = "degree", key: str = "i
     return df.orderBy(*_mode_order(mode, weight, key, seed))
 
 
+def ranked_by_mode(
+    df: DataFrame, mode: str, weight: str = "degree", key: str = "id", seed: int = 0, name: str = "position"
+) -> DataFrame:
+    """Rows with their place in the order of ``mode``, counted from 0."""
+    return dense_index(df, _mode_order(mode, weight, key, seed), name)
+
+
 def _paired(df: DataFrame, weight: str, key: str, distribution: Distribution, mode: str, seed: int) -> DataFrame:
     """Give the k-th smallest draw to the k-th row in the order of ``mode``."""
-    ranked = dense_index(df, _mode_order(mode, weight, key, seed), "__rank")
+    ranked = ranked_by_mode(df, mode, weight, key, seed, "__rank")
     drawn = draw_counts(df.select(key), [key], distribution, seed)
     draws = dense_index(drawn, ["updates", key], "__rank").select("__rank", "updates")
     return ranked.join(draws, "__rank").drop("__rank")

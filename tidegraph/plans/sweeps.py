@@ -15,11 +15,11 @@ from ..operators import graph as g
 from ..operators import snapshots as sn
 from ..operators.changelog import indexed_log, log_timestamp_quantiles, nth_log_timestamp
 from ..operators.ordered import dense_index
-from ..schema import ENTITY
+from ..schema import CREATE, EDGE, ENTITY, VERTEX
 from .temporal_graph import IntervalGraph, SnapshotGraph, TemporalGraph
 
 
-def _together(frames: Iterable[DataFrame]) -> DataFrame:
+def together(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
@@ -47,7 +47,7 @@ def over_log_sizes(logs: dict[str, DataFrame], ask: Ask) -> DataFrame:
         entries = indexed.count()
         for model, graph in both_models(log, entries).items():
             rows.append(_found(ask(graph, indexed), log=name, model=model, entries=entries))
-    return _together(rows)
+    return together(rows)
 
 
 def neighbours_all_time(logs: dict[str, DataFrame], vertex: int) -> DataFrame:
@@ -83,6 +83,17 @@ def activated_first_half(logs: dict[str, DataFrame]) -> DataFrame:
     return over_log_sizes(logs, ask)
 
 
+def four_questions(logs: dict[str, DataFrame], vertex: int) -> DataFrame:
+    """The four questions above on the same logs, labelled by question."""
+    answers = {
+        "neighbours": neighbours_all_time(logs, vertex),
+        "snapshot": snapshot_early(logs),
+        "entity": entity_early(logs, VERTEX, vertex),
+        "activated": activated_first_half(logs),
+    }
+    return together(df.withColumn("question", F.lit(name)) for name, df in answers.items())
+
+
 def snapshot_near_materialisation(
     log: DataFrame, every_actions: int, offsets: Iterable[int], attributes: str = "merge"
 ) -> DataFrame:
@@ -94,7 +105,7 @@ def snapshot_near_materialisation(
     model = sn.snapshots_by_count(log, every_actions, attributes)
     hits = indexed.where(F.col("position").isin(list(places))).select("position", "ts").collect()
     times = {places[r["position"]]: r["ts"] for r in hits}
-    return _together(_found(sn.snapshot_delta(model, times[o]), offset=o) for o in offsets if o in times)
+    return together(_found(sn.snapshot_delta(model, times[o]), offset=o) for o in offsets if o in times)
 
 
 def _share_times(log: DataFrame, parts: int) -> list:
@@ -119,13 +130,13 @@ def neighbours_by_share(log: DataFrame, vertex: int, parts: int = 21) -> DataFra
     times = _share_times(log, parts)
     src, dst = F.col("src"), F.col("dst")
     other = F.when(dst == vertex, src).otherwise(dst).alias("id")
-    touching = (F.col("entity_type") == "EDGE") & ((src == vertex) | (dst == vertex))
+    touching = (F.col("entity_type") == EDGE) & ((src == vertex) | (dst == vertex))
     lives = IntervalGraph.from_log(log).intervals.where(F.col("key").isNull() & touching)
     from_lives = lives.groupBy(other).agg(F.min("valid_from").alias("first"))
-    created = log.where(touching & (F.col("action") == "CREATE"))
+    created = log.where(touching & (F.col("action") == CREATE))
     from_log = created.groupBy(other).agg(F.min("ts").alias("first"))
     first = F.col("first")
-    return _together(
+    return together(
         [
             _counted_up_to(from_lives, first, "intervals", times),
             _counted_up_to(from_log, first, "snapshots", times),
@@ -138,10 +149,10 @@ def activated_by_share(log: DataFrame, parts: int = 21) -> DataFrame:
     times = _share_times(log, parts)
     lives = IntervalGraph.from_log(log).intervals.where(F.col("key").isNull())
     from_lives = lives.groupBy(*ENTITY).agg(F.min("valid_from").alias("first"))
-    created = log.where(F.col("action") == "CREATE")
+    created = log.where(F.col("action") == CREATE)
     from_log = created.groupBy(*ENTITY).agg(F.min("ts").alias("first"))
     first = F.col("first")
-    return _together(
+    return together(
         [
             _counted_up_to(from_lives, first, "intervals", times),
             _counted_up_to(from_log, first, "snapshots", times),
@@ -156,7 +167,7 @@ def neighbours_by_degree(log: DataFrame, edges: DataFrame, steps: int = 20) -> D
     places = {int(i / steps * (size - 1)) for i in range(steps)} if size else set()
     chosen = ranked.where(F.col("position").isin(sorted(places))).select("id", "degree")
     # As many vertices as steps, so this side is small.
-    touching = log.where((F.col("entity_type") == "EDGE") & (F.col("action") == "CREATE")).select(
+    touching = log.where((F.col("entity_type") == EDGE) & (F.col("action") == CREATE)).select(
         F.inline(
             F.array(
                 F.struct(F.col("src").alias("id"), F.col("dst").alias("neighbour")),
@@ -176,4 +187,4 @@ def entity_by_spacing(
     for spacing in spacings:
         model = sn.snapshots_by_count(log, spacing, attributes)
         rows.append(_found(sn.entity_at_delta(model, entity_type, id_, t), spacing=spacing))
-    return _together(rows)
+    return together(rows)
