@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import attributes as at
 from ..functions import intervals as iv
 from ..functions import text as tx
-from ..functions.attributes import attributes_text, merge_attributes, other_end, surrogate_id
+from ..functions.attributes import attributes_text, other_end, surrogate_id
 from ..functions.times import epoch_seconds, even_timestamps_per_row, seconds_to_ts
 from ..operators import changelog as cl
 from ..operators import topology as tp
@@ -356,7 +357,7 @@ def merge_attributes(spark, sf):
     newer = F.when(status == "P", F.create_map().cast("map<string,string>")).otherwise(
         F.create_map(F.lit("pri"), priority)
     )
-    merged = F.translate(attributes_text(merge_attributes(base, newer)), ";", "|")
+    merged = F.translate(attributes_text(at.merge_attributes(base, newer)), ";", "|")
     return samples.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), merged.alias("merged"))
 
 

@@ -347,7 +347,7 @@ def earliest_payload(spark, sf):
 
 
 def _logs(spark, sf):
-    return {"users": users(spark, sf), "edges": edges(spark, sf)}
+    return {"users": sweeps.prepared(users(spark, sf)), "edges": sweeps.prepared(edges(spark, sf))}
 
 
 def _sizes_sql(parts: dict[str, str]) -> str:

@@ -172,7 +172,8 @@ def q9_correlation_modes(spark, sf):
     logs = {}
     for mode in ("negative", "uniform", "positive"):
         path = new_path(spark, f"log-{mode}")
-        logs[mode] = store.load_or_generate_changelog(spark, path, lambda m=mode: generated_log(spark, sf, mode=m))
+        log = store.load_or_generate_changelog(spark, path, lambda m=mode: generated_log(spark, sf, mode=m))
+        logs[mode] = sweeps.prepared(log, keep=True)
     return sweeps.four_questions(logs, 7)
 
 
@@ -182,5 +183,6 @@ def q1_to_q4_distributions(spark, sf):
     logs = {}
     for d in (_LOGNORMAL, _UNIFORM, _GAUSSIAN):
         path = new_path(spark, f"log-{d.kind}")
-        logs[d.kind] = store.load_or_generate_changelog(spark, path, lambda x=d: generated_log(spark, sf, x))
+        log = store.load_or_generate_changelog(spark, path, lambda x=d: generated_log(spark, sf, x))
+        logs[d.kind] = sweeps.prepared(log, keep=True)
     return sweeps.four_questions(logs, 7)

@@ -196,7 +196,10 @@ def squash_entities(log: DataFrame, attributes: str = "merge") -> DataFrame:
 
 def _changes(log: DataFrame, attributes: str) -> DataFrame:
     """Net entries for a state. Only a CREATE brings ends, so those of UPDATEs are not looked up."""
-    return _net(log, attributes).select(
+    # Stated here because a join would add it on its side only, and then the two
+    # uses of the result would no longer share an exchange.
+    named = log.where(F.col("entity_type").isNotNull() & F.col("id").isNotNull())
+    return _net(named, attributes).select(
         *ENTITY, "action", F.col("life.src").alias("src"), F.col("life.dst").alias("dst"), "attributes"
     )
 

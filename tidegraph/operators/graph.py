@@ -77,8 +77,7 @@ def map_edges(graph: PropertyGraph, value: Column) -> PropertyGraph:
 
 def reverse_graph(graph: PropertyGraph) -> PropertyGraph:
     """Flip every edge."""
-    flipped = graph.edges.withColumnsRenamed({"src": "dst", "dst": "src"}).select(*graph.edges.columns)
-    return replace(graph, edges=flipped)
+    return replace(graph, edges=graph.edges.withColumns({"src": F.col("dst"), "dst": F.col("src")}))
 
 
 def triplets(graph: PropertyGraph) -> DataFrame:

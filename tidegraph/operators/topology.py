@@ -43,28 +43,39 @@ def contacts_raw_graph(contacts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ends.distinct(), contacts
 
 
-def merge_contacts(
+def contacts_in_sessions(
     contacts: DataFrame, threshold, time: str = "ts", hot_rows: int | None = None
 ) -> DataFrame:
-    """Merge contacts of a pair into sessions.
-
-    A contact continues the session of the pair's previous contact when the gap is
-    at most ``threshold`` (seconds for a timestamp). One row per session, from its
-    first to its last contact.
-    """
+    """Each pair and contact time with the start of the session it belongs to (``valid_from``)."""
     unique = _unique(contacts, time)
     limit = _limit(unique, time, threshold)
     opens = F.col("__previous").isNull() | (_gap(unique, time, "__previous") > limit)
-    sessions = (
+    return (
         OrderedRows.of(unique, PAIR, [time], hot_rows)
         .with_values(lag={"__previous": F.col(time)})
         .map(lambda df: df.withColumn("__opened", F.when(opens, F.col(time))))
         .with_values(before={"__since": F.col("__opened")})
         .rows()
+        .select(*PAIR, time, "contacts", F.coalesce("__opened", "__since").alias("valid_from"))
     )
+
+
+def merge_contacts(
+    contacts: DataFrame, threshold, time: str = "ts", hot_rows: int | None = None
+) -> DataFrame:
+    """Merge contacts of a pair into sessions.
+
+    A contact continues the session of the pair's previous contact when the gap is
+    at most ``threshold`` (seconds for a timestamp). One row per session, from its
+    first to its last contact.
+    """
+    return sessions_of(contacts_in_sessions(contacts, threshold, time, hot_rows), time)
+
+
+def sessions_of(members: DataFrame, time: str = "ts") -> DataFrame:
+    """One row per session from its contacts."""
     return (
-        sessions.withColumn("valid_from", F.coalesce("__opened", "__since"))
-        .groupBy(*PAIR, "valid_from")
+        members.groupBy(*PAIR, "valid_from")
         .agg(F.max(time).alias("valid_to"), F.sum("contacts").alias("contacts"))
         .select(*PAIR, "valid_from", "valid_to", "contacts")
     )

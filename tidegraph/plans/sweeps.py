@@ -7,6 +7,7 @@ can be compared; how long a setting takes is for the caller to measure.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,6 +17,7 @@ from ..operators import snapshots as sn
 from ..operators.changelog import indexed_log, log_timestamp_quantiles, nth_log_timestamp
 from ..operators.ordered import dense_index
 from ..schema import CREATE, EDGE, ENTITY, VERTEX
+from ..storage import new_path
 from .temporal_graph import IntervalGraph, SnapshotGraph, TemporalGraph
 
 
@@ -28,29 +30,52 @@ def _found(answer: DataFrame, **labels) -> DataFrame:
     return answer.agg(F.count(F.lit(1)).alias("found")).select(*tags, "found")
 
 
-def both_models(log: DataFrame, entries: int, attributes: str = "merge") -> dict[str, TemporalGraph]:
-    """The two models of a log; the snapshots are a tenth of the log apart."""
-    return {
-        "intervals": IntervalGraph.from_log(log, attributes),
-        "snapshots": SnapshotGraph.from_log(log, every_actions=max(entries // 10, 1), attributes=attributes),
-    }
+@dataclass(frozen=True)
+class Prepared:
+    """A log with its entries numbered, and both models of it."""
+
+    indexed: DataFrame
+    entries: int
+    models: dict[str, TemporalGraph]
+
 
+def prepared(log: DataFrame, attributes: str = "merge", keep: bool = False) -> Prepared:
+    """Both models of a log; the snapshots are a tenth of the log apart.
 
+    ``keep`` stores the models, which pays when several questions follow.
+    """
+    spark = log.sparkSession
+    indexed = indexed_log(log)
+    entries = indexed.count()
+    models: dict[str, TemporalGraph] = {
+        "intervals": IntervalGraph.from_log(log, attributes),
+        "snapshots": SnapshotGraph.from_log(indexed, every_actions=max(entries // 10, 1), attributes=attributes),
+    }
+    if keep:
+        paths = {name: new_path(spark, name) for name in models}
+        for name, model in models.items():
+            model.save(paths[name])
+        models = {
+            "intervals": IntervalGraph.load(spark, paths["intervals"], attributes),
+            "snapshots": SnapshotGraph.load(spark, paths["snapshots"], attributes),
+        }
+    return Prepared(indexed, entries, models)
+
+
+Logs = dict[str, Prepared]
 Ask = Callable[[TemporalGraph, DataFrame], DataFrame]
 
 
-def over_log_sizes(logs: dict[str, DataFrame], ask: Ask) -> DataFrame:
+def over_log_sizes(logs: Logs, ask: Ask) -> DataFrame:
     """Ask both models of each log; one row per log and model with the size of the log."""
-    rows = []
-    for name, log in logs.items():
-        indexed = indexed_log(log)
-        entries = indexed.count()
-        for model, graph in both_models(log, entries).items():
-            rows.append(_found(ask(graph, indexed), log=name, model=model, entries=entries))
-    return together(rows)
+    return together(
+        _found(ask(graph, log.indexed), log=name, model=model, entries=F.lit(log.entries).cast("bigint"))
+        for name, log in logs.items()
+        for model, graph in log.models.items()
+    )
 
 
-def neighbours_all_time(logs: dict[str, DataFrame], vertex: int) -> DataFrame:
+def neighbours_all_time(logs: Logs, vertex: int) -> DataFrame:
     """Neighbours over all time against log size."""
     return over_log_sizes(logs, lambda graph, _: graph.direct_neighbours(vertex))
 
@@ -60,19 +85,19 @@ def _early_time(indexed: DataFrame):
     return None if row is None else row["ts"]
 
 
-def snapshot_early(logs: dict[str, DataFrame]) -> DataFrame:
+def snapshot_early(logs: Logs) -> DataFrame:
     """The state at a twentieth of the log against log size."""
     return over_log_sizes(logs, lambda graph, indexed: graph.snapshot_at_time(_early_time(indexed)))
 
 
-def entity_early(logs: dict[str, DataFrame], entity_type: str, id_: int) -> DataFrame:
+def entity_early(logs: Logs, entity_type: str, id_: int) -> DataFrame:
     """One entity at a twentieth of the log against log size."""
     return over_log_sizes(
         logs, lambda graph, indexed: graph.entity_at_time(entity_type, id_, _early_time(indexed))
     )
 
 
-def activated_first_half(logs: dict[str, DataFrame]) -> DataFrame:
+def activated_first_half(logs: Logs) -> DataFrame:
     """Entities activated between the first entry and half the (epoch) time of the last."""
 
     def ask(graph: TemporalGraph, indexed: DataFrame) -> DataFrame:
@@ -83,7 +108,7 @@ def activated_first_half(logs: dict[str, DataFrame]) -> DataFrame:
     return over_log_sizes(logs, ask)
 
 
-def four_questions(logs: dict[str, DataFrame], vertex: int) -> DataFrame:
+def four_questions(logs: Logs, vertex: int) -> DataFrame:
     """The four questions above on the same logs, labelled by question."""
     answers = {
         "neighbours": neighbours_all_time(logs, vertex),
@@ -102,7 +127,7 @@ def snapshot_near_materialisation(
     offsets = list(offsets)
     middle = indexed.count() // 2 // every_actions * every_actions - 1
     places = {middle + o: o for o in offsets}
-    model = sn.snapshots_by_count(log, every_actions, attributes)
+    model = sn.snapshots_by_count(indexed, every_actions, attributes)
     hits = indexed.where(F.col("position").isin(list(places))).select("position", "ts").collect()
     times = {places[r["position"]]: r["ts"] for r in hits}
     return together(_found(sn.snapshot_delta(model, times[o]), offset=o) for o in offsets if o in times)
@@ -184,7 +209,8 @@ def entity_by_spacing(
 ) -> DataFrame:
     """One entity from snapshot models with different spacings."""
     rows = []
+    indexed = indexed_log(log)
     for spacing in spacings:
-        model = sn.snapshots_by_count(log, spacing, attributes)
+        model = sn.snapshots_by_count(indexed, spacing, attributes)
         rows.append(_found(sn.entity_at_delta(model, entity_type, id_, t), spacing=spacing))
     return together(rows)

@@ -8,9 +8,9 @@ from ..functions.attributes import attributes_of
 from ..functions.times import epoch_micros
 from ..operators.ordered import OrderedRows, dense_index
 from ..operators.synthesis import action_rank
-from ..operators.topology import merge_contacts, with_edge_ids
+from ..operators.topology import contacts_in_sessions, sessions_of, with_edge_ids
 from ..schema import CHANGELOG, CREATE, DELETE, EDGE, UPDATE, VERTEX, conform, no_attributes
-from ..storage import new_path
+from ..storage import new_path, stored
 from .store import load_or_generate_changelog
 
 DAY = 86_400
@@ -120,7 +120,8 @@ def contact_log(contacts: DataFrame, threshold_seconds: int = 30 * DAY) -> DataF
     Each session is an edge: CREATE at its first contact, UPDATE at each contact in
     between, DELETE at its last. A session of one contact lives for no time at all.
     """
-    sessions = with_edge_ids(merge_contacts(contacts, threshold_seconds))
+    members = stored(contacts_in_sessions(contacts, threshold_seconds), "contacts")
+    sessions = with_edge_ids(sessions_of(members))
     ends = sessions.select(
         F.col("edge_id").alias("id"),
         "src",
@@ -132,22 +133,11 @@ def contact_log(contacts: DataFrame, threshold_seconds: int = 30 * DAY) -> DataF
             )
         ),
     )
-    # A contact belongs to the session that covers its time: sessions of a pair do
-    # not overlap, so it is the newest one that starts before the contact.
-    starts = sessions.select(
-        "src", "dst", F.col("valid_from").alias("ts"), F.struct("edge_id", "valid_to").alias("session")
-    )
     inner = (
-        OrderedRows.of(
-            contacts.select("src", "dst", "ts", F.lit(None).cast(starts.schema["session"].dataType).alias("session"), F.lit(1).alias("kind"))
-            .unionByName(starts.withColumn("kind", F.lit(0))),
-            ["src", "dst"],
-            ["ts", "kind"],
-        )
-        .with_values(before={"at": F.col("session"), "since": F.when(F.col("session").isNotNull(), F.col("ts"))})
-        .rows()
-        .where((F.col("kind") == 1) & (F.col("ts") > F.col("since")) & (F.col("ts") < F.col("at.valid_to")))
-        .select(F.col("at.edge_id").alias("id"), "src", "dst", "ts", F.lit(UPDATE).alias("action"))
+        members.where(F.col("ts") > F.col("valid_from"))
+        .join(sessions.drop("contacts"), ["src", "dst", "valid_from"])
+        .where(F.col("ts") < F.col("valid_to"))
+        .select(F.col("edge_id").alias("id"), "src", "dst", "ts", F.lit(UPDATE).alias("action"))
     )
     entries = ends.unionByName(inner).select(
         "ts",
@@ -173,7 +163,7 @@ def trade_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A vertex is created with its first contact and updated by each later order day.
     """
-    contacts = trade_contacts(spark, sf_dir)
+    contacts = stored(trade_contacts(spark, sf_dir), "contacts")
     edges = contact_log(contacts, 365 * DAY)
     days = contacts.select(F.explode(F.array("src", "dst")).alias("id"), "ts").distinct()
     first = days.groupBy("id").agg(F.min("ts").alias("first"))
