@@ -14,6 +14,7 @@ def spark():
         .appName("tests")
         .config("spark.sql.shuffle.partitions", "3")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.maxMetadataStringLength", "2000")
         .config("spark.driver.memory", "4g")
         # Tiny inputs: compiling each plan costs more than interpreting it.
         .config("spark.sql.codegen.wholeStage", "false")

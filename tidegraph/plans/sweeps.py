@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.times import instant
 from ..operators import graph as g
 from ..operators import snapshots as sn
 from ..operators.changelog import indexed_log, log_timestamp_quantiles, nth_log_timestamp
@@ -141,7 +142,7 @@ def _share_times(log: DataFrame, parts: int) -> list:
 
 def _counted_up_to(firsts: DataFrame, first: Column, model: str, times: list) -> DataFrame:
     """How many firsts lie at or before each time, all in one pass."""
-    counts = firsts.agg(*[F.count_if(first <= F.lit(t)).alias(f"t{i}") for i, t in enumerate(times)])
+    counts = firsts.agg(*[F.count_if(first <= instant(t)).alias(f"t{i}") for i, t in enumerate(times)])
     rows = [F.struct(F.lit(i).alias("iteration"), F.col(f"t{i}").alias("found")) for i in range(len(times))]
     return counts.select(F.inline(F.array(*rows))).select(F.lit(model).alias("model"), "iteration", "found")
 
