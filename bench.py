@@ -18,7 +18,7 @@ from tidegraph.operators import graph as g
 from tidegraph.operators import topology as tp
 from tidegraph.plans.temporal_graph import IntervalGraph, SnapshotGraph
 from tidegraph.sources import samples
-from tidegraph.storage import new_path
+from tidegraph.storage import clear, new_path
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -89,6 +89,7 @@ def main():
             }
         )
     )
+    clear(spark)
     spark.stop()
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from tidegraph.storage import clear  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -25,4 +27,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear(session)
     session.stop()

@@ -353,6 +353,13 @@ def test_dense_index(spark):
     assert numbered.where("x <> position").count() == 0 and numbered.count() == 1000
 
 
+def test_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "_CHUNK", 4)
+    df = spark.createDataFrame([(1, 9), (2, 0), (3, 4), (4, 1)], "id BIGINT, n BIGINT")
+    rows = sorted((r["id"], r["k"]) for r in ordered.repeat_rows(df, "n", ["id"]).collect())
+    assert rows == [(i, k) for i, n in ((1, 9), (3, 4), (4, 1)) for k in range(n)]
+
+
 # -- text --------------------------------------------------------------------
 
 

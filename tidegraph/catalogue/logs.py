@@ -8,12 +8,12 @@ from ..functions import attributes as at
 from ..functions import intervals as iv
 from ..functions import text as tx
 from ..functions.attributes import attributes_text, other_end, surrogate_id
-from ..functions.times import epoch_seconds, even_timestamps_per_row, seconds_to_ts
+from ..functions.times import epoch_seconds, seconds_to_ts
 from ..operators import changelog as cl
 from ..operators import topology as tp
 from ..operators.graph import PropertyGraph
 from ..operators.ordered import dense_index
-from ..operators.synthesis import Distribution
+from ..operators.synthesis import Distribution, even_timestamps_per_row
 from ..sources import changelog_text, contacts, samples, store
 from ..storage import new_path
 from . import sql as q
@@ -475,7 +475,7 @@ def seconds_to_timestamp(spark, sf):
 )
 def even_timestamps(spark, sf):
     sessions = tp.with_edge_ids(tp.merge_contacts(samples.nation_contacts(spark, sf), 30 * samples.DAY))
-    spread = even_timestamps_per_row(sessions, "contacts", "valid_from", "valid_to")
+    spread = even_timestamps_per_row(sessions, "contacts", "valid_from", "valid_to", ["edge_id"])
     return spread.select("edge_id", "position", "ts")
 
 
@@ -528,3 +528,18 @@ SELECT CAST(t AS BIGINT), count(*) FILTER (WHERE gap IS NULL OR gap > t * {q.DAY
 FROM gaps, (VALUES {_THRESHOLDS}) v(t) GROUP BY t""")
 def threshold_sweep(spark, sf):
     return tp.threshold_sweep(samples.nation_contacts(spark, sf), unit=samples.DAY)
+
+
+def _sweep_sql(name: str, contacts_sql: str) -> str:
+    return f"""
+SELECT '{name}' AS source, t AS threshold, edges FROM (
+WITH {contacts_sql},
+gaps AS (SELECT epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY src, dst ORDER BY ts)) AS gap FROM contacts)
+SELECT CAST(t AS BIGINT) AS t, count(*) FILTER (WHERE t = 0 OR gap IS NULL OR gap > t * {q.DAY_MICROS}::BIGINT) AS edges
+FROM gaps, (VALUES (0), (30), (90)) v(t) GROUP BY t)"""
+
+
+@query(_sweep_sql("nations", q.NATION_CONTACTS) + " UNION ALL " + _sweep_sql("trade", q.TRADE_CONTACTS))
+def threshold_sweep_sources(spark, sf):
+    sources = {"nations": samples.nation_contacts(spark, sf), "trade": samples.trade_contacts(spark, sf)}
+    return tp.threshold_sweeps(sources, thresholds=[30, 90], unit=samples.DAY)

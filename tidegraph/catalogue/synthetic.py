@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..operators import changelog as cl
@@ -9,7 +11,7 @@ from ..operators import synthesis as sy
 from ..operators import topology as tp
 from ..plans import sweeps
 from ..sources import samples, store
-from ..storage import new_path
+from ..storage import work_dir
 from . import sql as q
 from .registry import query
 
@@ -118,17 +120,28 @@ def assign_edge_updates(spark, sf):
     return edges.select("edge_id", "weight", "updates")
 
 
+def _generate(spark, sf, distribution, mode):
+    edges = samples.kept(spark, sf, "nation_sessions", _sessions)
+    return sy.expand_changelog(*sy.assign_updates(_vertices(spark, sf), edges, distribution, mode))
+
+
+def _root(spark, sf):
+    """Where the logs generated from a folder of tables are kept for the session."""
+    return f"{work_dir(spark)}/generated-{hashlib.md5(sf.encode()).hexdigest()}"
+
+
 def generated_log(spark, sf, distribution=_LOGNORMAL, mode="positive"):
-    vertices, edges = sy.assign_updates(_vertices(spark, sf), _sessions(spark, sf), distribution, mode)
-    return sy.expand_changelog(vertices, edges)
+    path = store.changelog_path(_root(spark, sf), "nations", distribution, mode)
+    return store.load_or_generate_changelog(spark, path, lambda: _generate(spark, sf, distribution, mode))
 
 
 @query(f"""
 WITH {_updates_sql('positive')},
-vertex_draws AS (SELECT id, k, CAST(trunc({_unit("'0|' || id || '|' || k")} * 1000) AS BIGINT) AS second
-  FROM (SELECT id, unnest(range(1, updates + 1)) AS k FROM vertex_updates)),
-vertex_entries AS (SELECT 'VERTEX' AS entity_type, id, second,
-    row_number() OVER (PARTITION BY id ORDER BY second, k) - 1 AS k FROM vertex_draws),
+vertex_firsts AS (SELECT id, updates, 1.0::DOUBLE - pow(1.0::DOUBLE - {_unit("'0|' || id || '|first'")}, 1.0::DOUBLE / updates) AS first
+  FROM vertex_updates WHERE updates > 0),
+vertex_entries AS (SELECT 'VERTEX' AS entity_type, id, k, CAST(trunc(1000 * CASE WHEN k = 0 THEN first
+    ELSE first + {_unit("'0|' || id || '|' || k")} * (1.0::DOUBLE - first) END) AS BIGINT) AS second
+  FROM (SELECT *, unnest(range(updates)) AS k FROM vertex_firsts)),
 edge_places AS (SELECT edge_id AS id, updates AS n, epoch_us(valid_from) // 1000000 AS a, epoch_us(valid_to) // 1000000 AS z,
     unnest(range(0, greatest(updates, 0) + 2)) AS k FROM edge_updates),
 edge_entries AS (SELECT 'EDGE' AS entity_type, id, CASE WHEN k = 0 THEN a WHEN k = greatest(n, 0) + 1 THEN z
@@ -149,9 +162,9 @@ def persist_log_grid(spark, sf):
     """Sizes of the logs stored for two correlation modes and two iterations."""
     paths = store.persist_log_grid(
         spark,
-        new_path(spark, "grid"),
+        _root(spark, sf),
         "nations",
-        lambda distribution, mode: generated_log(spark, sf, distribution, mode),
+        lambda distribution, mode: _generate(spark, sf, distribution, mode),
         lambda i: sy.scaled_distribution(_LOGNORMAL, i),
         ("negative", "uniform"),
         2,
@@ -169,20 +182,14 @@ def persist_log_grid(spark, sf):
 @query()
 def q9_correlation_modes(spark, sf):
     """The four questions over logs generated with each correlation mode."""
-    logs = {}
-    for mode in ("negative", "uniform", "positive"):
-        path = new_path(spark, f"log-{mode}")
-        log = store.load_or_generate_changelog(spark, path, lambda m=mode: generated_log(spark, sf, mode=m))
-        logs[mode] = sweeps.prepared(log, keep=True)
+    modes = ("negative", "uniform", "positive")
+    logs = {mode: sweeps.prepared(generated_log(spark, sf, mode=mode), keep=True) for mode in modes}
     return sweeps.four_questions(logs, 7)
 
 
 @query()
 def q1_to_q4_distributions(spark, sf):
     """The four questions over logs generated with each distribution."""
-    logs = {}
-    for d in (_LOGNORMAL, _UNIFORM, _GAUSSIAN):
-        path = new_path(spark, f"log-{d.kind}")
-        log = store.load_or_generate_changelog(spark, path, lambda x=d: generated_log(spark, sf, x))
-        logs[d.kind] = sweeps.prepared(log, keep=True)
+    kinds = (_LOGNORMAL, _UNIFORM, _GAUSSIAN)
+    logs = {d.kind: sweeps.prepared(generated_log(spark, sf, d), keep=True) for d in kinds}
     return sweeps.four_questions(logs, 7)

@@ -64,15 +64,3 @@ def even_timestamps(spark: SparkSession, amount: int, start, stop) -> DataFrame:
     return spark.range(amount).select(
         F.col("id").alias("position"), seconds_to_ts(first + F.col("id") * step).alias("ts")
     )
-
-
-def even_timestamps_per_row(df: DataFrame, amount: str, start: str, stop: str) -> DataFrame:
-    """The rows of ``df``, each repeated for its own number of even instants."""
-    first, last = epoch_seconds(F.col(start)), epoch_seconds(F.col(stop))
-    n = F.col(amount).cast("bigint")
-    step = floor_div(last - first, F.greatest(n - 1, F.lit(1)))
-    return (
-        df.where(n > 0)
-        .withColumn("position", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
-        .withColumn("ts", seconds_to_ts(first + F.col("position") * step))
-    )

@@ -201,3 +201,24 @@ def dense_index(df: DataFrame, order: list[str | Column], name: str = "position"
         .withColumn(name, (F.col("__offset") + F.col("__place")).cast("bigint"))
         .drop("__part", "__place", "__offset")
     )
+
+
+# Rows that one task makes from one input row before the work is split.
+_CHUNK = 100_000
+
+
+def repeat_rows(df: DataFrame, times: str, keys: list[str], name: str = "k") -> DataFrame:
+    """Each row ``times`` times, numbered 0, 1, 2, ... in the column ``name``.
+
+    A row with a large count is first split into chunks that are spread over the
+    tasks, so no task makes all the copies of a row and no array holds them.
+    """
+    count, chunk = F.col(times).cast("bigint"), F.col("__chunk")
+    last = (count - 1 - F.pmod(count - 1, F.lit(_CHUNK))) / _CHUNK
+    return (
+        df.where(count > 0)
+        .withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))))
+        .repartition(*keys, "__chunk")
+        .withColumn(name, F.explode(F.sequence(chunk * _CHUNK, F.least((chunk + 1) * _CHUNK, count) - 1)))
+        .drop("__chunk")
+    )

@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.attributes import hashed_unit, surrogate_id
-from ..functions.times import epoch_seconds, seconds_to_ts
+from ..functions.times import epoch_seconds, floor_div, seconds_to_ts
 from ..schema import CHANGELOG, CREATE, DELETE, EDGE, UPDATE, VERTEX, conform, no_attributes
 from .graph import degrees
-from .ordered import dense_index
+from .ordered import dense_index, repeat_rows
 
 # A Zipf table is built for every value up to the maximum, so that is bounded.
 ZIPF_LIMIT = 1_000_000
@@ -150,6 +150,11 @@ def assign_updates(
     return vertex_updates, assign_edge_updates(edges, vertex_updates, distribution, mode, seed)
 
 
+def _offset(u: Column, low: Column, high: Column) -> Column:
+    """A whole number in [low, high) from a number in [0, 1)."""
+    return low + (u * (high - low)).cast("bigint")
+
+
 def expand_changelog(
     vertex_updates: DataFrame,
     edge_updates: DataFrame,
@@ -159,56 +164,65 @@ def expand_changelog(
 ) -> DataFrame:
     """A change log from update counts.
 
-    A vertex with n > 0 draws n times in [low, high); the first becomes its CREATE,
-    the others UPDATEs; it is never deleted. An edge has a CREATE at its start, its
+    A vertex with n > 0 gets n times in [low, high); the first is its CREATE, the
+    others UPDATEs; it is never deleted. An edge has a CREATE at its start, its
     UPDATEs inside its interval and a DELETE at its end. Times are whole seconds.
+
+    The first of n uniform times is drawn directly, as 1 - (1 - u)^(1/n), and the
+    others uniformly after it. That has the distribution of n sorted draws, and no
+    vertex's draws need to be brought together to be sorted.
     """
-    position = F.col("k")
-    span = high_seconds - low_seconds
-    offset = lambda k: (hashed_unit(F.lit(seed), F.col("id"), k) * span).cast("bigint") + low_seconds
-    draws = F.array_sort(
-        F.transform(
-            F.sequence(F.lit(1).cast("bigint"), F.col("updates")),
-            lambda k: F.struct(offset(k).alias("second"), k.alias("k")),
-        )
-    )
-    vertices = (
-        vertex_updates.where(F.col("updates") > 0)
-        .select("id", F.posexplode(draws).alias("place", "draw"))
-        .select(
-            F.lit(VERTEX).alias("entity_type"),
-            "id",
-            F.lit(None).cast("bigint").alias("src"),
-            F.lit(None).cast("bigint").alias("dst"),
-            F.col("draw.second").alias("second"),
-            F.when(F.col("place") == 0, CREATE).otherwise(UPDATE).alias("action"),
-            F.col("place").cast("bigint").alias("k"),
-        )
+    k, n = F.col("k"), F.col("updates")
+    unit = lambda *parts: hashed_unit(F.lit(seed), *parts)
+    first = F.lit(1.0) - F.pow(F.lit(1.0) - unit(F.col("id"), F.lit("first")), F.lit(1.0) / n)
+    share = F.when(k == 0, first).otherwise(first + unit(F.col("id"), k) * (F.lit(1.0) - first))
+    low, high = (F.lit(s).cast("bigint") for s in (low_seconds, high_seconds))
+    none = F.lit(None).cast("bigint")
+    vertices = repeat_rows(vertex_updates, "updates", ["id"]).select(
+        F.lit(VERTEX).alias("entity_type"),
+        "id",
+        none.alias("src"),
+        none.alias("dst"),
+        _offset(share, low, high).alias("second"),
+        F.when(k == 0, CREATE).otherwise(UPDATE).alias("action"),
+        "k",
     )
     start, stop = epoch_seconds(F.col("valid_from")), epoch_seconds(F.col("valid_to"))
     # 0 is the CREATE, 1..n are UPDATEs, n + 1 is the DELETE.
-    n = F.greatest(F.col("updates"), F.lit(0))
-    inside = start + (hashed_unit(F.lit(seed), F.lit("edge"), F.col("edge_id"), position) * (stop - start)).cast("bigint")
-    edges = (
-        edge_updates.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), n + 1)))
-        .select(
-            F.lit(EDGE).alias("entity_type"),
-            F.col("edge_id").alias("id"),
-            "src",
-            "dst",
-            F.when(position == 0, start).when(position == n + 1, stop).otherwise(inside).alias("second"),
-            F.when(position == 0, CREATE).when(position == n + 1, DELETE).otherwise(UPDATE).alias("action"),
-            "k",
-        )
+    last = F.col("__entries") - 1
+    inside = _offset(unit(F.lit("edge"), F.col("edge_id"), k), start, stop)
+    entries = edge_updates.withColumn("__entries", F.greatest(n, F.lit(0)) + 2)
+    edges = repeat_rows(entries, "__entries", ["edge_id"]).select(
+        F.lit(EDGE).alias("entity_type"),
+        F.col("edge_id").alias("id"),
+        "src",
+        "dst",
+        F.when(k == 0, start).when(k == last, stop).otherwise(inside).alias("second"),
+        F.when(k == 0, CREATE).when(k == last, DELETE).otherwise(UPDATE).alias("action"),
+        "k",
     )
-    entries = vertices.unionByName(edges).select(
-        seconds_to_ts(F.col("second")).alias("ts"), "action", "entity_type", "id", "src", "dst",
+    rows = vertices.unionByName(edges).select(
+        seconds_to_ts(F.col("second")).alias("ts"),
+        "action",
+        "entity_type",
+        "id",
+        "src",
+        "dst",
         F.when(F.col("action") == DELETE, no_attributes())
-        .otherwise(F.create_map(F.lit("update"), F.col("k").cast("string")))
+        .otherwise(F.create_map(F.lit("update"), k.cast("string")))
         .alias("attributes"),
-        action_rank(F.col("action")).alias("__rank"), "k",
+        action_rank(F.col("action")).alias("__rank"),
+        "k",
     )
-    return conform(dense_index(entries, ["ts", "__rank", "entity_type", "id", "k"], "seq"), CHANGELOG)
+    return conform(dense_index(rows, ["ts", "__rank", "entity_type", "id", "k"], "seq"), CHANGELOG)
+
+
+def even_timestamps_per_row(df: DataFrame, amount: str, start: str, stop: str, keys: list[str]) -> DataFrame:
+    """The rows of ``df``, each repeated for its own number of even instants."""
+    first, last = epoch_seconds(F.col(start)), epoch_seconds(F.col(stop))
+    step = floor_div(last - first, F.greatest(F.col(amount).cast("bigint") - 1, F.lit(1).cast("bigint")))
+    repeated = repeat_rows(df, amount, keys, "position")
+    return repeated.withColumn("ts", seconds_to_ts(first + F.col("position") * step))
 
 
 def action_rank(action: Column) -> Column:

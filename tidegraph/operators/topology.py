@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.times import MICROS, epoch_micros
@@ -88,7 +90,10 @@ def with_edge_ids(sessions: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(
-    contacts: DataFrame, thresholds: list | None = None, time: str = "ts", hot_rows: int | None = None,
+    contacts: DataFrame,
+    thresholds: list | None = None,
+    time: str = "ts",
+    hot_rows: int | None = None,
     unit: int = 1,
 ) -> DataFrame:
     """Number of edges after merging with each threshold; 0 gives the raw contacts.
@@ -119,3 +124,12 @@ def threshold_sweep(
             )
         )
     )
+
+
+def threshold_sweeps(sources: dict[str, DataFrame], **options) -> DataFrame:
+    """The sweep of several sources of contacts, labelled by source."""
+    sweeps = [
+        threshold_sweep(contacts, **options).select(F.lit(name).alias("source"), "threshold", "edges")
+        for name, contacts in sources.items()
+    ]
+    return reduce(DataFrame.unionByName, sweeps)

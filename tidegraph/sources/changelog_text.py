@@ -68,14 +68,17 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_changelog_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The log in a text file or folder, and the lines that could not be read.
 
-    An entry's ``seq`` is its place when the lines are put in the order of file
-    name, offset in the file and text.
+    An entry's ``seq`` is its place by time and, at one time, by file name and place
+    in the file. A file is read in blocks, each by one task from its start to its end.
     """
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__line")
+        "value",
+        F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__line"),
     )
     entries, rejected = parse_lines(lines)
-    numbered = dense_index(entries, ["ts", "__file", "__line"], "seq")
+    numbered = dense_index(entries, ["ts", "__file", "__block", "__line"], "seq")
     return conform(numbered, CHANGELOG), rejected.select("value", "reason")
 
 

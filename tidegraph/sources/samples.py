@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.attributes import attributes_of
@@ -11,7 +13,7 @@ from ..operators.synthesis import action_rank
 from ..operators.topology import contacts_in_sessions, sessions_of, with_edge_ids
 from ..schema import CHANGELOG, CREATE, DELETE, EDGE, UPDATE, VERTEX, conform, no_attributes
 from ..storage import new_path, stored
-from .store import load_or_generate_changelog
+from .store import exists, load_or_generate_changelog
 
 DAY = 86_400
 _paths: dict[tuple[str, str, str], str] = {}
@@ -192,6 +194,17 @@ def stored_log(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return load_or_generate_changelog(spark, path, lambda: _LOGS[name](spark, sf_dir))
 
 
+def kept(
+    spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str], DataFrame]
+) -> DataFrame:
+    """A table derived from the supplied ones, stored once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    path = _paths.setdefault(key, new_path(spark, name))
+    if not exists(spark, path):
+        make(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items read as timings: a file per flag and status, quantity as log size, price as time."""
     return table(spark, sf_dir, "lineitem").select(
