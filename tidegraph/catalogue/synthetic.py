@@ -78,22 +78,26 @@ def _vertices(spark, sf):
     return samples.table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"))
 
 
-def _updates_sql(mode: str) -> str:
-    order = {"positive": "degree, id", "negative": "degree DESC, id"}[mode]
-    edge_order = {"positive": "weight, edge_id", "negative": "weight DESC, edge_id"}[mode]
+def _order_sql(mode: str, weight: str, key: str, seed: int) -> str:
+    hashed = f"CAST('0x' || substr(md5('{seed}|' || {key}), 1, 15) AS BIGINT)"
+    return {"positive": f"{weight}, {key}", "negative": f"{weight} DESC, {key}", "uniform": f"{hashed}, {key}"}[mode]
+
+
+def _updates_sql(mode: str, d: sy.Distribution = _LOGNORMAL) -> str:
+    order, edge_order = _order_sql(mode, "degree", "id", 0), _order_sql(mode, "weight", "edge_id", 1)
     return f"""{q.NATION_CONTACTS}, {q.sessions(30)},
 ends AS (SELECT src AS id FROM sessions UNION ALL SELECT dst FROM sessions),
 weighted AS (SELECT CAST(n_nationkey AS BIGINT) AS id, (SELECT count(*) FROM ends WHERE ends.id = n_nationkey) AS degree FROM nation),
 vertex_rank AS (SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM weighted),
 vertex_draw AS (SELECT updates, row_number() OVER (ORDER BY updates, id) AS place
-  FROM (SELECT id, {draw_sql(_LOGNORMAL, 'id')} AS updates FROM weighted)),
+  FROM (SELECT id, {draw_sql(d, 'id')} AS updates FROM weighted)),
 vertex_updates AS (SELECT id, degree, updates FROM vertex_rank JOIN vertex_draw USING (place)),
 edge_weight AS (SELECT s.edge_id, s.src, s.dst, s.valid_from, s.valid_to,
     CAST(coalesce(a.updates, 0) + coalesce(b.updates, 0) AS BIGINT) AS weight
   FROM sessions s LEFT JOIN vertex_updates a ON a.id = s.src LEFT JOIN vertex_updates b ON b.id = s.dst),
 edge_rank AS (SELECT *, row_number() OVER (ORDER BY {edge_order}) AS place FROM edge_weight),
 edge_draw AS (SELECT updates, row_number() OVER (ORDER BY updates, edge_id) AS place
-  FROM (SELECT edge_id, {draw_sql(_LOGNORMAL, 'edge_id', 1)} AS updates FROM sessions)),
+  FROM (SELECT edge_id, {draw_sql(d, 'edge_id', 1)} AS updates FROM sessions)),
 edge_updates AS (SELECT edge_id, src, dst, valid_from, valid_to, weight, updates FROM edge_rank JOIN edge_draw USING (place))"""
 
 
@@ -135,29 +139,42 @@ def generated_log(spark, sf, distribution=_LOGNORMAL, mode="positive"):
     return store.load_or_generate_changelog(spark, path, lambda: _generate(spark, sf, distribution, mode))
 
 
-@query(f"""
-WITH {_updates_sql('positive')},
+def _generated_sql(mode: str, d: sy.Distribution = _LOGNORMAL) -> str:
+    """generated(seq, ts, action, entity_type, id, src, dst, k), the log of a mode and distribution."""
+    return f"""{_updates_sql(mode, d)},
 vertex_firsts AS (SELECT id, updates, 1.0::DOUBLE - pow(1.0::DOUBLE - {_unit("'0|' || id || '|first'")}, 1.0::DOUBLE / updates) AS first
   FROM vertex_updates WHERE updates > 0),
-vertex_entries AS (SELECT 'VERTEX' AS entity_type, id, k, CAST(trunc(1000 * CASE WHEN k = 0 THEN first
+vertex_entries AS (SELECT 'VERTEX' AS entity_type, id, CAST(NULL AS BIGINT) AS src, CAST(NULL AS BIGINT) AS dst, k, CAST(trunc(1000 * CASE WHEN k = 0 THEN first
     ELSE first + {_unit("'0|' || id || '|' || k")} * (1.0::DOUBLE - first) END) AS BIGINT) AS second
   FROM (SELECT *, unnest(range(updates)) AS k FROM vertex_firsts)),
-edge_places AS (SELECT edge_id AS id, updates AS n, epoch_us(valid_from) // 1000000 AS a, epoch_us(valid_to) // 1000000 AS z,
+edge_places AS (SELECT edge_id AS id, src, dst, updates AS n, epoch_us(valid_from) // 1000000 AS a, epoch_us(valid_to) // 1000000 AS z,
     unnest(range(0, greatest(updates, 0) + 2)) AS k FROM edge_updates),
-edge_entries AS (SELECT 'EDGE' AS entity_type, id, CASE WHEN k = 0 THEN a WHEN k = greatest(n, 0) + 1 THEN z
+edge_entries AS (SELECT 'EDGE' AS entity_type, id, src, dst, CASE WHEN k = 0 THEN a WHEN k = greatest(n, 0) + 1 THEN z
     ELSE a + CAST(trunc({_unit("'0|edge|' || id || '|' || k")} * (z - a)) AS BIGINT) END AS second,
     CASE WHEN k = 0 THEN 'CREATE' WHEN k = greatest(n, 0) + 1 THEN 'DELETE' ELSE 'UPDATE' END AS action, k FROM edge_places),
-entries AS (SELECT entity_type, id, second, CASE WHEN k = 0 THEN 'CREATE' ELSE 'UPDATE' END AS action, k FROM vertex_entries
-  UNION ALL SELECT entity_type, id, second, action, k FROM edge_entries)
-SELECT row_number() OVER (ORDER BY second, CASE action WHEN 'CREATE' THEN 0 WHEN 'UPDATE' THEN 1 ELSE 2 END, entity_type, id, k) - 1 AS seq,
-  to_timestamp(second) AT TIME ZONE 'UTC' AS ts, action, entity_type, id,
-  CASE WHEN action = 'DELETE' THEN '' ELSE 'update=' || k END AS attributes
-FROM entries""")
+entries AS (SELECT entity_type, id, src, dst, second, CASE WHEN k = 0 THEN 'CREATE' ELSE 'UPDATE' END AS action, k FROM vertex_entries
+  UNION ALL SELECT entity_type, id, src, dst, second, action, k FROM edge_entries),
+generated AS (
+  SELECT row_number() OVER (ORDER BY second, CASE action WHEN 'CREATE' THEN 0 WHEN 'UPDATE' THEN 1 ELSE 2 END, entity_type, id, k) - 1 AS seq,
+    to_timestamp(second) AT TIME ZONE 'UTC' AS ts, action, entity_type, id, src, dst, k
+  FROM entries)"""
+
+
+@query(
+    f"WITH {_generated_sql('positive')} SELECT seq, ts, action, entity_type, id, "
+    "CASE WHEN action = 'DELETE' THEN '' ELSE 'update=' || k END AS attributes FROM generated"
+)
 def expand_changelog(spark, sf):
     return cl.flat(generated_log(spark, sf)).select("seq", "ts", "action", "entity_type", "id", "attributes")
 
 
-@query()
+def _grid_sql(mode: str, i: int) -> str:
+    log = _generated_sql(mode, sy.scaled_distribution(_LOGNORMAL, i))
+    counted = f"WITH {log} SELECT action, count(*) AS entries FROM generated GROUP BY action"
+    return f"SELECT '{mode}' AS mode, {i} AS iteration, action, entries FROM ({counted})"
+
+
+@query(" UNION ALL ".join(_grid_sql(mode, i) for mode in ("negative", "uniform") for i in (1, 2)))
 def persist_log_grid(spark, sf):
     """Sizes of the logs stored for two correlation modes and two iterations."""
     paths = store.persist_log_grid(
@@ -179,7 +196,25 @@ def persist_log_grid(spark, sf):
     return sweeps.together(sizes)
 
 
-@query()
+def _four_sql(name: str, mode: str, d: sy.Distribution) -> str:
+    early = "(SELECT ts FROM generated WHERE seq = (SELECT count(*) // 20 - 1 FROM generated))"
+    alive = f"SELECT count(*) FROM lives WHERE valid_from <= {early} AND (valid_to IS NULL OR valid_to > {early})"
+    found = {
+        "neighbours": "SELECT count(DISTINCT CASE WHEN dst = 7 THEN src ELSE dst END) FROM sessions WHERE src = 7 OR dst = 7",
+        "snapshot": alive,
+        "entity": f"{alive} AND entity_type = 'VERTEX' AND id = 7",
+        "activated": "SELECT count(*) FROM (SELECT min(ts) AS first FROM generated WHERE action = 'CREATE' GROUP BY entity_type, id) "
+        "WHERE epoch_us(first) <= (SELECT max(epoch_us(ts)) // 2 FROM generated)",
+    }
+    rows = " UNION ALL ".join(f"SELECT '{question}' AS question, ({sql}) AS found" for question, sql in found.items())
+    return (
+        f"SELECT '{name}' AS log, model, entries, found, question FROM (WITH {_generated_sql(mode, d)}, {q.lives('generated')}, "
+        f"answers AS ({rows}) SELECT *, (SELECT count(*) FROM generated) AS entries FROM answers), "
+        "(VALUES ('intervals'), ('snapshots')) m(model)"
+    )
+
+
+@query(" UNION ALL ".join(_four_sql(mode, mode, _LOGNORMAL) for mode in ("negative", "uniform", "positive")))
 def q9_correlation_modes(spark, sf):
     """The four questions over logs generated with each correlation mode."""
     modes = ("negative", "uniform", "positive")
@@ -187,7 +222,7 @@ def q9_correlation_modes(spark, sf):
     return sweeps.four_questions(logs, 7)
 
 
-@query()
+@query(" UNION ALL ".join(_four_sql(d.kind, "positive", d) for d in (_LOGNORMAL, _UNIFORM, _GAUSSIAN)))
 def q1_to_q4_distributions(spark, sf):
     """The four questions over logs generated with each distribution."""
     kinds = (_LOGNORMAL, _UNIFORM, _GAUSSIAN)
