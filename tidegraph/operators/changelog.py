@@ -142,15 +142,11 @@ def _squash_merge(log: DataFrame) -> DataFrame:
         )
         .withColumn(
             "attributes",
-            F.map_from_entries(
-                F.transform(
-                    F.filter(
-                        "writes",
-                        lambda w: F.col("life").isNull()
-                        | ((F.col("life.action") == CREATE) & (w["at"] >= F.struct("life.ts", "life.seq"))),
-                    ),
-                    lambda w: F.struct(w["key"].alias("key"), w["value"].alias("value")),
-                )
+            F.expr(
+                f"""map_from_entries(transform(
+                    filter(writes, w -> life IS NULL
+                                        OR (life.action = '{CREATE}' AND w.at >= struct(life.ts, life.seq))),
+                    w -> struct(w.key, w.value)))"""
             ),
         )
     )
