@@ -179,11 +179,15 @@ def entity_at_delta(model: Snapshots, entity_type: str, id_: int, t) -> DataFram
         return state_at(log, t, model.attributes)
     stored_state = (
         model.states.where(named & (F.col("snapshot_no") == snapshot["snapshot_no"]))
-        .withColumn("ts", instant(snapshot["snapshot_ts"]))
-        .withColumn("seq", F.lit(snapshot["snapshot_seq"]))
-        .withColumn("action", F.lit(CREATE))
+        .withColumns(
+            {
+                "ts": instant(snapshot["snapshot_ts"]),
+                "seq": F.lit(snapshot["snapshot_seq"]).cast("bigint"),
+                "action": F.lit(CREATE),
+            }
+        )
     )
-    since = conform(log.where(_since(snapshot, t)), CHANGELOG)
+    since = log.where(_since(snapshot, t)).select(*CHANGELOG.fieldNames())
     return create_graph_from_logs(conform(stored_state, CHANGELOG).unionByName(since), model.attributes)
 
 

@@ -94,13 +94,16 @@ SNAPSHOT_INDEX = StructType(
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
     """``df`` with exactly the columns of ``schema``, in order and cast; absent ones are null."""
-    have = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    have = {f.name: f.dataType for f in df.schema.fields}
+    columns = []
+    for f in schema.fields:
+        if f.name not in have:
+            columns.append(F.lit(None).cast(f.dataType).alias(f.name))
+        elif have[f.name] == f.dataType:
+            columns.append(F.col(f.name))
+        else:
+            columns.append(F.col(f.name).cast(f.dataType).alias(f.name))
+    return df.select(*columns)
 
 
 def no_attributes() -> Column:
