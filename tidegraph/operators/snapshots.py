@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.attributes import other_end
 from ..functions.intervals import within
 from ..functions.times import MICROS, epoch_micros, floor_div, instant, micros_to_ts
-from ..schema import CHANGELOG, CREATE, EDGE, ENTITY, ORDER, SNAPSHOT_INDEX, STATE, VERTEX, conform
+from ..schema import CHANGELOG, CREATE, ENTITY, ORDER, SNAPSHOT_INDEX, STATE, conform
 from .changelog import (
     apply_logs,
     create_graph_from_logs,
