@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, perspectives, recipes, sharding
+from . import mixing, packing, perspectives, recipes, sharding, syncmers, tokens
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,18 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_closed_syncmers(spark, sf_dir):
+    """Fingerprints of all documents and of their edited texts."""
+    return syncmers.edited_fingerprints(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query()
+def op2_overlap_resync(spark, sf_dir):
+    """The number of tokens of every document."""
+    return tokens.token_counts(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 @query()
 def op3_pareto_mixture(spark, sf_dir):
     """How many words a mixture of the sources takes of each document."""
@@ -68,6 +80,12 @@ def op5_perspective_rotation(spark, sf_dir):
     return perspectives.rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+@query()
+def op7_deficit_packing(spark, sf_dir):
+    """All documents in sequences of 1024 tokens, each holding the sources in proportion."""
+    return packing.pack_mixture(documents(spark, sf_dir).select("doc_id", "source", "text"))
+
+
 @query()
 def op9_hypergeometric_shards(spark, sf_dir):
     """All documents in 16 shards whose sizes are at most one apart."""
