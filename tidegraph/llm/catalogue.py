@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, perspectives, recipes, sharding, syncmers, tokens
+from . import mixing, packing, perspectives, recipes, sharding, syncmers, tokens, toxicity
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,14 @@ def op3_pareto_mixture(spark, sf_dir):
     )
 
 
+@query()
+def op4_nonnegative_pu(spark, sf_dir):
+    """The toxicity of every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.toxicity_scores(docs, model)
+
+
 @query(
     r"""
     WITH said AS (
