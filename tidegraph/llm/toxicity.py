@@ -8,9 +8,8 @@ zero; where a batch drives it there, the step goes back. Features are words and
 their beginnings that stand out among the toxic documents.
 """
 
-from __future__ import annotations
-
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,8 +23,11 @@ from .common import uniform
 
 # Bounds of the fitting sample: expected rows, drawn by a hash of doc_id, and features.
 TOXIC_ROWS, UNLABELLED_ROWS, FEATURES = 5_000, 20_000, 5_000
-# A feature stands out if its rate among toxic rows exceeds that among all by so many standard errors.
+# A feature stands out if its rate among toxic rows exceeds that among all by so many
+# standard errors, and if by these rates and the prior most of its documents are toxic.
 STANDS_OUT = 5.0
+# Toxic rows that a feature needs: fewer agree by chance, there are so many words.
+LEAST_TOXIC = 5
 _WORD = re.compile(r"\w+")
 _CACHED_WORDS = 400_000
 
@@ -41,6 +43,12 @@ def words_of(text: bytes | None) -> set[str]:
     return set(_WORD.findall((text or b"").decode("utf-8", "replace").lower()))
 
 
+def smallest_shingle(text: bytes | None) -> int:
+    words = (text or b"").split()
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    return min(xxhash.xxh3_64_intdigest(s) for s in shingles) - (1 << 63)
+
+
 @dataclass
 class ToxicityModel:
     """Weights by feature hash; a text's score is the logistic of the bias and its features' weights."""
@@ -71,13 +79,12 @@ class ToxicityModel:
         """The score of a text column, computed in batches; null is empty."""
         model = self
 
-        def scores(batches):
+        def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             score = model.scorer()
             for texts in batches:
                 yield pd.Series([float(score(x)) for x in texts], dtype="float64")
 
-        scores.__annotations__ = {"batches": "Iterator[pd.Series]", "return": "Iterator[pd.Series]"}
-        return F.pandas_udf(scores, "double", F.PandasUDFType.SCALAR_ITER)(text.cast("binary"))
+        return F.pandas_udf(scores, "double")(text.cast("binary"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -93,12 +100,13 @@ def fit_nnpu(
     batch: int = 250,
     rate: float = 0.05,
     decay: float = 1e-5,
+    bias_decay: float = 1e-2,
     seed: int = 11,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic classifier under the non-negative risk; rows are lists of feature numbers."""
     rng = np.random.default_rng(seed)
     w, m, v = np.zeros(features + 1), np.zeros(features + 1), np.zeros(features + 1)
-    w[-1] = np.log(prior / (1 - prior))
+    start = w[-1] = np.log(prior / (1 - prior))
 
     def packed(rows, chosen):
         picked = [rows[i] for i in chosen]
@@ -125,6 +133,8 @@ def fit_nnpu(
             # Below zero the estimate has overfitted: undo it instead of following it.
             gradient = prior * slopes(pr, pc, len(p), sp - 1) + clean if negative >= 0 else -clean
             gradient[:-1] += decay * w[:-1]
+            # Where no feature speaks, the prior does.
+            gradient[-1] += bias_decay * (w[-1] - start)
             step += 1
             m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
             w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -168,7 +178,13 @@ def train_toxicity(
     # Expected to hold ``toxic_rows`` ids, so it may be broadcast.
     toxic = body.join(F.broadcast(chosen), "__id", "left_semi").withColumn("toxic", F.lit(True))
     other = body.where(uniform(seed + 1, "__id") < unlabelled_rows / max(rows, 1)).withColumn("toxic", F.lit(False))
-    sample = stored(toxic.unionByName(other).select("text", "toxic"), "toxicity-sample")
+    # Near copies would make their own words stand out: the same smallest shingle counts once.
+    def keys(texts: pd.Series) -> pd.Series:
+        return texts.map(smallest_shingle).astype("int64")
+
+    key = F.pandas_udf(keys, "long")
+    both_kinds = toxic.unionByName(other).select("text", "toxic").withColumn("__key", key("text"))
+    sample = stored(both_kinds.dropDuplicates(["__key", "toxic"]).drop("__key"), "toxicity-sample")
 
     def count(batches):
         for batch in batches:
@@ -191,7 +207,7 @@ def train_toxicity(
         sample.mapInArrow(count, "feature bigint, p bigint, u bigint")
         .groupBy("feature")
         .agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-        .where((F.col("p") >= 3) & (rate_p > 2 * rate_u) & (both < 1))
+        .where((F.col("p") >= LEAST_TOXIC) & (prior * rate_p > 0.5 * rate_u) & (both < 1))
         .where(z > STANDS_OUT)
         .orderBy(z.desc(), "feature")
         .limit(features)
