@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, perspectives, recipes, sharding, syncmers, tokens, toxicity
+from . import mixing, packing, perspectives, recipes, sharding, shingle_join, syncmers, tokens, toxicity
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,12 @@ def op7_deficit_packing(spark, sf_dir):
     return packing.pack_mixture(documents(spark, sf_dir).select("doc_id", "source", "text"))
 
 
+@query()
+def op8_adaptive_prefixes(spark, sf_dir):
+    """The group of similar documents that each document belongs to."""
+    return shingle_join.similar_documents(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 @query()
 def op9_hypergeometric_shards(spark, sf_dir):
     """All documents in 16 shards whose sizes are at most one apart."""
