@@ -1,26 +1,48 @@
-"""From raw documents to packed sequences, one operator of ``tidegraph.llm`` per stage."""
+"""From raw documents to packed training sequences, one operator of ``tidegraph.llm`` per stage."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import mixing, recipes
+from tidegraph.llm import mixing, packing, recipes, shingle_join, toxicity
 from tidegraph.storage import stored
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a classifier, learnt from the labels, calls toxic go."""
+    model = toxicity.train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.without_toxic(docs, model)
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text stays."""
     return recipes.without_copies(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar documents stays."""
+    return shingle_join.without_near_copies(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mixture, repeated as often as it takes them."""
+    """Documents of the mixture, each as often as it is taken."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("exact_dedup", exact_stage), ("mixing", mixing_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of 1024 tokens."""
+    return packing.pack_mixture(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
-# Learned scores, word shingle joins and tokenizers are beyond SQL.
+# A learnt classifier and a tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 

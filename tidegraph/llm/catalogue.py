@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, perspectives, recipes, sharding, shingle_join, syncmers, tokens, toxicity
+from . import mixing, packing, perspectives, recipes, repeats, sharding, shingle_join, syncmers, tokens, toxicity
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,13 @@ def op5_perspective_rotation(spark, sf_dir):
     return perspectives.rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+@query()
+def op6_suffix_arrays(spark, sf_dir):
+    """What is left of every document without the bytes that repeat earlier text."""
+    kept = repeats.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query()
 def op7_deficit_packing(spark, sf_dir):
     """All documents in sequences of 1024 tokens, each holding the sources in proportion."""

@@ -96,17 +96,28 @@ def _same_as_previous(s: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.n
 
 def _ranked(names: np.ndarray) -> np.ndarray:
     """The order of the suffixes of a string over many symbols, by doubling what is ranked."""
-    n, rank, width = len(names), names.astype(np.int64), 1
-    while True:
-        following = np.zeros(n, np.int64)
-        following[:-width] = rank[width:] + 1 if width < n else 0
-        key = rank * (n + 2) + following
+    n, width = len(names), 1
+    open_, key = np.arange(n), names.astype(np.int64)
+    rank = np.zeros(n + 1, np.int64)
+    rank[n] = -1
+    base = np.zeros(n, np.int64)  # Where in the order the group of each open suffix begins.
+    while len(open_):
         order = np.argsort(key, kind="stable")
-        fresh = np.r_[True, key[order][1:] != key[order][:-1]]
-        rank[order] = np.cumsum(fresh) - 1
-        if fresh.all():
-            return order
+        open_, key, base = open_[order], key[order], base[order]
+        fresh = np.r_[True, key[1:] != key[:-1]]
+        # A suffix ranks by the place of the first of its group.
+        index = np.arange(len(open_))
+        group = np.r_[True, base[1:] != base[:-1]]
+        inside = np.maximum.accumulate(np.where(fresh, index, 0)) - np.maximum.accumulate(np.where(group, index, 0))
+        rank[open_] = base + inside
+        alone = fresh & np.r_[fresh[1:], True]
+        open_ = open_[~alone]
+        base = rank[open_]
+        key = base * (n + 2) + rank[np.minimum(open_ + width, n)] + 1
         width *= 2
+    order = np.empty(n, np.int64)
+    order[rank[:n]] = np.arange(n)
+    return order
 
 
 # Reduced strings over more symbols are ranked by doubling: a bucket each is no array operation any more.
@@ -139,32 +150,51 @@ def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
     return _induce(s, types, lms, symbols)
 
 
-def permuted_prefixes(s: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def permuted_prefixes(s: np.ndarray, order: np.ndarray, enough: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each place: the suffix before its own in order, and how much both share.
 
     Only where the symbols before both differ must anything be compared; along other
-    places the common prefix shrinks by one a step.
+    places the common prefix shrinks by one a step. With ``enough``, whatever is at
+    least that long may be given as that long. Symbols are 16-bit numbers.
     """
     n = len(s)
     before = np.empty(n, np.int32)
     before[order[1:]] = order[:-1]
     before[order[0]] = -1
-    valid = before >= 0
     place = np.arange(n, dtype=np.int32)
     compared = np.ones(n, bool)
-    inner = (place > 0) & (before > 0)
-    compared[inner] = s[place[inner] - 1] != s[before[inner] - 1]
+    if enough is None:
+        inner = (place > 0) & (before > 0)
+        compared[inner] = s[place[inner] - 1] != s[before[inner] - 1]
+    padded = np.zeros(n + 4, np.uint64)
+    padded[:n] = s
+    four = padded[:n] | padded[1 : n + 1] << np.uint64(16) | padded[2 : n + 2] << np.uint64(32)
+    four |= padded[3 : n + 3] << np.uint64(48)
     shared = np.zeros(n, np.int32)
-    open_ = np.flatnonzero(compared & valid)
+    most = n if enough is None else enough
     step = 0
-    while len(open_):
-        a, b = open_ + step, before[open_] + step
-        inside = (a < n) & (b < n)
-        open_, a, b = open_[inside], a[inside], b[inside]
-        open_ = open_[s[a] == s[b]]
-        step += 1
+    open_ = np.flatnonzero(compared & (before >= 0)).astype(np.int32)
+    tail = []
+    while len(open_) and step < most:
+        a, b = open_ + np.int32(step), before[open_] + np.int32(step)
+        inside = np.maximum(a, b) < n
+        if not inside.all():
+            open_, a, b = open_[inside], a[inside], b[inside]
+        equal = four[a] == four[b]
+        tail.append((open_[~equal], step))
+        open_ = open_[equal]
+        step += 4
         shared[open_] = step
+    for places, step in tail:
+        for extra in range(3):
+            a, b = places + np.int32(step + extra), before[places] + np.int32(step + extra)
+            inside = np.maximum(a, b) < n
+            places, a, b = places[inside], a[inside], b[inside]
+            places = places[s[a] == s[b]]
+            shared[places] = step + extra + 1
+    if enough is not None:
+        return before, shared
     last = np.maximum.accumulate(np.where(compared, place, 0))
     shared = np.maximum(shared[last] - (place - last), 0)
-    shared[~valid] = 0
+    shared[before < 0] = 0
     return before, shared
