@@ -155,7 +155,8 @@ def pareto_mixture(
     rows = join_counted(ranked(rows), edges, ["source"])
     rows = rows.withColumnsRenamed({"source": "__source", "doc_id": "__doc_id", "size": "__size"})
     rows = join_counted(rows, won, ["__source", "__doc_id", "__size"])
-    extra = F.when(F.col("__bin") < F.col("__edge"), 1).when(F.col("__won"), 1).otherwise(0)
+    # Where all copies are certain, nothing is drawn, not even documents without words.
+    extra = F.when(F.col("__due") == 0, 0).when(F.col("__bin") < F.col("__edge"), 1).when(F.col("__won"), 1).otherwise(0)
     return rows.select(
         *[F.col(n).alias(c) for c, n in columns.items()],
         "__size",
