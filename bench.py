@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -35,6 +36,7 @@ def main():
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tidegraph-bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -18,6 +19,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.maxMetadataStringLength", "2000")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tidegraph-tests-"))
         # Tiny inputs: compiling each plan costs more than interpreting it.
         .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")

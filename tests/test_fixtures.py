@@ -94,7 +94,7 @@ def test_no_entry_is_lost_when_the_log_starts_late(spark):
 
 def test_closest_and_latest_snapshot(spark):
     index = spark.createDataFrame(
-        [(0, at(0), 5), (1, at(10), 9)], "snapshot_no INT, snapshot_ts TIMESTAMP_NTZ, snapshot_seq BIGINT"
+        [(0, at(0), 5), (1, at(10), 9)], "snapshot_no BIGINT, snapshot_ts TIMESTAMP_NTZ, snapshot_seq BIGINT"
     )
     closest = lambda s: snapshots.closest_snapshot(index, at(s)).first()["snapshot_no"]
     assert [closest(6), closest(1), closest(5)] == [1, 0, 0]

@@ -69,9 +69,17 @@ def read_contacts(spark, sf):
     return contacts.read_contacts(spark, path, ",")
 
 
-@query(f"WITH {q.TRADE_CONTACTS} SELECT src AS id FROM contacts UNION SELECT dst FROM contacts")
+@query(
+    f"WITH {q.TRADE_CONTACTS}, ends AS (SELECT src AS id FROM contacts UNION SELECT dst FROM contacts) "
+    "SELECT 'vertex' AS part, id, CAST(NULL AS BIGINT) AS src, CAST(NULL AS BIGINT) AS dst, CAST(NULL AS TIMESTAMP) AS ts FROM ends "
+    "UNION ALL SELECT 'edge', NULL, src, dst, ts FROM contacts"
+)
 def contacts_raw_graph(spark, sf):
-    return tp.contacts_raw_graph(samples.trade_contacts(spark, sf))[0]
+    vertices, raw_edges = tp.contacts_raw_graph(samples.trade_contacts(spark, sf))
+    rows = vertices.select(F.lit("vertex").alias("part"), "id").unionByName(
+        raw_edges.select(F.lit("edge").alias("part"), "src", "dst", "ts"), allowMissingColumns=True
+    )
+    return rows.select("part", "id", "src", "dst", "ts")
 
 
 @query(f"WITH {q.USERS} SELECT row_number() OVER (ORDER BY ts, seq) - 1 AS seq, ts, action, entity_type, id, attributes FROM users")
@@ -139,12 +147,22 @@ def load_or_generate_changelog(spark, sf):
     return cl.flat(log).select("seq", "ts", "action", "id", "src", "dst", "attributes")
 
 
-@query(f"WITH {q.USERS}, {q.state('users', q.USERS_T)} SELECT id, attributes FROM state")
+@query(
+    f"WITH {q.USERS}, {q.state('users', q.USERS_T, 'user_state')}, {q.NATION_EDGES}, {q.state('edges', q.ORDERS_T, 'edge_state')} "
+    "SELECT 'vertex' AS part, id, CAST(NULL AS BIGINT) AS src, CAST(NULL AS BIGINT) AS dst, attributes FROM user_state "
+    "UNION ALL SELECT 'edge', id, src, dst, attributes FROM edge_state"
+)
 def save_graph(spark, sf):
-    state = cl.state_at(users(spark, sf), q.USERS_T)
+    """The users and the live edges between nations, stored and read again."""
+    vertices = cl.state_at(users(spark, sf), q.USERS_T).select("id", "attributes")
+    live = cl.state_at(edges(spark, sf), q.ORDERS_T).select("id", "src", "dst", "attributes")
     path = new_path(spark, "graph")
-    store.save_graph(PropertyGraph(state.select("id", "attributes"), state.select("src", "dst")), path)
-    return cl.flat(store.load_graph(spark, path).vertices)
+    store.save_graph(PropertyGraph(vertices, live), path)
+    graph = store.load_graph(spark, path)
+    rows = cl.flat(graph.vertices).withColumn("part", F.lit("vertex")).unionByName(
+        cl.flat(graph.edges).withColumn("part", F.lit("edge")), allowMissingColumns=True
+    )
+    return rows.select("part", "id", "src", "dst", "attributes")
 
 
 # -- intervals ---------------------------------------------------------------
@@ -254,15 +272,20 @@ def lifecycle_edge_logs(spark, sf):
 # -- ordering ----------------------------------------------------------------
 
 
+def _placed(log):
+    """The entries with their places in the order they come in."""
+    placed = log.withColumn("__at", F.monotonically_increasing_id())
+    return dense_index(placed, ["__at"]).select("seq", "ts", "action", "id", "position")
+
+
 @query(f"WITH {q.NATIONS} SELECT seq, ts, action, id, row_number() OVER (ORDER BY ts, seq) - 1 AS position FROM nations")
 def sort_logs(spark, sf):
-    return cl.indexed_log(nations(spark, sf)).select("seq", "ts", "action", "id", "position")
+    return _placed(cl.sort_logs(nations(spark, sf)))
 
 
 @query(f"WITH {q.NATIONS} SELECT seq, ts, action, id, row_number() OVER (ORDER BY ts DESC, seq DESC) - 1 AS position FROM nations")
 def reverse_logs(spark, sf):
-    newest_first = [F.col("ts").desc(), F.col("seq").desc()]
-    return dense_index(nations(spark, sf), newest_first).select("seq", "ts", "action", "id", "position")
+    return _placed(cl.reverse_logs(nations(spark, sf)))
 
 
 @query(f"WITH {q.USERS} SELECT min(ts) AS min_ts, max(ts) AS max_ts FROM users")
@@ -536,10 +559,10 @@ SELECT '{name}' AS source, t AS threshold, edges FROM (
 WITH {contacts_sql},
 gaps AS (SELECT epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY src, dst ORDER BY ts)) AS gap FROM contacts)
 SELECT CAST(t AS BIGINT) AS t, count(*) FILTER (WHERE t = 0 OR gap IS NULL OR gap > t * {q.DAY_MICROS}::BIGINT) AS edges
-FROM gaps, (VALUES (0), (30), (90)) v(t) GROUP BY t)"""
+FROM gaps, (VALUES (0), {_THRESHOLDS}) v(t) GROUP BY t)"""
 
 
 @query(_sweep_sql("nations", q.NATION_CONTACTS) + " UNION ALL " + _sweep_sql("trade", q.TRADE_CONTACTS))
 def threshold_sweep_sources(spark, sf):
     sources = {"nations": samples.nation_contacts(spark, sf), "trade": samples.trade_contacts(spark, sf)}
-    return tp.threshold_sweeps(sources, thresholds=[30, 90], unit=samples.DAY)
+    return tp.threshold_sweeps(sources, unit=samples.DAY)

@@ -101,7 +101,7 @@ def _windows_sql(at: str, width: str, last: str) -> str:
 placed AS (SELECT *, {at} AS place FROM users),
 held AS (SELECT * FROM (SELECT *, lead(place) OVER (PARTITION BY id ORDER BY ts, seq) AS until FROM placed)
   WHERE action <> 'DELETE'),
-windows AS (SELECT CAST(i AS INTEGER) AS snapshot_no, (i + 1) * {width} AS stop FROM range({last} + 1) r(i)),
+windows AS (SELECT CAST(i AS BIGINT) AS snapshot_no, (i + 1) * {width} AS stop FROM range({last} + 1) r(i)),
 snapshots AS (SELECT snapshot_no, entity_type, id, attributes FROM held JOIN windows
   ON place < stop AND (until IS NULL OR until >= stop))"""
 
@@ -136,7 +136,7 @@ def snapshots_by_count(spark, sf):
 
 _INDEX_COUNT = f"""
 {_BY_COUNT},
-index_rows AS (SELECT CAST(place // 1000 AS INTEGER) AS snapshot_no, ts AS snapshot_ts, seq AS snapshot_seq
+index_rows AS (SELECT CAST(place // 1000 AS BIGINT) AS snapshot_no, ts AS snapshot_ts, seq AS snapshot_seq
   FROM placed WHERE place % 1000 = 999 OR place = (SELECT count(*) - 1 FROM users))"""
 _INDEX_TIME = f"""
 {_BY_TIME},
@@ -248,9 +248,15 @@ def vertex_at_validity(spark, sf):
     return _state(vl.vertex_at_validity(vl.attribute_intervals(users(spark, sf)), 7, q.USERS_T))
 
 
-@query(f"WITH {q.NATION_EDGES}, {q.state('edges', q.ORDERS_T)} SELECT id, src, dst, attributes FROM state WHERE id = 11")
+@query(
+    f"WITH {q.NATION_EDGES}, {q.state('edges', q.ORDERS_T)} SELECT id, src, dst, attributes FROM state "
+    "WHERE id = (SELECT min(id) FROM state)"
+)
 def edge_at_validity(spark, sf):
-    rows = vl.edge_at_validity(vl.attribute_intervals(edges(spark, sf)), 11, q.ORDERS_T)
+    """The edge with the smallest id of those that are alive."""
+    intervals = samples.kept(spark, sf, "edge-values", lambda s, d: vl.attribute_intervals(edges(s, d)))
+    alive = vl.snapshot_validity(intervals, q.ORDERS_T).agg(F.min("id")).first()[0]
+    rows = vl.edge_at_validity(intervals, -1 if alive is None else alive, q.ORDERS_T)
     return _state(rows, "id", "src", "dst", "attributes")
 
 
@@ -411,7 +417,7 @@ def q4_activated(spark, sf):
     return sweeps.activated_first_half(_logs(spark, sf))
 
 
-_OFFSETS = (-50, 0, 50, 100)
+_OFFSETS = tuple(range(-50, 901, 50))
 
 
 @query(f"""
@@ -467,7 +473,7 @@ def q1_neighbours_by_degree(spark, sf):
     return sweeps.neighbours_by_degree(edges(spark, sf), sessions)
 
 
-_SPACINGS = (500, 1000, 2000)
+_SPACINGS = (100, 200, 300, 400, 500)
 
 
 @query(f"""

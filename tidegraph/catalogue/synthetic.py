@@ -70,6 +70,19 @@ def draw_counts_zipf(spark, sf):
     return _draws(spark, sf, _ZIPF)
 
 
+_LARGE_ZIPF = sy.Distribution("zipf", 1_500_000, 0.75)
+
+
+@query(f"""
+WITH weights AS (SELECT k, pow(k::DOUBLE, -0.75) AS w FROM range(1, 1500001) r(k)),
+cumulated AS (SELECT k, (sum(w) OVER (ORDER BY k) - w) / (SELECT sum(w) FROM weights) AS low FROM weights),
+draws AS (SELECT c_custkey AS id, {_unit("'0|' || c_custkey")} AS u FROM customer)
+SELECT id, CAST(k AS BIGINT) AS updates FROM draws ASOF JOIN cumulated ON u >= low""")
+def draw_counts_zipf_large(spark, sf):
+    """A maximum above a million."""
+    return _draws(spark, sf, _LARGE_ZIPF)
+
+
 def _sessions(spark, sf):
     return tp.with_edge_ids(tp.merge_contacts(samples.nation_contacts(spark, sf), 30 * samples.DAY))
 
@@ -174,9 +187,9 @@ def _grid_sql(mode: str, i: int) -> str:
     return f"SELECT '{mode}' AS mode, {i} AS iteration, action, entries FROM ({counted})"
 
 
-@query(" UNION ALL ".join(_grid_sql(mode, i) for mode in ("negative", "uniform") for i in (1, 2)))
+@query(" UNION ALL ".join(_grid_sql(mode, i) for mode in ("negative", "uniform") for i in range(1, 6)))
 def persist_log_grid(spark, sf):
-    """Sizes of the logs stored for two correlation modes and two iterations."""
+    """Sizes of the logs stored for two correlation modes and five iterations."""
     paths = store.persist_log_grid(
         spark,
         _root(spark, sf),
@@ -184,7 +197,7 @@ def persist_log_grid(spark, sf):
         lambda distribution, mode: _generate(spark, sf, distribution, mode),
         lambda i: sy.scaled_distribution(_LOGNORMAL, i),
         ("negative", "uniform"),
-        2,
+        5,
     )
     sizes = [
         store.load_changelog(spark, path)

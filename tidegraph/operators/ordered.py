@@ -38,12 +38,17 @@ class OrderedRows:
     sliced: DataFrame | None
     keys: list[str]
     order: list[str]
+    # Whether a slice has one row per hot key, which bounds what the slices hand on.
+    few_edges: bool = True
 
     @classmethod
     def of(
         cls, df: DataFrame, keys: list[str], order: list[str], hot_rows: int | None = None
     ) -> "OrderedRows":
         hot_rows = hot_rows or HOT_ROWS
+        if not _is_scan(df):
+            # It is read twice, for the sizes of the keys and for the rows.
+            df = stored(df, "ordered-input")
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
         # Driver values: the size of the largest key and the rows in hot keys.
         largest, hot_total = counts.agg(
@@ -77,7 +82,7 @@ class OrderedRows:
         The slices stay valid, since they follow the order. So does the
         partitioning of the rows: no further shuffle is needed.
         """
-        return replace(self, keys=[*self.keys, *more_keys])
+        return replace(self, keys=[*self.keys, *more_keys], few_edges=False)
 
     def with_values(
         self,
@@ -149,12 +154,13 @@ class OrderedRows:
             before,
             after,
         )
-        # At most one edge per slice and hot key, so this side is small.
         edges = edges.withColumnsRenamed({c: f"__k_{c}" for c in [*self.keys, _SLICE]})
         match = F.lit(True)
         for c in [*self.keys, _SLICE]:
             match = match & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-        joined = local.join(F.broadcast(edges), match, "left")
+        # At most one edge per slice and hot key, so this side is small; grouped by
+        # further keys it has one for each of those too, and is joined like any table.
+        joined = local.join(F.broadcast(edges) if self.few_edges else edges, match, "left")
         filled = joined.withColumns(
             {
                 **{n: F.when(F.col("__has_prev"), F.col(n)).otherwise(F.col(f"__in_{n}")) for n in lag},
@@ -166,6 +172,14 @@ class OrderedRows:
         return filled.select(*[c for c in self.sliced.columns if c not in added], *added)
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether a frame only filters and projects one stored table."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return plan.nodeName().startswith(("LogicalRelation", "Relation"))
+
+
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     match = F.lit(True)
     for c in keys:
@@ -207,18 +221,22 @@ def dense_index(df: DataFrame, order: list[str | Column], name: str = "position"
 _CHUNK = 100_000
 
 
-def repeat_rows(df: DataFrame, times: str, keys: list[str], name: str = "k") -> DataFrame:
+def repeat_rows(
+    df: DataFrame, times: str, keys: list[str] | None, name: str = "k"
+) -> DataFrame:
     """Each row ``times`` times, numbered 0, 1, 2, ... in the column ``name``.
 
-    A row with a large count is first split into chunks that are spread over the
-    tasks, so no task makes all the copies of a row and no array holds them.
+    A row with a large count is first split into chunks, so no array holds all its
+    copies. With ``keys`` the chunks are spread over the tasks by them; without, a
+    row's copies stay in its task and nothing is shuffled.
     """
     count, chunk = F.col(times).cast("bigint"), F.col("__chunk")
     last = (count - 1 - F.pmod(count - 1, F.lit(_CHUNK))) / _CHUNK
+    chunks = df.where(count > 0).withColumn(
+        "__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint")))
+    )
     return (
-        df.where(count > 0)
-        .withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))))
-        .repartition(*keys, "__chunk")
+        (chunks if keys is None else chunks.repartition(*keys, "__chunk"))
         .withColumn(name, F.explode(F.sequence(chunk * _CHUNK, F.least((chunk + 1) * _CHUNK, count) - 1)))
         .drop("__chunk")
     )

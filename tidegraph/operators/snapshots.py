@@ -22,7 +22,7 @@ from .changelog import (
     state_at,
     vertex_logs,
 )
-from .ordered import OrderedRows
+from .ordered import OrderedRows, repeat_rows
 from .validity import assemble, attribute_intervals_over, _is_live
 
 # "Every entry at this instant is included."
@@ -59,12 +59,12 @@ def _every(log: DataFrame, at: str, width: int, origin: int, last: int, attribut
         )
     window = lambda c: floor_div(F.col(c) - origin, width)
     first, final = window("valid_from"), F.coalesce(window("valid_to") - 1, F.lit(last))
-    repeated = (
-        rows.withColumns({"__first": first, "__final": final})
-        .where(F.col("__first") <= F.col("__final"))
-        .withColumn(
-            "snapshot_no", F.explode(F.sequence(F.col("__first").cast("int"), F.col("__final").cast("int")))
-        )
+    spans = rows.withColumns({"__first": first, "__final": final}).withColumn(
+        "__times", F.col("__final") - F.col("__first") + 1
+    )
+    # The copies stay in their tasks: the one exchange is that of ``assemble``.
+    repeated = repeat_rows(spans, "__times", None, "__k").withColumn(
+        "snapshot_no", (F.col("__first") + F.col("__k")).cast("bigint")
     )
     if attributes == "merge":
         return assemble(repeated, "snapshot_no")

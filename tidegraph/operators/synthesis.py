@@ -5,17 +5,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.attributes import hashed_unit, surrogate_id
 from ..functions.times import epoch_seconds, floor_div, seconds_to_ts
 from ..schema import CHANGELOG, CREATE, DELETE, EDGE, UPDATE, VERTEX, conform, no_attributes
 from .graph import degrees
-from .ordered import dense_index, repeat_rows
+from .ordered import OrderedRows, dense_index, repeat_rows
 
-# A Zipf table is built for every value up to the maximum, so that is bounded.
-ZIPF_LIMIT = 1_000_000
-_ZIPF_CELLS = 1024
+_ZIPF_BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -57,31 +55,39 @@ def draw_counts(
     if distribution.kind == "lognormal":
         return df.withColumn(name, F.exp(F.lit(a) + _standard_normal(seed, keys) * b).cast("bigint"))
     if distribution.kind == "zipf":
-        return _zipf(df, unit, int(a), b, name)
+        return _zipf(df, unit, keys, int(a), b, name)
     raise ValueError(f"unknown distribution {distribution.kind!r}")
 
 
-def _zipf(df: DataFrame, unit: Column, maximum: int, exponent: float, name: str) -> DataFrame:
-    """Invert the cumulative table by an equi-join on a cell of [0, 1) and a comparison."""
-    if maximum > ZIPF_LIMIT:
-        raise ValueError(f"a Zipf maximum above {ZIPF_LIMIT} is not supported")
-    weights = [k**-exponent for k in range(1, maximum + 1)]
-    total = math.fsum(weights)
-    rows, low, running = [], 0.0, 0.0
-    for k, w in enumerate(weights, 1):
-        running += w
-        high = running / total if k < maximum else 1.0
-        rows.append((k, low, high))
-        low = high
-    cell = lambda c: F.floor(c * _ZIPF_CELLS)
-    table = df.sparkSession.createDataFrame(rows, "value BIGINT, low DOUBLE, high DOUBLE").withColumn(
-        "__cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high"))))
+def _zipf(df: DataFrame, unit: Column, keys: list[str], maximum: int, exponent: float, name: str) -> DataFrame:
+    """Invert the cumulative weights: draws and the lower bounds of the values are put in one order.
+
+    Each draw takes the last bound before it, so there is no table that every task
+    holds, and the maximum may be any number. Weights are summed in blocks, then blocks.
+    """
+    value, block = F.col("__value"), Window.partitionBy("__block")
+    weights = df.sparkSession.range(1, maximum + 1).select(
+        F.col("id").alias("__value"),
+        F.floor((F.col("id") - 1) / _ZIPF_BLOCK).alias("__block"),
+        F.pow(F.col("id").cast("double"), F.lit(-exponent)).alias("__weight"),
+    )
+    # A row per block of values: bounded by the parameter.
+    sums = weights.groupBy("__block").agg(F.sum("__weight").alias("__sum"))
+    earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(
+        "__block",
+        F.coalesce(F.sum("__sum").over(earlier), F.lit(0.0)).alias("__before"),
+        F.sum("__sum").over(Window.partitionBy()).alias("__total"),
+    )
+    inside = block.orderBy("__value").rowsBetween(Window.unboundedPreceding, -1)
+    bounds = weights.withColumn("__inside", F.coalesce(F.sum("__weight").over(inside), F.lit(0.0)))
+    bounds = bounds.join(sums, "__block").select(
+        "__value", ((F.col("__before") + F.col("__inside")) / F.col("__total")).alias("__u"), F.lit(0).alias("__kind")
     )
-    placed = df.withColumn("__u", unit).withColumn("__cell", cell(F.col("__u")))
-    hit = (placed["__cell"] == table["__cell"]) & (F.col("__u") >= F.col("low")) & (F.col("__u") < F.col("high"))
-    # ``maximum`` plus one row per cell: bounded by the parameter.
-    joined = placed.join(F.broadcast(table), hit)
-    return joined.select(*df.columns, F.col("value").alias(name))
+    draws = df.withColumns({"__u": unit, "__kind": F.lit(1)})
+    both = draws.unionByName(bounds, allowMissingColumns=True).withColumn("__all", F.lit(0))
+    found = OrderedRows.of(both, ["__all"], ["__u", "__kind", "__value", *keys]).with_values(before={"__found": value})
+    return found.rows().where("__kind = 1").select(*df.columns, F.col("__found").alias(name))
 
 
 def _mode_order(mode: str, weight: str, key: str, seed: int) -> list[Column]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import (
-    IntegerType,
     LongType,
     MapType,
     StringType,
@@ -85,7 +84,7 @@ STATE = StructType(
 
 SNAPSHOT_INDEX = StructType(
     [
-        StructField("snapshot_no", IntegerType()),
+        StructField("snapshot_no", LongType()),
         StructField("snapshot_ts", TimestampNTZType()),
         StructField("snapshot_seq", LongType()),
     ]

@@ -122,6 +122,12 @@ def contact_log(contacts: DataFrame, threshold_seconds: int = 30 * DAY) -> DataF
     Each session is an edge: CREATE at its first contact, UPDATE at each contact in
     between, DELETE at its last. A session of one contact lives for no time at all.
     """
+    entries = _contact_entries(contacts, threshold_seconds)
+    return conform(dense_index(entries, ["ts", "rank", "id"], "seq"), CHANGELOG)
+
+
+def _contact_entries(contacts: DataFrame, threshold_seconds: int) -> DataFrame:
+    """The entries of such a log before they are numbered."""
     members = stored(contacts_in_sessions(contacts, threshold_seconds), "contacts")
     sessions = with_edge_ids(sessions_of(members))
     ends = sessions.select(
@@ -141,7 +147,7 @@ def contact_log(contacts: DataFrame, threshold_seconds: int = 30 * DAY) -> DataF
         .where(F.col("ts") < F.col("valid_to"))
         .select(F.col("edge_id").alias("id"), "src", "dst", "ts", F.lit(UPDATE).alias("action"))
     )
-    entries = ends.unionByName(inner).select(
+    return ends.unionByName(inner).select(
         "ts",
         "action",
         F.lit(EDGE).alias("entity_type"),
@@ -153,7 +159,6 @@ def contact_log(contacts: DataFrame, threshold_seconds: int = 30 * DAY) -> DataF
         .alias("attributes"),
         action_rank(F.col("action")).alias("rank"),
     )
-    return conform(dense_index(entries, ["ts", "rank", "id"], "seq"), CHANGELOG)
 
 
 def nation_edge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +171,7 @@ def trade_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     A vertex is created with its first contact and updated by each later order day.
     """
     contacts = stored(trade_contacts(spark, sf_dir), "contacts")
-    edges = contact_log(contacts, 365 * DAY)
+    edges = _contact_entries(contacts, 365 * DAY)
     days = contacts.select(F.explode(F.array("src", "dst")).alias("id"), "ts").distinct()
     first = days.groupBy("id").agg(F.min("ts").alias("first"))
     vertices = days.join(first, "id").select(
@@ -177,10 +182,8 @@ def trade_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("bigint").alias("src"),
         F.lit(None).cast("bigint").alias("dst"),
         F.create_map(F.lit("day"), F.substring(F.col("ts").cast("string"), 1, 10)).alias("attributes"),
-        F.lit(None).cast("bigint").alias("seq"),
-    )
-    entries = edges.unionByName(vertices.select(*edges.columns)).withColumn("rank", action_rank(F.col("action")))
-    numbered = dense_index(entries.drop("seq"), ["ts", "rank", "entity_type", "id"], "seq")
+    ).withColumn("rank", action_rank(F.col("action")))
+    numbered = dense_index(edges.unionByName(vertices), ["ts", "rank", "entity_type", "id"], "seq")
     return conform(numbered, CHANGELOG)
 
 
@@ -201,7 +204,7 @@ def kept(
     key = (spark.sparkContext.applicationId, sf_dir, name)
     path = _paths.setdefault(key, new_path(spark, name))
     if not exists(spark, path):
-        make(spark, sf_dir).write.parquet(path)
+        make(spark, sf_dir).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

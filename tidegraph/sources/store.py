@@ -27,8 +27,8 @@ def _by_entity(rows: DataFrame, *more: str) -> DataFrame:
     return rows.repartitionByRange(*columns).sortWithinPartitions(*columns)
 
 
-def save_changelog(log: DataFrame, path: str) -> None:
-    _by_time(log).write.parquet(path)
+def save_changelog(log: DataFrame, path: str, replace: bool = False) -> None:
+    _by_time(log).write.mode("overwrite" if replace else "errorifexists").parquet(path)
 
 
 def load_changelog(spark: SparkSession, path: str) -> DataFrame:
@@ -50,9 +50,10 @@ def changelog_path(root: str, dataset: str, distribution: Distribution, mode: st
 def load_or_generate_changelog(
     spark: SparkSession, path: str, generate: Callable[[], DataFrame]
 ) -> DataFrame:
-    """The log stored at ``path``; when there is none, generate and store it first."""
+    """The log stored at ``path``; when there is none, or not all of it, generate and store it first."""
     if not exists(spark, path):
-        save_changelog(generate(), path)
+        # What an interrupted run has left there is replaced.
+        save_changelog(generate(), path, replace=True)
     return load_changelog(spark, path)
 
 

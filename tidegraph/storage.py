@@ -2,30 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
-
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only a local session without
-    that setting gets a folder of its own; elsewhere the setting is required,
-    because executors do not share a machine-local folder.
+    It is the cluster's ``spark.checkpoint.dir``; without that setting the
+    warehouse, which driver and executors share as well. Never a temporary folder
+    of one machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if configured:
-        return f"{configured.rstrip('/')}/tidegraph-{app}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="tidegraph-")
-    return _local_dirs[app]
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/tidegraph-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -40,7 +30,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table that no DataFrame needs any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; call it when no DataFrame needs them any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop(spark, work_dir(spark))
