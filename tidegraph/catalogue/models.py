@@ -352,71 +352,6 @@ def earliest_payload(spark, sf):
 # -- sweeps ------------------------------------------------------------------
 
 
-def _logs(spark, sf):
-    return {"users": sweeps.prepared(users(spark, sf)), "edges": sweeps.prepared(edges(spark, sf))}
-
-
-def _sizes_sql(parts: dict[str, str]) -> str:
-    """Rows for both logs and both models; ``parts`` gives the count found in each log."""
-    rows = [
-        f"SELECT '{log}' AS log, '{model}' AS model, (SELECT count(*) FROM {log}) AS entries, ({found}) AS found"
-        for log, found in parts.items()
-        for model in ("intervals", "snapshots")
-    ]
-    return " UNION ALL ".join(rows)
-
-
-_BOTH_LIVES = f"{q.USERS}, {q.NATION_EDGES}, {q.lives('users', 'user_lives')}, {q.lives('edges', 'edge_lives')}"
-
-
-@query(
-    f"WITH {_BOTH_LIVES} "
-    + _sizes_sql(
-        {
-            "users": "0",
-            "edges": "SELECT count(DISTINCT CASE WHEN dst = 7 THEN src ELSE dst END) FROM edges WHERE src = 7 OR dst = 7",
-        }
-    )
-)
-def q1_neighbours_all_time(spark, sf):
-    return sweeps.neighbours_all_time(_logs(spark, sf), 7)
-
-
-def _early(log: str) -> str:
-    return f"(SELECT ts FROM (SELECT ts, row_number() OVER (ORDER BY ts, seq) AS place FROM {log}) WHERE place = (SELECT count(*) // 20 FROM {log}))"
-
-
-def _alive(lives: str, log: str, more: str = "") -> str:
-    return f"SELECT count(*) FROM {lives} WHERE valid_from <= {_early(log)} AND (valid_to IS NULL OR valid_to > {_early(log)}) {more}"
-
-
-@query(
-    f"WITH {_BOTH_LIVES} "
-    + _sizes_sql({"users": _alive("user_lives", "users"), "edges": _alive("edge_lives", "edges")})
-)
-def q2_snapshot(spark, sf):
-    return sweeps.snapshot_early(_logs(spark, sf))
-
-
-@query(
-    f"WITH {_BOTH_LIVES} " + _sizes_sql({"users": _alive("user_lives", "users", "AND id = 7"), "edges": "0"})
-)
-def q3_entity(spark, sf):
-    return sweeps.entity_early(_logs(spark, sf), "VERTEX", 7)
-
-
-def _half(log: str) -> str:
-    return (
-        f"SELECT count(*) FROM (SELECT min(ts) AS first FROM {log} WHERE action = 'CREATE' GROUP BY id) "
-        f"WHERE first >= (SELECT min(ts) FROM {log}) AND epoch_us(first) <= (SELECT max(epoch_us(ts)) // 2 FROM {log})"
-    )
-
-
-@query(f"WITH {_BOTH_LIVES} " + _sizes_sql({"users": _half("users"), "edges": _half("edges")}))
-def q4_activated(spark, sf):
-    return sweeps.activated_first_half(_logs(spark, sf))
-
-
 _OFFSETS = tuple(range(-50, 901, 50))
 
 

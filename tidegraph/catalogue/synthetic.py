@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
@@ -209,7 +210,7 @@ def persist_log_grid(spark, sf):
     return sweeps.together(sizes)
 
 
-def _four_sql(name: str, mode: str, d: sy.Distribution) -> str:
+def _four_sql(name: str, mode: str, d: sy.Distribution, span: bool = False) -> str:
     early = "(SELECT ts FROM generated WHERE seq = (SELECT count(*) // 20 - 1 FROM generated))"
     alive = f"SELECT count(*) FROM lives WHERE valid_from <= {early} AND (valid_to IS NULL OR valid_to > {early})"
     found = {
@@ -219,6 +220,10 @@ def _four_sql(name: str, mode: str, d: sy.Distribution) -> str:
         "activated": "SELECT count(*) FROM (SELECT min(ts) AS first FROM generated WHERE action = 'CREATE' GROUP BY entity_type, id) "
         "WHERE epoch_us(first) <= (SELECT max(epoch_us(ts)) // 2 FROM generated)",
     }
+    if span:
+        found["activated_span"] = found["activated"].replace(
+            "max(epoch_us(ts)) // 2", "min(epoch_us(ts)) + (max(epoch_us(ts)) - min(epoch_us(ts))) // 2"
+        )
     rows = " UNION ALL ".join(f"SELECT '{question}' AS question, ({sql}) AS found" for question, sql in found.items())
     return (
         f"SELECT '{name}' AS log, model, entries, found, question FROM (WITH {_generated_sql(mode, d)}, {q.lives('generated')}, "
@@ -227,17 +232,66 @@ def _four_sql(name: str, mode: str, d: sy.Distribution) -> str:
     )
 
 
-@query(" UNION ALL ".join(_four_sql(mode, mode, _LOGNORMAL) for mode in ("negative", "uniform", "positive")))
+# Settings of the sweeps against log size: each iteration makes a longer log.
+_ITERATIONS = range(1, 6)
+_MODES = {f"{mode}-{i}": (_LOGNORMAL, mode, i) for mode in ("negative", "uniform", "positive") for i in _ITERATIONS}
+_KINDS = {f"{d.kind}-{i}": (d, "positive", i) for d in (_LOGNORMAL, _UNIFORM, _GAUSSIAN) for i in _ITERATIONS}
+_GROWING = {f"lognormal-{i}": (_LOGNORMAL, "positive", i) for i in _ITERATIONS}
+_prepared: dict[tuple, sweeps.Prepared] = {}
+
+
+def _growing_logs(spark, sf, settings):
+    """Both stored models of each log, made once per session; logs are small, so some are made at a time."""
+    samples.kept(spark, sf, "nation_sessions", _sessions)  # All of them read it.
+
+    def one(setting):
+        base, mode, i = setting
+        d = sy.scaled_distribution(base, i)
+        key = (spark.sparkContext.applicationId, sf, d, mode)
+        if key not in _prepared:
+            _prepared[key] = sweeps.prepared(generated_log(spark, sf, d, mode), keep=True)
+        return _prepared[key]
+
+    with ThreadPoolExecutor(5) as pool:
+        return dict(zip(settings, pool.map(one, settings.values())))
+
+
+def _settings_sql(settings, question=None) -> str:
+    parts = [_four_sql(name, mode, sy.scaled_distribution(d, i), question is not None) for name, (d, mode, i) in settings.items()]
+    rows = " UNION ALL ".join(parts)
+    if question is None:
+        return rows
+    return f"SELECT log, model, entries, found FROM ({rows}) WHERE question = '{question}'"
+
+
+@query(_settings_sql(_MODES))
 def q9_correlation_modes(spark, sf):
-    """The four questions over logs generated with each correlation mode."""
-    modes = ("negative", "uniform", "positive")
-    logs = {mode: sweeps.prepared(generated_log(spark, sf, mode=mode), keep=True) for mode in modes}
-    return sweeps.four_questions(logs, 7)
+    """The four questions over five growing logs generated with each correlation mode."""
+    return sweeps.four_questions(_growing_logs(spark, sf, _MODES), 7)
 
 
-@query(" UNION ALL ".join(_four_sql(d.kind, "positive", d) for d in (_LOGNORMAL, _UNIFORM, _GAUSSIAN)))
+@query(_settings_sql(_KINDS))
 def q1_to_q4_distributions(spark, sf):
-    """The four questions over logs generated with each distribution."""
-    kinds = (_LOGNORMAL, _UNIFORM, _GAUSSIAN)
-    logs = {d.kind: sweeps.prepared(generated_log(spark, sf, d), keep=True) for d in kinds}
-    return sweeps.four_questions(logs, 7)
+    """The four questions over five growing logs generated with each distribution."""
+    return sweeps.four_questions(_growing_logs(spark, sf, _KINDS), 7)
+
+
+@query(_settings_sql(_GROWING, "neighbours"))
+def q1_neighbours_all_time(spark, sf):
+    return sweeps.neighbours_all_time(_growing_logs(spark, sf, _GROWING), 7)
+
+
+@query(_settings_sql(_GROWING, "snapshot"))
+def q2_snapshot(spark, sf):
+    return sweeps.snapshot_early(_growing_logs(spark, sf, _GROWING))
+
+
+@query(_settings_sql(_GROWING, "entity"))
+def q3_entity(spark, sf):
+    return sweeps.entity_early(_growing_logs(spark, sf, _GROWING), "VERTEX", 7)
+
+
+@query(_settings_sql(_GROWING, "activated_span"))
+def q4_activated(spark, sf):
+    """Entities activated in the first half of the log's span."""
+    return sweeps.activated_first_half(_growing_logs(spark, sf, _GROWING), "span")

@@ -82,8 +82,9 @@ def neighbours_all_time(logs: Logs, vertex: int) -> DataFrame:
 
 
 def _early_time(indexed: DataFrame):
-    row = nth_log_timestamp(indexed, 20).first()
-    return None if row is None else row["ts"]
+    """The time at a twentieth of the log; of a log under twenty entries, its first time."""
+    row = nth_log_timestamp(indexed, 20).first() or indexed.agg(F.min("ts").alias("ts")).first()
+    return row["ts"]
 
 
 def snapshot_early(logs: Logs) -> DataFrame:
@@ -98,13 +99,13 @@ def entity_early(logs: Logs, entity_type: str, id_: int) -> DataFrame:
     )
 
 
-def activated_first_half(logs: Logs) -> DataFrame:
-    """Entities activated between the first entry and half the (epoch) time of the last."""
+def activated_first_half(logs: Logs, half_of: str = "epoch") -> DataFrame:
+    """Entities activated from the first entry up to half of the last one's epoch time, or half of the span."""
 
     def ask(graph: TemporalGraph, indexed: DataFrame) -> DataFrame:
         low, high = indexed.agg(F.min("ts"), F.max("ts")).first()
-        epoch = high.__class__(1970, 1, 1)
-        return graph.activated_entities(low, epoch + (high - epoch) / 2)
+        begin = high.__class__(1970, 1, 1) if half_of == "epoch" else low
+        return graph.activated_entities(low, begin + (high - begin) / 2)
 
     return over_log_sizes(logs, ask)
 
