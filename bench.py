@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.catalogue import QUERIES
 from tidegraph.operators import graph as g
+from tidegraph.operators.changelog import indexed_log, nth_log_timestamp
 from tidegraph.operators import topology as tp
 from tidegraph.plans.temporal_graph import IntervalGraph, SnapshotGraph
 from tidegraph.sources import samples
@@ -26,7 +27,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = 3
 SUPPLIER = 10_000_007
 CUSTOMER = 56
-EARLY, MIDDLE = "1996-01-01", "1998-06-01"
+MIDDLE = "1998-06-01"
 
 
 def main():
@@ -67,11 +68,13 @@ def main():
         "intervals": IntervalGraph.load(spark, interval_path),
         "snapshots": SnapshotGraph.load(spark, snapshot_path),
     }
+    # As the published runs ask: at a twentieth of the log.
+    early = nth_log_timestamp(indexed_log(log), 20).first()["ts"]
     low, half = log.agg(F.min("ts"), F.min("ts") + (F.max("ts") - F.min("ts")) / 2).first()
     for name, model in models.items():
         query(f"q1_neighbours_{name}", lambda: model.direct_neighbours(SUPPLIER))
-        query(f"q2_snapshot_{name}", lambda: model.snapshot_at_time(EARLY))
-        query(f"q3_entity_{name}", lambda: model.entity_at_time("VERTEX", CUSTOMER, EARLY))
+        query(f"q2_snapshot_{name}", lambda: model.snapshot_at_time(early))
+        query(f"q3_entity_{name}", lambda: model.entity_at_time("VERTEX", CUSTOMER, early))
         query(f"q4_activated_{name}", lambda: model.activated_entities(low, half))
         query(f"q7_neighbours_half_{name}", lambda: model.direct_neighbours(SUPPLIER, low, half))
     query("q5_snapshot_late_snapshots", lambda: models["snapshots"].snapshot_at_time(MIDDLE))

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 from tidegraph.operators import snapshots, synthesis, validity
+from tidegraph.plans.temporal_graph import IntervalGraph, SnapshotGraph
 from tidegraph.schema import CHANGELOG
 from tidegraph.sources import store
 from tidegraph.storage import new_path, stored, work_dir
@@ -70,3 +71,36 @@ def test_a_half_written_store_is_replaced(spark):
 
 def test_the_work_folder_is_shared(spark):
     assert work_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def contacts_log(spark, n=400):
+    rows = []
+    for i in range(n):
+        ends = {"src": i % 40, "dst": 100 + i % 7}
+        at = START + dt.timedelta(days=10 * i)
+        rows.append({"seq": 2 * i, "ts": at, "action": "CREATE", "entity_type": "EDGE", "id": i, "attributes": {"a": "b"}, **ends})
+        rows.append({"seq": 2 * i + 1, "ts": at + dt.timedelta(days=9), "action": "DELETE", "entity_type": "EDGE", "id": i, **ends})
+    return stored(log_of(spark, [tuple(r.get(c) for c in CHANGELOG.fieldNames()) for r in rows]), "contacts-log")
+
+
+def test_stored_models_answer_by_vertex_and_by_end_year(spark):
+    log = contacts_log(spark)
+    for fresh in (IntervalGraph.from_log(log), SnapshotGraph.from_log(log, every_actions=100)):
+        path = new_path(spark, "model")
+        fresh.save(path)
+        kept = type(fresh).load(spark, path)
+        for vertex in (3, 104, 999):
+            for span in ((None, None), (START + dt.timedelta(days=400), START + dt.timedelta(days=900))):
+                want = sorted(r["id"] for r in fresh.direct_neighbours(vertex, *span).collect())
+                assert sorted(r["id"] for r in kept.direct_neighbours(vertex, *span).collect()) == want
+        asked = kept.direct_neighbours(3)._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(vertex,3)" in asked
+        for days in (0, 5, 365, 3000, 3995, 9000):
+            at = START + dt.timedelta(days=days)
+            want = sorted(map(repr, fresh.snapshot_at_time(at).collect()))
+            assert sorted(map(repr, kept.snapshot_at_time(at).collect())) == want
+    stored_intervals = IntervalGraph.from_log(log)
+    path = new_path(spark, "intervals")
+    stored_intervals.save(path)
+    plan = IntervalGraph.load(spark, path).snapshot_at_time("2009-06-01")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(end_year" in plan and ">= 2009" in plan

@@ -24,6 +24,13 @@ _OLO, _OHI = (f"TIMESTAMP '{t}'" for t in q.ORDERS_SPAN)
 _STATE = ["entity_type", "id", "attributes"]
 
 
+def saved(spark, model):
+    """A model as it answers once it is stored."""
+    path = new_path(spark, "model")
+    model.save(path)
+    return type(model).load(spark, path)
+
+
 def _state(df, *columns):
     return cl.flat(df).select(*(columns or _STATE))
 
@@ -191,7 +198,7 @@ def storage_comparison(spark, sf):
 
 @query(f"WITH {q.USERS}, {q.state('users', q.USERS_T)} SELECT entity_type, id, attributes FROM state")
 def snapshot_validity(spark, sf):
-    return _state(IntervalGraph.from_log(users(spark, sf)).snapshot_at_time(q.USERS_T))
+    return _state(saved(spark, IntervalGraph.from_log(users(spark, sf))).snapshot_at_time(q.USERS_T))
 
 
 @query(
@@ -204,7 +211,7 @@ def snapshot_validity_replace(spark, sf):
 
 @query(f"WITH {q.NATIONS}, {q.state('nations', q.ORDERS_T)} SELECT entity_type, id, attributes FROM state")
 def snapshot_validity_merge(spark, sf):
-    return _state(IntervalGraph.from_log(nations(spark, sf)).snapshot_at_time(q.ORDERS_T))
+    return _state(saved(spark, IntervalGraph.from_log(nations(spark, sf))).snapshot_at_time(q.ORDERS_T))
 
 
 @query(
@@ -218,18 +225,18 @@ def snapshot_validity_left_open(spark, sf):
 
 @query(f"WITH {q.USERS}, {q.state('users', q.USERS_T)} SELECT entity_type, id, attributes FROM state")
 def snapshot_delta(spark, sf):
-    return _state(SnapshotGraph(user_snapshots_by_count(spark, sf)).snapshot_at_time(q.USERS_T))
+    return _state(saved(spark, SnapshotGraph(user_snapshots_by_count(spark, sf))).snapshot_at_time(q.USERS_T))
 
 
 @query(f"WITH {q.NATIONS}, {q.state('nations', q.ORDERS_T)} SELECT entity_type, id, attributes FROM state")
 def snapshot_delta_with_ties(spark, sf):
-    model = SnapshotGraph.from_log(nations(spark, sf), every_actions=777)
+    model = saved(spark, SnapshotGraph.from_log(nations(spark, sf), every_actions=777))
     return _state(model.snapshot_at_time(q.ORDERS_T))
 
 
 @query(f"WITH {q.NATION_EDGES}, {q.state('edges', q.ORDERS_T)} SELECT id, src, dst, attributes FROM state")
 def snapshot_delta_by_time(spark, sf):
-    model = SnapshotGraph.from_log(edges(spark, sf), every_seconds=90 * _DAY)
+    model = saved(spark, SnapshotGraph.from_log(edges(spark, sf), every_seconds=90 * _DAY))
     return _state(model.snapshot_at_time(q.ORDERS_T), "id", "src", "dst", "attributes")
 
 
@@ -262,7 +269,8 @@ def edge_at_validity(spark, sf):
 
 @query(_ONE_USER)
 def entity_at_delta(spark, sf):
-    return _state(sn.entity_at_delta(user_snapshots_by_count(spark, sf), "VERTEX", 7, q.USERS_T))
+    model = saved(spark, SnapshotGraph(user_snapshots_by_count(spark, sf)))
+    return _state(model.entity_at_time("VERTEX", 7, q.USERS_T))
 
 
 @query(_ONE_USER)
@@ -280,11 +288,23 @@ WHERE (src = 3 OR dst = 3) AND valid_from <= {_OHI} AND (valid_to IS NULL OR val
 
 @query(_NEIGHBOURS)
 def neighbours_validity(spark, sf):
-    return IntervalGraph.from_log(edges(spark, sf)).direct_neighbours(3, *q.ORDERS_SPAN)
+    return saved(spark, IntervalGraph.from_log(edges(spark, sf))).direct_neighbours(3, *q.ORDERS_SPAN)
 
 
 @query(_NEIGHBOURS)
 def neighbours_delta(spark, sf):
+    model = saved(spark, SnapshotGraph.from_log(edges(spark, sf), every_seconds=90 * _DAY))
+    return model.direct_neighbours(3, *q.ORDERS_SPAN)
+
+
+@query(_NEIGHBOURS)
+def neighbours_from_lives(spark, sf):
+    """From a model that is not stored: all lives are looked through."""
+    return vl.neighbours_validity(vl.attribute_intervals(edges(spark, sf)), 3, *q.ORDERS_SPAN)
+
+
+@query(_NEIGHBOURS)
+def neighbours_from_log(spark, sf):
     return sn.neighbours_delta(edges(spark, sf), 3, *q.ORDERS_SPAN)
 
 

@@ -23,7 +23,7 @@ from .changelog import (
     vertex_logs,
 )
 from .ordered import OrderedRows, repeat_rows
-from .validity import assemble, attribute_intervals_over, _is_live
+from .validity import _is_live, assemble, attribute_intervals_over, edge_ends
 
 # "Every entry at this instant is included."
 _ALL_OF_INSTANT = (1 << 63) - 1
@@ -203,22 +203,37 @@ def neighbours_delta(log: DataFrame, vertex: int, start=None, stop=None) -> Data
 
     An edge counts when it is alive as the interval begins or is created inside it.
     """
+    other = other_end(F.col("src"), F.col("dst"), vertex)
+    return _touched(lifecycle_edge_logs(log, vertex), ["id", "src", "dst"], start, stop, other)
+
+
+def _touched(entries: DataFrame, by: list[str], start, stop, other: Column) -> DataFrame:
     ts, action = F.col("ts"), F.col("action")
-    rows = lifecycle_edge_logs(log, vertex).where(within(ts, None, stop))
+    rows = entries.where(within(ts, None, stop))
     created = F.coalesce(F.max(F.when(within(ts, start, None), action == CREATE)), F.lit(False))
     touched = created
     if start is not None:
         earlier = F.max_by(action, F.when(ts < instant(start), F.struct("ts", "seq")))
         touched = touched | F.coalesce(earlier == CREATE, F.lit(False))
     return (
-        rows.groupBy("id", "src", "dst")
+        rows.groupBy(*by)
         .agg(touched.alias("touched"))
         .where("touched")
-        .select(other_end(F.col("src"), F.col("dst"), vertex).alias("id"))
+        .select(other.alias("id"))
         .distinct()
     )
 
 
+def action_ends(log: DataFrame) -> DataFrame:
+    """CREATE and DELETE entries of edges by vertex, for asking one vertex."""
+    return edge_ends(log.where(is_lifecycle(F.col("action"))), "id", "ts", "seq", "action")
+
+
+def neighbours_of_actions(ends: DataFrame, vertex: int, start=None, stop=None) -> DataFrame:
+    """As ``neighbours_delta``, from the entries by vertex."""
+    return _touched(ends.where(F.col("vertex") == vertex), ["id", "other"], start, stop, F.col("other"))
+
+
 def activated_delta(log: DataFrame, start=None, stop=None, mode: str = "first_activation") -> DataFrame:
     """Entities activated in the closed interval, from the log; see ``activated_validity``."""
     ts = F.col("ts")

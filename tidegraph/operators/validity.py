@@ -18,6 +18,14 @@ from .changelog import is_lifecycle
 from .ordered import OrderedRows
 
 
+# Partition column of stored intervals: the year of ``valid_to``, or OPEN.
+END_YEAR, OPEN = "end_year", 9999
+
+
+def with_end_year(intervals: DataFrame) -> DataFrame:
+    return intervals.withColumn(END_YEAR, F.coalesce(F.year("valid_to"), F.lit(OPEN)))
+
+
 def _bounds() -> tuple[Column, Column]:
     return F.col("valid_from"), F.col("valid_to")
 
@@ -116,7 +124,13 @@ def _states(intervals: DataFrame, keep: Column) -> DataFrame:
 
 
 def snapshot_validity(intervals: DataFrame, t) -> DataFrame:
-    """State at a time: rows with from <= t < to."""
+    """State at a time: rows with from <= t < to.
+
+    A stored table is partitioned by the year in which rows end, so what ended in
+    earlier years is not read.
+    """
+    if END_YEAR in intervals.columns:
+        intervals = intervals.where(F.col(END_YEAR) >= F.year(instant(t)))
     return _states(intervals, half_open_contains(*_bounds(), t))
 
 
@@ -151,6 +165,26 @@ def neighbours_validity(intervals: DataFrame, vertex: int, start=None, stop=None
     )
 
 
+def edge_ends(rows: DataFrame, *more: str) -> DataFrame:
+    """Each edge row at both of its ends: ``vertex`` and ``other``, with further columns."""
+    src, dst = F.col("src"), F.col("dst")
+    ends = F.array(
+        F.struct(src.alias("vertex"), dst.alias("other")), F.struct(dst.alias("vertex"), src.alias("other"))
+    )
+    return rows.where(F.col("entity_type") == EDGE).select(F.inline(ends), *more)
+
+
+def life_ends(intervals: DataFrame) -> DataFrame:
+    """The lives of edges by vertex, for asking one vertex: (vertex, other, id, valid_from, valid_to)."""
+    return edge_ends(_presence(intervals), "id", "valid_from", "valid_to")
+
+
+def neighbours_of_ends(ends: DataFrame, vertex: int, start=None, stop=None) -> DataFrame:
+    """As ``neighbours_validity``, from the lives by vertex."""
+    found = ends.where((F.col("vertex") == vertex) & touches(*_bounds(), start, stop))
+    return found.select(F.col("other").alias("id")).distinct()
+
+
 def earliest_payload(intervals: DataFrame) -> DataFrame:
     """The first state of each entity."""
     rows = _presence(intervals)

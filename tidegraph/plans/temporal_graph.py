@@ -72,10 +72,10 @@ class TemporalGraph(ABC):
 
 
 class IntervalGraph(TemporalGraph):
-    """Answers from a table of intervals."""
+    """Answers from a table of intervals; stored ones also hold the lives of edges by vertex."""
 
-    def __init__(self, intervals: DataFrame):
-        self.intervals = intervals
+    def __init__(self, intervals: DataFrame, ends: DataFrame | None = None):
+        self.intervals, self.ends = intervals, ends
 
     @classmethod
     def from_log(cls, log: DataFrame, attributes: str = "merge", hot_rows: int | None = None) -> "IntervalGraph":
@@ -85,7 +85,7 @@ class IntervalGraph(TemporalGraph):
     @classmethod
     def load(cls, spark: SparkSession, path: str, attributes: str = "merge") -> "IntervalGraph":
         schema = ATTRIBUTE_INTERVALS if attributes == "merge" else INTERVALS
-        return cls(store.load_intervals(spark, path, schema))
+        return cls(store.load_intervals(spark, path, schema), store.load_ends(spark, path))
 
     def save(self, path: str) -> None:
         store.save_intervals(self.intervals, path)
@@ -97,6 +97,8 @@ class IntervalGraph(TemporalGraph):
         return vl.entity_at_validity(self.intervals, entity_type, id_, t)
 
     def direct_neighbours(self, vertex: int, start=None, stop=None) -> DataFrame:
+        if self.ends is not None:
+            return vl.neighbours_of_ends(self.ends, vertex, start, stop)
         return vl.neighbours_validity(self.intervals, vertex, start, stop)
 
     def activated_entities(self, start=None, stop=None, mode: str = "first_activation") -> DataFrame:
@@ -104,10 +106,10 @@ class IntervalGraph(TemporalGraph):
 
 
 class SnapshotGraph(TemporalGraph):
-    """Answers from stored snapshots and the log between them."""
+    """Answers from stored snapshots and the log between them; stored ones also hold edge entries by vertex."""
 
-    def __init__(self, model: sn.Snapshots):
-        self.model = model
+    def __init__(self, model: sn.Snapshots, ends: DataFrame | None = None):
+        self.model, self.ends = model, ends
 
     @classmethod
     def from_log(
@@ -126,7 +128,7 @@ class SnapshotGraph(TemporalGraph):
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, attributes: str = "merge") -> "SnapshotGraph":
-        return cls(store.load_snapshots(spark, path, attributes))
+        return cls(store.load_snapshots(spark, path, attributes), store.load_ends(spark, path))
 
     def save(self, path: str) -> None:
         store.save_snapshots(self.model, path)
@@ -138,6 +140,8 @@ class SnapshotGraph(TemporalGraph):
         return sn.entity_at_delta(self.model, entity_type, id_, t)
 
     def direct_neighbours(self, vertex: int, start=None, stop=None) -> DataFrame:
+        if self.ends is not None:
+            return sn.neighbours_of_actions(self.ends, vertex, start, stop)
         return sn.neighbours_delta(self.model.log, vertex, start, stop)
 
     def activated_entities(self, start=None, stop=None, mode: str = "first_activation") -> DataFrame:

@@ -6,11 +6,12 @@ import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.graph import PropertyGraph
-from ..operators.snapshots import Snapshots
+from ..operators.snapshots import Snapshots, action_ends
 from ..operators.synthesis import Distribution
+from ..operators.validity import END_YEAR, life_ends, with_end_year
 from ..schema import CHANGELOG, SNAPSHOT_INDEX, STATE
 
 _STATES = StructType([*STATE.fields, SNAPSHOT_INDEX["snapshot_no"]])
@@ -87,12 +88,26 @@ def load_graph(spark: SparkSession, path: str) -> PropertyGraph:
     return PropertyGraph(spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges"))
 
 
+def _by_vertex(ends: DataFrame, time: str) -> DataFrame:
+    return ends.repartitionByRange("vertex", time).sortWithinPartitions("vertex", time)
+
+
 def save_intervals(intervals: DataFrame, path: str) -> None:
-    _by_entity(intervals, "valid_from").write.parquet(path)
+    """Intervals by end year, each year's files by entity; and the lives of edges by vertex."""
+    columns = [END_YEAR, "entity_type", "id", "valid_from"]
+    rows = with_end_year(intervals).repartitionByRange(*columns).sortWithinPartitions(*columns)
+    rows.write.partitionBy(END_YEAR).parquet(f"{path}/intervals")
+    _by_vertex(life_ends(intervals), "valid_from").write.parquet(f"{path}/ends")
 
 
 def load_intervals(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    """The intervals with the partition column ``end_year``."""
+    whole = StructType([*schema.fields, StructField(END_YEAR, IntegerType())])
+    return spark.read.schema(whole).parquet(f"{path}/intervals")
+
+
+def load_ends(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/ends")
 
 
 def save_snapshots(model: Snapshots, path: str) -> None:
@@ -104,6 +119,7 @@ def save_snapshots(model: Snapshots, path: str) -> None:
     )
     model.index.coalesce(1).write.parquet(f"{path}/index")
     _by_time(model.log).write.parquet(f"{path}/log")
+    _by_vertex(action_ends(model.log), "ts").write.parquet(f"{path}/ends")
 
 
 def load_snapshots(spark: SparkSession, path: str, attributes: str = "merge") -> Snapshots:
