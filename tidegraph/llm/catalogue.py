@@ -88,7 +88,30 @@ def op5_perspective_rotation(spark, sf_dir):
     return perspectives.rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-@query()
+@query(
+    """
+    WITH bodies AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    sized AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM bodies),
+    strings AS (
+      SELECT doc_id, p, md5(substr(h, CAST(2 * p + 1 AS BIGINT), 200)) AS digest
+      FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM sized)),
+    ordered AS (
+      SELECT doc_id, p, row_number() OVER (PARTITION BY digest ORDER BY doc_id, p) AS place FROM strings),
+    later AS (
+      SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true) AS fresh
+      FROM ordered WHERE place > 1),
+    runs AS (SELECT doc_id, p, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM later),
+    spans AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM runs GROUP BY doc_id, run),
+    gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS earlier FROM spans),
+    removed AS (
+      SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last_b,
+        string_agg(substr(h, CAST(2 * earlier + 1 AS BIGINT), CAST(2 * (a - earlier) AS BIGINT)), '' ORDER BY a) AS kept
+      FROM gaps JOIN sized USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+      sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(last_b, 0) + 1 AS BIGINT)))) AS kept_sha256
+    FROM sized LEFT JOIN removed USING (doc_id)
+    """
+)
 def op6_suffix_arrays(spark, sf_dir):
     """What is left of every document without the bytes that repeat earlier text."""
     kept = repeats.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
@@ -101,7 +124,31 @@ def op7_deficit_packing(spark, sf_dir):
     return packing.pack_mixture(documents(spark, sf_dir).select("doc_id", "source", "text"))
 
 
-@query()
+@query(
+    r"""
+    WITH RECURSIVE split AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    sets AS (
+      SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(
+          range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS s
+      FROM split),
+    sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+    entries AS (SELECT doc_id, unnest(s) AS shingle FROM sets),
+    shared AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+      FROM entries a JOIN entries b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (
+      SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+      WHERE 100 * c >= 75 * (x.n + y.n - c)),
+    reached AS (
+      SELECT doc_id, doc_id AS other FROM documents
+      UNION SELECT reached.doc_id, links.b FROM reached JOIN links ON links.a = reached.other)
+    SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, min(other) AS component_id
+    FROM reached JOIN sizes USING (doc_id) GROUP BY doc_id, n
+    """
+)
 def op8_adaptive_prefixes(spark, sf_dir):
     """The group of similar documents that each document belongs to."""
     return shingle_join.similar_documents(documents(spark, sf_dir).select("doc_id", "text"))

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..storage import stored
@@ -17,6 +23,56 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+# Rows that go to a Python worker at a time; texts of some thousand bytes make some megabytes.
+BATCH_ROWS = 2_000
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """``df`` in a session whose batches hold few rows, unless the session says otherwise."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":  # Spark's own default
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df
+
+
+def release() -> None:
+    """Give memory that a worker has freed back to the machine; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # Another C library: nothing to give back by hand.
+
+
+def trimmed(work: Callable) -> Callable:
+    """Work on batches, or on one group, that leaves no freed memory behind."""
+
+    def batches(rows):
+        yield from work(rows)
+        release()
+
+    def group(table: pa.Table) -> pa.Table:
+        out = work(table)
+        release()
+        return out
+
+    return batches if inspect.isgeneratorfunction(work) else group
+
+
+@contextmanager
+def arrow_bytes(spark: SparkSession, most: int) -> Iterator[None]:
+    """Batches of few bytes for what is computed inside: rows of pairs of sets are wide."""
+    names = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = {n: spark.conf.get(n, None) for n in names}
+    spark.conf.set(names[0], most)
+    spark.conf.set(names[1], 1000)
+    try:
+        yield
+    finally:
+        for n, value in before.items():
+            spark.conf.unset(n) if value is None else spark.conf.set(n, value)
+
+
 def join_counted(
     left: DataFrame, right: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS
 ) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..storage import stored
-from .common import join_counted, offsets_before
+from .common import join_counted, lean, offsets_before, trimmed
 from .tokens import load_fast, load_tokenizer, spliced_ids
 
 LENGTH = 1024
@@ -68,11 +68,11 @@ def tokenised(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame
                 ["doc_id", "source", "part", "start", "tokens", "ids"],
             )
 
-    rows = docs.select(
+    rows = lean(docs).select(
         F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")
     )
     schema = f"doc_id {id_type}, source string, part bigint, start bigint, tokens bigint, ids binary"
-    return stored(rows.mapInArrow(encode, schema), "tokens")
+    return stored(rows.mapInArrow(trimmed(encode), schema), "tokens")
 
 
 def taken_before(windows: np.ndarray, totals: np.ndarray, length: int) -> np.ndarray:
@@ -191,4 +191,4 @@ def pack_mixture(
     schema = f"doc_id {id_type}, source string, " + ", ".join(f"{c} bigint" for c in names[2:])
     return placed.select(
         "doc_id", "source", "queue", (F.col("base") + F.col("__before") + F.col("start")).alias("place"), "tokens", "ids"
-    ).mapInArrow(cut, schema)
+    ).mapInArrow(trimmed(cut), schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..storage import stored
-from .common import join_counted
+from .common import join_counted, lean, trimmed
 
 WIDTHS = (16, 32, 64)
 MEAN_BITS, LEAST, MOST = 11, 256, 65_536
@@ -74,7 +74,7 @@ def chunk_table(docs: DataFrame, text: str, width: int) -> DataFrame:
                 [pa.array(found.values(), pa.binary()), pa.array(found.keys(), pa.binary())], ["chunk_id", "chunk"]
             )
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(cut, "chunk_id binary, chunk binary")
+    return docs.select(F.col(text).alias("text")).mapInArrow(trimmed(cut), "chunk_id binary, chunk binary")
 
 
 def recipe_table(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
@@ -96,7 +96,7 @@ def recipe_table(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFra
             )
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(recipes, f"doc_id {id_type.simpleString()}, text_sha256 string, recipe binary")
+    return rows.mapInArrow(trimmed(recipes), f"doc_id {id_type.simpleString()}, text_sha256 string, recipe binary")
 
 
 def verified_width(docs: DataFrame, text: str, widths: tuple[int, ...] = WIDTHS) -> int:
@@ -119,7 +119,7 @@ def exact_groups(
     keep_id unless the whole group has none. Of repeated rows with the keep_id, one
     is kept. Other columns are ignored; an empty table gives an empty result.
     """
-    width = verified_width(docs, text, widths)
+    width = verified_width(lean(docs), text, widths)
     rows = stored(recipe_table(docs, doc_id, text, width), "recipes")
     groups = stored(
         rows.groupBy("recipe")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..storage import stored
-from .common import join_counted
+from .common import join_counted, lean, trimmed
 from .suffixes import permuted_prefixes, suffix_array
 
 LENGTH = 100
@@ -112,7 +112,7 @@ def repeated_minimizers(rows: DataFrame, length: int, entries_per_shard: int = S
                 ["shard", "known", "hashes", "docs", "places"],
             )
 
-    packed = rows.mapInArrow(find, "shard bigint, known int, hashes binary, docs binary, places binary")
+    packed = rows.mapInArrow(trimmed(find), "shard bigint, known int, hashes binary, docs binary, places binary")
 
     def meet(table: pa.Table) -> pa.Table:
         known = table.column("known").to_numpy()
@@ -131,7 +131,7 @@ def repeated_minimizers(rows: DataFrame, length: int, entries_per_shard: int = S
         place = np.concatenate([place[again], *[p for p, k in zip(place_parts, known) if k]])
         return _by_document(doc, place[:, None])
 
-    return packed.groupBy("shard").applyInArrow(meet, _PLACES)
+    return packed.groupBy("shard").applyInArrow(trimmed(meet), _PLACES)
 
 
 def _by_document(doc: np.ndarray, values: np.ndarray) -> pa.Table:
@@ -197,7 +197,7 @@ def segment_shards(marked: DataFrame, length: int, shards: int) -> DataFrame:
 
     names = ["shard", "known", "hashes", "docs", "starts", "sizes", "bytes"]
     return marked.mapInArrow(
-        cut, "shard bigint, known int, hashes binary, docs binary, starts binary, sizes binary, bytes binary"
+        trimmed(cut), "shard bigint, known int, hashes binary, docs binary, starts binary, sizes binary, bytes binary"
     )
 
 
@@ -271,7 +271,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     key = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_FIRST))
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(key.alias("doc"), body.alias("text"))
+    rows = lean(docs).select(key.alias("doc"), body.alias("text"))
     # Later copies of whole texts go whole, and out of the way.
     digests = stored(
         rows.where(F.length("text") >= length).select("doc", F.sha2("text", 256).alias("digest")), "text-digests"
@@ -313,7 +313,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return _by_document(runs[:, 0], runs[:, 1:].astype(np.int32))
 
     runs = stored(
-        packed.groupBy("shard").applyInArrow(meet, _PLACES).groupBy("doc").agg(F.collect_list("places").alias("places")),
+        packed.groupBy("shard").applyInArrow(trimmed(meet), _PLACES).groupBy("doc").agg(F.collect_list("places").alias("places")),
         "runs",
     )
     whole = copies.select("doc", F.lit(None).cast("array<binary>").alias("places"), F.lit(True).alias("whole"))
@@ -380,7 +380,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.select(
         F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), "__found"
     ).mapInArrow(
-        apply,
+        trimmed(apply),
         f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, "
         "spans array<struct<from:bigint,to:bigint>>, kept binary",
     )

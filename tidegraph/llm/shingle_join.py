@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..storage import stored
-from .common import join_counted
+from .common import arrow_bytes, join_counted, lean, trimmed
 from .components import connected_components
 
 WORDS = 5
@@ -37,6 +37,7 @@ MINIMA = 4
 SHARD_ENTRIES = 1_000_000
 # Entries of a shingle above which it is spread over several shards.
 HOT_ENTRIES = 2_000_000
+PAIR_BYTES = 16_000_000  # Of sets that a task compares at a time.
 CANDIDATE_IDS = 1_000_000  # Ids that a join may broadcast, 8 bytes each.
 
 _BASE = 0x9E3779B97F4A7C15
@@ -50,27 +51,46 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Distinct shingle hashes of texts, sorted; keeps the hashes of words it has met."""
+    """Distinct shingle hashes of texts, sorted.
+
+    Words are hashed together: a running sum of byte values times powers of an odd
+    number gives each word's hash as a difference, moved back to power 0.
+    """
 
     def __init__(self, words: int = WORDS):
-        self.words, self.known = words, {}
+        self.words = words
+        rng = np.random.default_rng(8)
+        self.values = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+        lower = np.arange(256)
+        lower[65:91] += 32
+        self.values = self.values[lower]
+        self.white = np.zeros(256, bool)
+        self.white[[32, 9, 10, 11, 12, 13]] = True
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            size = max(n, 1 << 16)
+            with np.errstate(over="ignore"):
+                step = np.full(size, _BASE, np.uint64)
+                back = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+                step[0] = back[0] = 1
+                self.up, self.down = np.multiply.accumulate(step), np.multiply.accumulate(back)
 
     def __call__(self, text: bytes | None) -> np.ndarray:
-        parts = (text or b"").lower().split()  # Both look at ASCII only, as the definition does.
-        if not parts:
+        codes = np.frombuffer(text or b"", np.uint8)
+        inside = np.zeros(len(codes) + 2, np.int8)
+        inside[1:-1] = ~self.white[codes]
+        turns = np.diff(inside)
+        start, end = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+        if not len(start):
             return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > 400_000:
-            known.clear()
-        hashes = []
-        for word in parts:
-            h = known.get(word)
-            if h is None:
-                h = known[word] = xxhash.xxh3_64_intdigest(word)
-            hashes.append(h)
-        h = np.array(hashes, np.uint64)
-        size = min(self.words, len(h))
+        self._powers(len(codes) + 1)
         with np.errstate(over="ignore"):
+            sums = np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum(self.values[codes] * self.up[: len(codes)], out=sums[1:])
+            h = _mixed((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+            size = min(self.words, len(h))
             total = h[: len(h) - size + 1].copy()
             for i in range(1, size):
                 total = total * np.uint64(_BASE) + h[i : len(h) - size + 1 + i]
@@ -151,7 +171,7 @@ def document_sets(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, D
     arrow_id = to_arrow_type(id_type)
     names = ["doc_id", "n", "key", "minima", "piece", "counts"]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        read,
+        trimmed(read),
         f"doc_id {id_type.simpleString()}, n bigint, key bigint, minima array<bigint>, piece bigint, counts binary",
     )
     kept = stored(rows.withColumn("part", F.spark_partition_id()), "document-sets")
@@ -236,7 +256,7 @@ def shared_entries(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray,
             )
 
     packed = docs.select(F.col(text).alias("text")).mapInArrow(
-        entries, "shard bigint, tokens binary, owners binary, keys binary, sizes binary, asks binary"
+        trimmed(entries), "shard bigint, tokens binary, owners binary, keys binary, sizes binary, asks binary"
     )
 
     def meet(table: pa.Table) -> pa.Table:
@@ -263,7 +283,7 @@ def shared_entries(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray,
 
     often_hot = counts >= hot
     return stored(
-        packed.groupBy("shard").applyInArrow(meet, "token bigint, key bigint, n bigint, ask bigint"), "shared-entries"
+        packed.groupBy("shard").applyInArrow(trimmed(meet), "token bigint, key bigint, n bigint, ask bigint"), "shared-entries"
     )
 
 
@@ -309,18 +329,24 @@ def prefix_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
 def similar_pairs(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """Stored pairs whose sets are similar, compared exactly."""
 
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        """Views of the batch's own memory."""
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 8
+        values = np.frombuffer(column.buffers()[2] or b"", "<u8")
+        return [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
     def compare(batches):
         for batch in batches:
             kept = []
-            for x, y in zip(_bytes(batch, "set_a"), _bytes(batch, "set_b")):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            for x, y in zip(sets(batch.column("set_a")), sets(batch.column("set_b"))):
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 kept.append(100 * shared >= SIMILAR * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     ends = [bodies.select(F.col("key").alias(c), F.col("body").alias(f"set_{c}")) for c in ("a", "b")]
     both = pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "set_a", "set_b")
-    return stored(both.mapInArrow(compare, "a bigint, b bigint"), "similar-pairs")
+    with arrow_bytes(pairs.sparkSession, PAIR_BYTES):
+        return stored(both.mapInArrow(trimmed(compare), "a bigint, b bigint"), "similar-pairs")
 
 
 def set_bodies(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -340,7 +366,7 @@ def set_bodies(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> Da
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = join_counted(rows, wanted, ["doc_id"], "left_semi", limit=CANDIDATE_IDS)
-    return stored(rows.select("text").mapInArrow(read, "key bigint, body binary"), "set-bodies")
+    return stored(rows.select("text").mapInArrow(trimmed(read), "key bigint, body binary"), "set-bodies")
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -355,7 +381,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     component of such rows alone has a null id. Repeated rows stay, other columns
     are ignored, an empty table gives an empty result.
     """
-    sets, pieces = document_sets(docs, doc_id, text)
+    sets, pieces = document_sets(lean(docs), doc_id, text)
     counts = sketch_counts(pieces)
     real = sets.where("n > 0")
     reps = stored(

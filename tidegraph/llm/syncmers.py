@@ -17,6 +17,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from .common import lean, trimmed
+
 K, S, ANCHORS = 8, 3, 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FIRST = -(1 << 63)
@@ -125,8 +127,8 @@ def syncmer_anchors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                     ["doc_id", "position", "hash"],
                 )
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        find, f"doc_id {id_type}, position bigint, hash bigint"
+    return lean(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+        trimmed(find), f"doc_id {id_type}, position bigint, hash bigint"
     )
 
 
@@ -169,7 +171,7 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     where their neighbours in the order of ids are.
     """
     spark = docs.sparkSession
-    rows = docs.select(
+    rows = lean(docs).select(
         F.col(doc_id).cast("bigint").alias("doc_id"),
         F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_FIRST)).alias("__key"),
         F.col(text).alias("text"),
@@ -219,7 +221,7 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     return dealt.select("doc_id", "__stretch", "__ahead", "text").mapInArrow(
-        compare,
+        trimmed(compare),
         "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double",
     )

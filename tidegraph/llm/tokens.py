@@ -20,6 +20,8 @@ import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
+from .common import lean, trimmed
+
 # Code points in a chunk and in the first overlap. The guard is more than any
 # pre-token or special string looks ahead: 13 code points of the special string.
 CHUNK, OVERLAP, GUARD = 16_384, 256, 32
@@ -131,6 +133,6 @@ def token_counts(
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        count, f"doc_id {id_type}, n_bytes bigint, n_tokens bigint, over_limit boolean"
+    return lean(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+        trimmed(count), f"doc_id {id_type}, n_bytes bigint, n_tokens bigint, over_limit boolean"
     )

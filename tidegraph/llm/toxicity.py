@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..storage import stored
-from .common import uniform
+from .common import lean, release, trimmed, uniform
 
 # Bounds of the fitting sample: expected rows, drawn by a hash of doc_id, and features.
 TOXIC_ROWS, UNLABELLED_ROWS, FEATURES = 5_000, 20_000, 5_000
@@ -29,7 +29,7 @@ STANDS_OUT = 5.0
 # Toxic rows that a feature needs: fewer agree by chance, there are so many words.
 LEAST_TOXIC = 5
 _WORD = re.compile(r"\w+")
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 200_000
 
 
 def features_of(word: str) -> list[int]:
@@ -83,6 +83,7 @@ class ToxicityModel:
             score = model.scorer()
             for texts in batches:
                 yield pd.Series([float(score(x)) for x in texts], dtype="float64")
+            release()
 
         return F.pandas_udf(scores, "double")(text.cast("binary"))
 
@@ -172,7 +173,7 @@ def train_toxicity(
         return ToxicityModel({}, logit, prior)
     rows = docs.count()
     chosen = known.where("__label = 1").where(uniform(seed, "__id") < toxic_rows / n_toxic).select("__id")
-    body = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("binary").alias("text")).where(
+    body = lean(docs).select(F.col(doc_id).alias("__id"), F.col(text).cast("binary").alias("text")).where(
         ~held_out(F.col("__id"))
     )
     # Expected to hold ``toxic_rows`` ids, so it may be broadcast.
@@ -204,7 +205,7 @@ def train_toxicity(
     both = (F.col("p") + F.col("u")) / (n_p + n_u)
     z = (rate_p - rate_u) / F.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
     best = (
-        sample.mapInArrow(count, "feature bigint, p bigint, u bigint")
+        sample.mapInArrow(trimmed(count), "feature bigint, p bigint, u bigint")
         .groupBy("feature")
         .agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
         .where((F.col("p") >= LEAST_TOXIC) & (prior * rate_p > 0.5 * rate_u) & (both < 1))
@@ -226,7 +227,7 @@ def train_toxicity(
             )
 
     # The bounded sample as feature numbers: some hundred bytes a row.
-    data = sample.mapInArrow(found, "toxic boolean, hits array<int>").collect()
+    data = sample.mapInArrow(trimmed(found), "toxic boolean, hits array<int>").collect()
     data.sort(key=lambda r: (r["toxic"], r["hits"]))
     weights, bias = fit_nnpu(
         [r["hits"] for r in data if r["toxic"]], [r["hits"] for r in data if not r["toxic"]], len(index), prior
@@ -242,7 +243,7 @@ def toxicity_scores(
     Null and empty texts have no features and the score of the bias. Other columns
     are ignored, repeated rows stay, an empty table gives an empty result.
     """
-    scored = docs.select(
+    scored = lean(docs).select(
         F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), model.column(F.col(text)).alias("score")
     )
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -250,4 +251,4 @@ def toxicity_scores(
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """The documents that the model does not call toxic, with all their columns."""
-    return docs.withColumn("__score", model.column(F.col(text))).where("__score < 0.5").select(*docs.columns)
+    return lean(docs).withColumn("__score", model.column(F.col(text))).where("__score < 0.5").select(*docs.columns)
