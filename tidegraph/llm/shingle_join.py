@@ -9,8 +9,9 @@ exactly.
 
 Frequencies come from a sketch of fixed size, which may only overestimate; any order
 gives the same links. Groups of near copies would meet in every entry. So documents
-whose smallest hashes agree are compared with one of them first, and pairs that are
-connected already are not listed again: what counts is what is connected.
+whose smallest hashes agree are compared with one of them first, then those that
+share an entry with one of these, and pairs that are connected already are not
+listed again: what counts is what is connected.
 """
 
 from __future__ import annotations
@@ -301,15 +302,32 @@ def star_pairs(sets: DataFrame) -> DataFrame:
     return pairs.where("a <> key").select("a", F.col("key").alias("b")).distinct()
 
 
-def prefix_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): sets of different components that share as many prefix entries as the smaller demand of the two."""
+def open_entries(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Stored entries with their components, of the shingles that sets of different components share."""
     labelled = join_counted(entries, labels.withColumnRenamed("node", "key"), ["key"]).select(
         "token", "key", "n", "ask", F.coalesce("component", "key").alias("component")
     )
     # Entries of one component only have nothing left to connect.
     mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = stored(mixed.where("low <> high").select("token"), "mixed-tokens")
-    left = stored(join_counted(labelled, mixed, ["token"], "left_semi"), "open-entries")
+    return stored(join_counted(labelled, mixed, ["token"], "left_semi"), "open-entries")
+
+
+def centre_pairs(left: DataFrame) -> DataFrame:
+    """(a, b): each open entry's set with one set of the same shingle, chosen by a hash of both.
+
+    Every shingle has a centre of its own, so a large group of near copies meets
+    many of them and is connected by as many pairs as it has entries.
+    """
+    centre = F.min_by(F.struct("key", "component"), F.xxhash64("token", "key"))
+    centres = stored(left.groupBy("token").agg(centre.alias("c")).select("token", "c.*"), "centres")
+    centres = centres.select("token", F.col("key").alias("a"), F.col("component").alias("component_a"))
+    met = join_counted(left, centres, ["token"], "inner").where("component <> component_a")
+    return met.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+
+
+def prefix_pairs(left: DataFrame) -> DataFrame:
+    """(a, b): sets of different components that share as many prefix entries as the smaller demand of the two."""
     right = left.select(
         "token", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "ask", "component")]
     )
@@ -397,9 +415,12 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     bodies = set_bodies(docs, doc_id, text, wanted)
     first = similar_pairs(stars, bodies)
     labels = connected_components(first)
-    second = similar_pairs(stored(prefix_pairs(entries, labels), "prefix-pairs"), bodies)
-    stitched = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
-    final = connected_components(stitched)
+    for pairs_of in (centre_pairs, prefix_pairs):
+        left = open_entries(entries, labels)
+        found = similar_pairs(stored(pairs_of(left), "candidate-pairs"), bodies)
+        known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = connected_components(known.unionByName(found))
+    final = labels
 
     groups = reps.join(final, reps["key"] == final["node"], "left").select(
         "key", "doc_id", "rows", F.coalesce("component", "key").alias("component"), F.col("node").isNotNull().alias("linked")
