@@ -143,8 +143,10 @@ def test_mixture_meets_its_targets(docs, data):
         assert 0 <= row["__copies"] <= 2 and row["shard"] == "clash"
         taken[row["source"]] += row["__copies"] * row["__size"]
     assert len(got) == len(data)
+    # What is promised: half of the smallest document that is left over, so at most half of the largest.
+    largest = {s: max(r["__size"] for r in got if r["source"] == s) for s in targets}
     for source, target in targets.items():
-        assert abs(taken[source] - target) <= 5
+        assert abs(taken[source] - target) <= largest[source] / 2
     key = lambda rows: sorted((r["doc_id"], r["__copies"]) for r in rows)
     assert key(got) == key(mixing.pareto_mixture(docs.repartition(7)).collect())
 
