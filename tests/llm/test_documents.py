@@ -1,7 +1,9 @@
 """Operators on documents against plain Python, odd cases included."""
 
 import hashlib
+import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -267,6 +269,44 @@ def test_packing_of_odd_tables(empty, twice):
     assert total["n"] == sum(len(ids_of(r["text"])) + 1 for r in twice.collect()) and total["o"] < 1024
 
 
+def test_a_rare_source_costs_its_tokens_alone(monkeypatch):
+    """Many sources of one document beside a large one: all pieces, and no array of all windows."""
+    rnd = random.Random(4)
+    totals = np.array([40_000_000] + [rnd.choice([7, 60, 61]) for _ in range(300)], np.int64)
+    queue = np.r_[np.arange(1, 301), [0] * 5]
+    tokens = np.r_[totals[1:], [300, 1, 5000, 90, 7]]
+    place = np.r_[np.zeros(300, np.int64), [0, 12_345_678, 999, 39_999_000, 39_999_993]]
+    tracemalloc.start()
+    pieces = np.concatenate(list(packing.schedule_pieces(queue, place, tokens, totals, 1024)), axis=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    assert_tokens_once(pieces, tokens)
+    # Against the table of all windows, on totals that it suits; runs and blocks of few numbers.
+    monkeypatch.setattr(packing, "CELLS", 100)
+    monkeypatch.setattr(packing, "RUN_TOKENS", 50)
+    totals = np.array([9000, 3, 40, 40, 1, 500, 40], np.int64)
+    queue, tokens = np.array([0, 0, 1, 2, 3, 4, 5, 6, 0]), np.array([4000, 4999, 3, 40, 40, 1, 500, 40, 1])
+    place = np.array([0, 4000, 0, 0, 0, 0, 0, 0, 8999])
+    pieces = np.concatenate(list(packing.schedule_pieces(queue, place, tokens, totals, 32)), axis=1)
+    assert_tokens_once(pieces, tokens)
+    table = packing.taken_before(np.arange(-(-9624 // 32) + 1), totals, 32)
+    taken = np.diff(table, axis=0)
+    for row, start, end, window, offset in pieces.T.tolist():
+        q = queue[row]
+        assert table[window, q] <= place[row] + start and place[row] + end <= table[window + 1, q]
+        assert offset == taken[window, :q].sum() + place[row] + start - table[window, q]
+        # A piece is as long as window and document allow.
+        assert start == 0 or place[row] + start == table[window, q]
+
+
+def assert_tokens_once(pieces, tokens):
+    held = [[] for _ in tokens]
+    for row, start, end, *_ in pieces.T.tolist():
+        held[row] += range(start, end)
+    assert [sorted(x) for x in held] == [list(range(n)) for n in tokens.tolist()]
+
+
 def test_windows_take_each_token_once_at_any_totals():
     rng = np.random.default_rng(5)
     for _ in range(30):

@@ -28,6 +28,11 @@ END = 0  # The id after each document.
 QUEUES = 4096
 # A longer text is encoded in chunks, which bounds what the encoder holds.
 WHOLE = 1_000_000
+# Numbers of a block of windows or tokens by queues, and tokens that a task cuts at a time.
+CELLS = 500_000
+RUN_TOKENS = 200_000
+# Times that are guessed before a window's end is found by bisection.
+GUESSES = 12
 
 
 def tokenised(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
@@ -75,61 +80,110 @@ def tokenised(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame
     return stored(rows.mapInArrow(trimmed(encode), schema), "tokens")
 
 
+def due(times: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """For each time and queue: the queue's tokens due by then."""
+    return np.floor(times[:, None] * totals + 0.5).astype(np.int64)
+
+
 def taken_before(windows: np.ndarray, totals: np.ndarray, length: int) -> np.ndarray:
     """For each window and queue: the queue's tokens in all earlier windows."""
     all_tokens = int(totals.sum())
     goal = np.minimum(windows.astype(np.int64) * length, all_tokens)
-
-    def due(time):
-        return np.floor(time[:, None] * totals + 0.5).astype(np.int64)
-
     low = np.maximum(0.0, (goal - len(totals) - 1) / all_tokens)
     high = (goal + len(totals) + 1) / all_tokens
-    while True:
-        middle = (low + high) / 2
-        open_ = (middle > low) & (middle < high)
-        if not open_.any():
-            break
-        over = due(middle).sum(axis=1) > goal
-        high = np.where(open_ & over, middle, high)
-        low = np.where(open_ & ~over, middle, low)
-    counts = due(low)
+    counts = np.zeros((len(goal), len(totals)), np.int64)
+    live, guess, turn, tied = np.arange(len(goal)), goal / all_tokens, 0, []
+    while len(live):
+        # What is missing tells where to look next; bisection ends what that does not find.
+        near = (turn < GUESSES) & (low[live] < guess) & (guess < high[live])
+        at = np.where(near, guess, (low[live] + high[live]) / 2)
+        open_ = (low[live] < at) & (at < high[live])
+        tied.append(live[~open_])
+        live, at, turn = live[open_], at[open_], turn + 1
+        found = due(at, totals)
+        over = found.sum(axis=1) - goal[live]
+        counts[live[over == 0]] = found[over == 0]
+        high[live[over > 0]] = at[over > 0]
+        low[live[over < 0]] = at[over < 0]
+        live, guess = live[over != 0], (at - over / all_tokens)[over != 0]
     # Tokens that fall due at the very same time go by the order of the queues.
-    missing = (goal - counts.sum(axis=1))[:, None]
-    jump = due(high) - counts
-    earlier = np.cumsum(jump, axis=1) - jump
-    return np.minimum(counts + np.clip(missing - earlier, 0, jump), totals)
+    rows = np.concatenate([*tied, np.zeros(0, np.int64)])
+    if len(rows):
+        base = due(low[rows], totals)
+        missing = (goal[rows] - base.sum(axis=1))[:, None]
+        jump = due(high[rows], totals) - base
+        earlier = np.cumsum(jump, axis=1) - jump
+        counts[rows] = base + np.clip(missing - earlier, 0, jump)
+    return np.minimum(counts, totals)
+
+
+def touched(queue: np.ndarray, start: np.ndarray, end: np.ndarray, totals: np.ndarray, length: int):
+    """First and last window that tokens ``start`` to ``end`` (not included) of a queue can fall in.
+
+    All tokens due earlier are counted, so only tokens due at the very same time leave more than one window open.
+    """
+    first, last = np.empty(len(queue), np.int64), np.empty(len(queue), np.int64)
+    step = max(1, CELLS // len(totals))
+    for i in range(0, len(queue), step):
+        part = slice(i, i + step)
+        total = totals[queue[part]]
+        rank = due((start[part] + 0.5) / total * (1 - 1e-12), totals).sum(axis=1)
+        first[part] = np.maximum(-(-rank // length) - 1, 0)
+        rank = due((end[part] - 0.5) / total * (1 + 1e-12), totals).sum(axis=1)
+        last[part] = np.maximum(rank - 1, 0) // length
+    return first, np.minimum(last, (int(totals.sum()) - 1) // length)
 
 
 def schedule_pieces(queue: np.ndarray, place: np.ndarray, tokens: np.ndarray, totals: np.ndarray, length: int):
-    """Cut documents, given by queue and place in it, at the windows: (row, start, end, window, offset) arrays."""
-    all_tokens, slack = int(totals.sum()), len(totals) + 1
-    share = all_tokens / totals[queue]
-    first = np.maximum(0, ((place * share - slack) // length).astype(np.int64))
-    last = ((place + tokens) * share + slack) // length + 1
-    last = np.minimum(last.astype(np.int64), -(-all_tokens // length))
-    # The windows that any of the documents may touch, as few ranges.
-    order = np.argsort(first, kind="stable")
-    reach = np.maximum.accumulate(last[order])
-    fresh = np.flatnonzero(np.r_[True, first[order][1:] > reach[:-1] + 1])
-    ends = np.r_[fresh[1:] - 1, len(order) - 1]
-    windows = np.concatenate([np.arange(first[order][a], reach[b] + 1) for a, b in zip(fresh, ends)])
-    before = taken_before(windows, totals, length)
-    inside = np.cumsum(before, axis=1) - before  # of earlier queues, all windows before
-    found = []
-    for q in np.unique(queue):
-        rows = np.flatnonzero(queue == q)
-        bounds = before[:, q]
-        a = np.searchsorted(bounds, place[rows], "right") - 1
-        b = np.searchsorted(bounds, place[rows] + tokens[rows], "left")
-        count = b - a
-        row = np.repeat(rows, count)
-        w = np.repeat(a - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        start = np.maximum(place[row], bounds[w])
-        end = np.minimum(place[row] + tokens[row], bounds[w + 1])
-        offset = (inside[w + 1, q] - inside[w, q]) + start - bounds[w]
-        keep = end > start
-        found.append(np.stack([row, start - place[row], end - place[row], windows[w], offset])[:, keep])
+    """Cut documents, given by queue and place in it, at the windows: (row, start, end, window, offset) arrays.
+
+    A document of a rare queue is spread over many windows, so a run of its tokens is
+    one token and only the windows of these are looked at. Runs are taken ``RUN_TOKENS``
+    tokens at a time, windows ``CELLS`` numbers at a time: the memory follows the tokens.
+    """
+    # Of a queue with a token in each window a run may be as long as it likes.
+    most = np.where(int(totals.sum()) > totals[queue] * length, 1, RUN_TOKENS)
+    row, done = 0, 0
+    while row < len(queue):
+        rows, begins, ends, room = [], [], [], RUN_TOKENS
+        while row < len(queue) and room > 0:
+            take = min(room, int(tokens[row]) - done)
+            begin = np.arange(done, done + take, most[row], dtype=np.int64)
+            rows.append(np.full(len(begin), row, np.int64))
+            begins.append(begin)
+            ends.append(np.minimum(begin + most[row], done + take))
+            room, done = room - take, done + take
+            if done == tokens[row]:
+                row, done = row + 1, 0
+        of = np.concatenate(rows)
+        begin, end = place[of] + np.concatenate(begins), place[of] + np.concatenate(ends)
+        yield _cut_runs(of, begin, end, queue, place, tokens, totals, length)
+
+
+def _cut_runs(of, begin, end, queue, place, tokens, totals, length: int) -> np.ndarray:
+    """The pieces that begin in the runs ``begin`` to ``end`` of the documents ``of``."""
+    first, last = touched(queue[of], begin, end, totals, length)
+    count = last - first + 1
+    run = np.repeat(np.arange(len(of)), count)
+    window = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    order = np.argsort(window, kind="stable")
+    run, window = run[order], window[order]
+    windows, at = np.unique(window, return_index=True)
+    step = max(1, CELLS // len(totals) // 2)
+    found = [np.zeros((5, 0), np.int64)]
+    for i in range(0, len(windows), step):
+        part = slice(at[i], at[i + step] if i + step < len(windows) else len(window))
+        r, w = run[part], window[part]
+        edges = np.unique(np.r_[windows[i : i + step], windows[i : i + step] + 1])
+        before = taken_before(edges, totals, length)
+        inside = np.cumsum(before, axis=1) - before  # of earlier queues, all windows before
+        here, row = np.searchsorted(edges, w), of[r]
+        q = queue[row]
+        start = np.maximum(place[row], before[here, q])
+        stop = np.minimum(place[row] + tokens[row], before[here + 1, q])
+        offset = inside[here + 1, q] - inside[here, q] + start - before[here, q]
+        keep = (stop > start) & (begin[r] <= start) & (start < end[r])
+        found.append(np.stack([row, start - place[row], stop - place[row], w, offset])[:, keep])
     return np.concatenate(found, axis=1)
 
 
@@ -169,22 +223,22 @@ def pack_mixture(
                 continue
             queue = np.array([index[q] for q in batch.column("queue").to_pylist()], np.int64)
             place, tokens = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("place", "tokens"))
-            row, start, end, window, offset = schedule_pieces(queue, place, tokens, weights, length)
             ids = [np.frombuffer(x, "<u2").astype("<u4") for x in batch.column("ids").to_pylist()]
-            crc = [zlib.crc32(ids[r][a:b]) for r, a, b in zip(row.tolist(), start.tolist(), end.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(pa.array(row)),
-                    batch.column("source").take(pa.array(row)),
-                    pa.array(start),
-                    pa.array(end - start),
-                    pa.array(crc, pa.int64()),
-                    pa.array(tokens[row]),
-                    pa.array(window),
-                    pa.array(offset),
-                ],
-                names,
-            )
+            for row, start, end, window, offset in schedule_pieces(queue, place, tokens, weights, length):
+                crc = [zlib.crc32(ids[r][a:b]) for r, a, b in zip(row.tolist(), start.tolist(), end.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(pa.array(row)),
+                        batch.column("source").take(pa.array(row)),
+                        pa.array(start),
+                        pa.array(end - start),
+                        pa.array(crc, pa.int64()),
+                        pa.array(tokens[row]),
+                        pa.array(window),
+                        pa.array(offset),
+                    ],
+                    names,
+                )
 
     names = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     id_type = docs.schema[doc_id].dataType.simpleString()
