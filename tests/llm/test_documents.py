@@ -207,6 +207,33 @@ def test_repeats(docs, data, length, monkeypatch):
         assert bytes(row["kept"]) == kept and len(row["spans"]) == spans
 
 
+def test_repeats_of_a_passage_in_many_contexts(spark, monkeypatch):
+    """Every document has text of its own around one passage; no shard gets the segments of all of them."""
+    rnd = random.Random(8)
+
+    def noise(n):
+        return "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+
+    passage = noise(150)
+    rows_ = [(i, f"{noise(120)}{passage}{noise(120)}", *[None] * 11) for i in range(300)]
+    rows_ += [(900, rows_[3][1][40:330], *[None] * 11)]  # Two whole contexts again.
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(repeats, "HOT_SEGMENTS", 20)
+    seen = []
+    plain = repeats.segment_shards
+
+    def kept(*given):
+        packed = plain(*given)
+        sizes = packed.where("known <> 1").selectExpr("shard", "length(docs) div 8 AS n").groupBy("shard").sum("n")
+        seen.extend(r[1] for r in sizes.collect())
+        return packed
+
+    monkeypatch.setattr(repeats, "segment_shards", kept)
+    got = {r["doc_id"]: r["n_removed"] for r in repeats.without_repeats(corpus.frame(spark, rows_)).collect()}
+    assert got == {i: sum(m) for i, m in corpus.covered_bytes(rows_, 100).items()}
+    assert max(seen) < 300
+
+
 def test_repeats_without_broadcasts(docs, data, monkeypatch):
     monkeypatch.setattr(repeats, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(repeats, "COPY_IDS", 0)

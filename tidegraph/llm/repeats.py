@@ -10,6 +10,9 @@ place of each string stays, all its other places mark their bytes.
 
 What a task already sees more than once it settles itself: of equal things in a
 batch one goes to the shard. So no shard gets more of one thing than there are batches.
+A passage that stands in many texts has other text at its edges each time, so a minimizer
+there may have a distinct segment per text. Minimizers with many of them are found by
+counting first; their strings travel one by one, each to the shard of its own digest.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ LENGTH = 100
 K = 24  # Bytes of a minimizer.
 SHARD_ENTRIES = 1_000_000
 SHARD_BYTES = 6_000_000
+HOT_SEGMENTS = 10_000  # Of one bucket of minimizers: above, its strings part ways.
+HOT_BUCKETS = 1 << 16
+DIGEST = 16  # Bytes of a string's digest.
 COPY_IDS = 1_000_000  # Ids that a join may broadcast, 8 bytes each.
 BROADCAST_BYTES = 48_000_000
 _FIRST = -(1 << 63)
@@ -146,26 +152,73 @@ def _by_document(doc: np.ndarray, values: np.ndarray) -> pa.Table:
     )
 
 
-def segment_shards(marked: DataFrame, length: int, shards: int) -> DataFrame:
-    """(shard, ...): segments of repeated minimizers, packed by shard; and the places a batch has settled itself."""
+def _wanted_segments(batch: pa.RecordBatch, length: int):
+    """(doc, first start, last start, hash, bytes) of segments of repeated minimizers, documents in order."""
+    ids = batch.column("doc").to_numpy()
+    texts, places = batch.column("text").to_pylist(), batch.column("places").to_pylist()
+    for i in np.argsort(ids, kind="stable").tolist():
+        data = texts[i]
+        wanted = np.unique(np.frombuffer(b"".join(places[i]), np.int32))
+        first, last, place, h = minimizers(data, length)
+        keep = np.isin(place, wanted)
+        for a, b, x in zip(first[keep].tolist(), last[keep].tolist(), h[keep].tolist()):
+            yield ids[i], a, b, x, data[a : b + length]
+
+
+def hot_buckets(marked: DataFrame, length: int) -> tuple[np.ndarray, int]:
+    """Buckets of minimizers with many segments, distinct per batch, and the strings that these hold.
+
+    Any choice gives the same result. At most a quarter of the buckets can have four times the average.
+    """
+
+    def count(batches):
+        segments, strings = np.zeros(HOT_BUCKETS, np.int64), np.zeros(HOT_BUCKETS, np.int64)
+        for batch in batches:
+            distinct = {piece: x for _, _, _, x, piece in _wanted_segments(batch, length)}
+            bucket = np.array([x % HOT_BUCKETS for x in distinct.values()], np.int64)
+            sizes = np.array([len(piece) - length + 1 for piece in distinct], np.int64)
+            np.add.at(segments, bucket, 1)
+            np.add.at(strings, bucket, sizes)
+        some = np.flatnonzero(segments)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some), pa.array(segments[some]), pa.array(strings[some])], ["bucket", "segments", "strings"]
+        )
+
+    counts = stored(
+        marked.mapInArrow(trimmed(count), "bucket bigint, segments bigint, strings bigint")
+        .groupBy("bucket")
+        .agg(F.sum("segments").alias("segments"), F.sum("strings").alias("strings")),
+        "segment-counts",
+    )
+    total = counts.agg(F.sum("segments")).first()[0] or 0
+    hot = counts.where(F.col("segments") > max(HOT_SEGMENTS, 4 * total // HOT_BUCKETS)).select("bucket", "strings").collect()
+    return np.array(sorted(r[0] for r in hot), np.int64), sum(r[1] for r in hot)
+
+
+def segment_shards(marked: DataFrame, length: int, shards: int, hot: np.ndarray, hot_shards: int) -> DataFrame:
+    """(shard, ...): segments of repeated minimizers, packed by shard; and the places a batch has settled itself.
+
+    Of hot minimizers digests of single strings are packed, by ``hot_shards`` shards behind the others.
+    """
+    busy = set(hot.tolist())
 
     def cut(batches):
         for batch in batches:
-            found, settled = {}, []
+            found, settled, parted, apart = {}, [], {}, set()
             # The first place of a segment in a batch is that of the smallest document.
-            ids = batch.column("doc").to_numpy()
-            texts, places = batch.column("text").to_pylist(), batch.column("places").to_pylist()
-            for i in np.argsort(ids, kind="stable").tolist():
-                data = texts[i]
-                wanted = np.unique(np.frombuffer(b"".join(places[i]), np.int32))
-                first, last, place, h = minimizers(data, length)
-                keep = np.isin(place, wanted)
-                for a, b, x in zip(first[keep].tolist(), last[keep].tolist(), h[keep].tolist()):
-                    piece = data[a : b + length]
-                    if piece in found:
-                        settled.append((ids[i], a, b))
-                    else:
-                        found[piece] = (x, ids[i], a)
+            for doc_id, a, b, x, piece in _wanted_segments(batch, length):
+                if piece in found or piece in apart:
+                    settled.append((doc_id, a, b))
+                elif x % HOT_BUCKETS in busy:
+                    apart.add(piece)
+                    for j in range(b - a + 1):
+                        digest = hashlib.blake2b(piece[j : j + length], digest_size=DIGEST).digest()
+                        if digest in parted:
+                            settled.append((doc_id, a + j, a + j))
+                        else:
+                            parted[digest] = (doc_id, a + j)
+                else:
+                    found[piece] = (x, doc_id, a)
             out = []
             if found:
                 pieces = list(found)
@@ -185,6 +238,13 @@ def segment_shards(marked: DataFrame, length: int, shards: int) -> DataFrame:
                             b"".join([pieces[i] for i in part.tolist()]),
                         )
                     )
+            if parted:
+                digests = np.frombuffer(b"".join(parted), np.uint64).reshape(-1, 2)
+                doc = np.array([v[0] for v in parted.values()], np.int64)
+                start = np.array([v[1] for v in parted.values()], np.int32)
+                for part in _split((digests[:, 0] % np.uint64(hot_shards)).astype(np.int64)):
+                    at = shards + int(digests[part[0], 0] % np.uint64(hot_shards))
+                    out.append((at, 2, digests[part].tobytes(), doc[part].tobytes(), start[part].tobytes(), b"", b""))
             if settled:
                 doc = np.array([x[0] for x in settled], np.int64)
                 spans = np.array([x[1:] for x in settled], np.int32)
@@ -249,6 +309,14 @@ def later_places(segments: list[bytes], h: np.ndarray, doc: np.ndarray, start: n
     return _runs(spans)
 
 
+def later_strings(digests: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """(doc, first, last) of every string but the first of each digest."""
+    order = np.lexsort((start, doc, digests[:, 1], digests[:, 0]))
+    digests = digests[order]
+    later = order[np.r_[False, (digests[1:] == digests[:-1]).all(axis=1)]]
+    return np.stack([doc[later], start[later], start[later]], axis=1)
+
+
 def _runs(spans: list[tuple[int, int, int]]) -> np.ndarray:
     """Sorted (doc, first, last) with neighbours joined."""
     if not spans:
@@ -289,15 +357,20 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     amount = places.agg(F.sum(F.aggregate("places", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)))).first()[0]
     shards = max(1, math.ceil((amount or 0) / 4 * (1.4 * length) / SHARD_BYTES))
     marked = _join_packed(distinct, places, "inner", amount or 0)
-    packed = segment_shards(marked, length, shards)
+    hot, strings = hot_buckets(marked, length)
+    hot_shards = max(1, math.ceil(strings * (DIGEST + 12) / SHARD_BYTES))
+    packed = segment_shards(marked, length, shards, hot, hot_shards)
 
     def meet(table: pa.Table) -> pa.Table:
         known = table.column("known").to_numpy()
         columns = {c: table.column(c).to_pylist() for c in ("hashes", "docs", "starts", "sizes", "bytes")}
-        segments, hs, ds, ss, spans = [], [], [], [], []
+        segments, hs, ds, ss, spans, alone = [], [], [], [], [], []
         for i, settled in enumerate(known.tolist()):
             doc = np.frombuffer(columns["docs"][i], np.int64)
             start = np.frombuffer(columns["starts"][i], np.int32)
+            if settled == 2:
+                alone.append((np.frombuffer(columns["hashes"][i], np.uint64).reshape(-1, 2), doc, start.astype(np.int64)))
+                continue
             if settled:
                 spans.append(np.c_[doc, start.reshape(-1, 2).astype(np.int64)])
                 continue
@@ -309,6 +382,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             ss.append(start.astype(np.int64))
         if segments:
             spans.append(later_places(segments, np.concatenate(hs), np.concatenate(ds), np.concatenate(ss), length))
+        if alone:
+            spans.append(later_strings(*(np.concatenate(c) for c in zip(*alone))))
         runs = _runs([tuple(x) for part in spans for x in part.tolist()])
         return _by_document(runs[:, 0], runs[:, 1:].astype(np.int32))
 
