@@ -36,6 +36,38 @@ def drop(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+class Scratch:
+    """Tables that one computation writes for itself and drops once nothing reads them.
+
+    Used as a context, it drops what is left at the end, so a result that outlives
+    the context must be written elsewhere (``stored``).
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[DataFrame, str] = {}
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*list(self.paths))
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        path = new_path(self.spark, label)
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[table] = path
+        return table
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables of this computation; others and None are left alone."""
+        for table in tables:
+            path = self.paths.pop(table, None)
+            if path is not None:
+                drop(self.spark, path)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; call it when no DataFrame needs them any more."""
     drop(spark, work_dir(spark))
