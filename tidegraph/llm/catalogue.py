@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, perspectives, recipes, repeats, sharding, shingle_join, syncmers, tokens, toxicity
+from . import (
+    alignment, merkle, mixing, packing, perspectives, recipes, repeats, sharding, shingle_join, superminhash, syncmers, tokens,
+    toxicity,
+)
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +189,105 @@ def op9_hypergeometric_shards(spark, sf_dir):
 def op10_chunk_recipes(spark, sf_dir):
     """Which document stands for each text."""
     return recipes.exact_groups(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query(
+    r"""
+    WITH RECURSIVE split AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    sets AS (
+      SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(
+          range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) END AS s
+      FROM split),
+    sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+    entries AS (SELECT doc_id, unnest(s) AS shingle FROM sets),
+    shared AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+      FROM entries a JOIN entries b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (
+      SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+      WHERE 100 * c >= 85 * (x.n + y.n - c)),
+    reached AS (
+      SELECT doc_id, doc_id AS other FROM documents
+      UNION SELECT reached.doc_id, links.b FROM reached JOIN links ON links.a = reached.other)
+    SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, min(other) AS component_id, min(other) = doc_id AS kept
+    FROM reached JOIN sizes USING (doc_id) GROUP BY doc_id, n
+    """
+)
+def op11_superminhash(spark, sf_dir):
+    """The group of near copies that each document belongs to."""
+    return superminhash.near_copies(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query()
+def op12_lockstep_alignment(spark, sf_dir):
+    """How the tokens of two tokenizers lie on each other in every document."""
+    return alignment.align_tokenizers(documents(spark, sf_dir).select("doc_id", "text"))[0]
+
+
+@query(
+    r"""
+    WITH RECURSIVE encoded AS (
+      SELECT doc_id, source, text, lang, n_chars,
+        coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+          || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+          || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS front,
+        list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+            string_split(coalesce(CAST(doc_id AS VARCHAR), '-'), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+          lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS crc
+      FROM documents),
+    digests AS (
+      SELECT doc_id, source, sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+        CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed, front
+      FROM encoded),
+    leaves AS (
+      SELECT *, sha256(front || coalesce(strlen(changed) || ':' || changed, '-')) AS tampered_leaf,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM digests),
+    nodes AS (
+      SELECT 0 AS level, source, i, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM leaves
+      UNION ALL
+      SELECT level, source, i, sha256(h), n FROM (
+        SELECT level + 1 AS level, source, i // 3 AS i, string_agg(h, '' ORDER BY i) AS h, (n + 2) // 3 AS n
+        FROM nodes WHERE n > 1 GROUP BY level + 1, source, i // 3, (n + 2) // 3)),
+    subroots AS (
+      SELECT source, h, level AS top, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS i
+      FROM nodes WHERE n = 1),
+    upper AS (
+      SELECT 0 AS level, i, h, count(*) OVER () AS n FROM subroots
+      UNION ALL
+      SELECT level, i, sha256(h), n FROM (
+        SELECT level + 1 AS level, i // 3 AS i, string_agg(h, '' ORDER BY i) AS h, (n + 2) // 3 AS n
+        FROM upper WHERE n > 1 GROUP BY level + 1, i // 3, (n + 2) // 3)),
+    runs AS (
+      SELECT source, false AS above, level, i // 3 AS run, list(h ORDER BY i) AS hs FROM nodes WHERE n > 1 GROUP BY ALL
+      UNION ALL
+      SELECT NULL, true, level, i // 3, list(h ORDER BY i) FROM upper WHERE n > 1 GROUP BY ALL),
+    start AS (
+      SELECT leaves.doc_id, leaves.source, leaves.i AS spot, leaf, tampered_leaf, subroots.h AS subroot, subroots.top,
+        subroots.i AS rank, (SELECT max(level) FROM upper) AS upper_top
+      FROM leaves JOIN subroots ON leaves.source IS NOT DISTINCT FROM subroots.source),
+    walk AS (
+      SELECT doc_id, source, spot, leaf, subroot, top, rank, upper_top, 0 AS step,
+        CASE WHEN top = 0 THEN rank ELSE spot END AS i, tampered_leaf AS node, '' AS proof
+      FROM start
+      UNION ALL
+      SELECT w.doc_id, w.source, w.spot, w.leaf, w.subroot, w.top, w.rank, w.upper_top, w.step + 1,
+        CASE WHEN w.step + 1 = w.top THEN w.rank ELSE w.i // 3 END,
+        sha256(array_to_string(list_transform(r.hs, lambda h, k: CASE WHEN k - 1 = w.i % 3 THEN w.node ELSE h END), '')),
+        w.proof || array_to_string(list_filter(r.hs, lambda h, k: k - 1 <> w.i % 3), '')
+      FROM walk w JOIN runs r
+        ON r.above = (w.step >= w.top) AND (r.above OR r.source IS NOT DISTINCT FROM w.source)
+          AND r.level = CASE WHEN w.step >= w.top THEN w.step - w.top ELSE w.step END AND r.run = w.i // 3)
+    SELECT doc_id, leaf, subroot, (SELECT h FROM upper WHERE n = 1) AS root, sha256(proof) AS proof_sha256,
+      node AS folded_root, node = (SELECT h FROM upper WHERE n = 1) AS verified
+    FROM walk WHERE step = top + upper_top
+    """
+)
+def op13_merkle_manifest(spark, sf_dir):
+    """Every document's proof in the manifest of all, checked against a text without line ends for every second one."""
+    hit = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).cast("binary")) % 2 == 0
+    shorter = F.when(hit, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    return merkle.verified_manifest(documents(spark, sf_dir), fields, "source", "doc_id", {"text": shorter})
