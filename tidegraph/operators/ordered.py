@@ -187,12 +187,17 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return match
 
 
-def dense_index(df: DataFrame, order: list[str | Column], name: str = "position") -> DataFrame:
+def dense_index(
+    df: DataFrame,
+    order: list[str | Column],
+    name: str = "position",
+    keep: Callable[[DataFrame, str], DataFrame] = stored,
+) -> DataFrame:
     """Number the rows 0, 1, 2, ... in ``order``, which must be unique.
 
-    The rows are range-partitioned and sorted once and stored that way. A row's
-    number is its place within its part plus the rows in all earlier parts, so
-    no task sees more than its part.
+    The rows are range-partitioned and sorted once and stored that way, by ``keep``.
+    A row's number is its place within its part plus the rows in all earlier parts,
+    so no task sees more than its part.
     """
     ranged = (
         df.repartitionByRange(*order)
@@ -200,7 +205,7 @@ def dense_index(df: DataFrame, order: list[str | Column], name: str = "position"
         # Part number in the upper bits, place within the part in the lower 33.
         .withColumn("__place", F.monotonically_increasing_id())
     )
-    kept = stored(ranged, "ranged").withColumns(
+    kept = keep(ranged, "ranged").withColumns(
         {"__part": F.shiftright("__place", 33), "__place": F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))}
     )
     # One row per part: bounded by the number of parts, not by the data.
