@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from .common import arrow_bytes, release, trimmed
 BYTE_MODEL, PIECE_MODEL = "byte_bpe_50k", "piece_bpe_32k"
 BLOCK_BYTES = 4_000_000  # Of text in a block of documents; a longer text is a block of its own.
 LANE_BYTES = 2_048  # Of a lane of the merge.
+LONG_WHITE = 100_000  # Characters of white space that the fast library is not asked to look through.
+_WHITE = re.compile(r"\s++")
 
 
 def exact_tokenizer() -> Tokenizer:
@@ -84,14 +87,13 @@ class Encoders:
     def ids(self, text: str) -> list[int]:
         """A's ids of a space and the text.
 
-        The fast library has the same vocabulary and rules but gives up on very long
-        white space; there the exact one does the work.
+        The fast library has the same vocabulary and rules but cannot look through
+        white space of a million characters; there the exact one does the work.
         """
-        try:
-            return self.fast.encode_ordinary(" " + text)
-        except ValueError:
+        if len(text) > LONG_WHITE and any(m.end() - m.start() > LONG_WHITE for m in _WHITE.finditer(text)):
             self.exact = self.exact or exact_tokenizer()
             return self.exact.encode(" " + text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(" " + text)
 
     def both(self, raw: bytes | None) -> tuple[list[int], list[int]]:
         """The ids of A and of B; none where the text is empty or either does not give back its bytes."""

@@ -224,11 +224,12 @@ def build_manifest(
         F.col(order).alias("order"),
         digest.alias("digest"),
     )
-    placed = dense_index(rows.withColumn("tie", F.monotonically_increasing_id()), ["known", "group", "order", "digest", "tie"])
-    placed = scratch.stored(placed.drop("tie"), "placed-leaves")
+    # Equal rows are told apart, so that any number of them is spread over the parts.
+    rows = rows.withColumn("tie", F.monotonically_increasing_id())
+    placed = dense_index(rows, ["known", "group", "order", "digest", "tie"], keep=scratch.stored).drop("tie")
     trees = placed.groupBy("known", "group").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("start"))
     # Groups may be as many as rows: they are numbered as rows are.
-    trees = scratch.stored(dense_index(trees, ["known", "group"], "tree"), "trees")
+    trees = scratch.stored(dense_index(trees, ["known", "group"], "tree", scratch.stored), "trees")
     joined = join_counted(placed, trees, ["known", "group"], "inner")
     leaves = scratch.stored(
         joined.select(*keep, "order", "digest", "tree", (F.col("position") - F.col("start")).alias("index"), "n", "start"),
@@ -265,7 +266,7 @@ def unit_paths(leaves: DataFrame, log: DataFrame, above: DataFrame | None, unit:
     )
 
     def read(mine: pa.Table, found: pa.Table) -> pa.Table:
-        rows = zip(*[found.column(c).to_pylist() for c in ("tree", "unit", "n_units", "nodes", "path")])
+        rows = zip(*[found.column(f"log_{c}").to_pylist() for c in ("tree", "unit", "n_units", "nodes", "path")])
         logs_of = {(t, u): (units, [x.encode() for x in nodes], path) for t, u, units, nodes, path in rows}
         paths = []
         for t, i, n in zip(*[mine.column(c).to_pylist() for c in ("tree", "index", "n")]):
@@ -280,7 +281,8 @@ def unit_paths(leaves: DataFrame, log: DataFrame, above: DataFrame | None, unit:
         release()
         return table
 
-    return places.groupBy("shard").cogroup(logs.groupBy("shard")).applyInArrow(read, fields)
+    logs = logs.select(*[F.col(c).alias(f"log_{c}") for c in logs.columns])
+    return places.groupBy("shard").cogroup(logs.groupBy("log_shard")).applyInArrow(read, fields)
 
 
 def _all_paths(leaves: DataFrame, log: DataFrame, unit: int, carried: list[str], scratch: Scratch, above=None) -> DataFrame:
