@@ -362,6 +362,14 @@ def test_places_in_the_append_log(n):
     assert places.tolist() == list(range(len(log)))
 
 
+@pytest.mark.parametrize("n", [1, 2, 9, 10, 27, 50])
+def test_paths_of_a_subtree_are_those_of_its_leaves(n):
+    leaves, top = [merkle.node_digest([bytes([i])]) for i in range(n)], merkle.height(n) + 1
+    log = merkle.append_log(leaves, top)
+    each = [merkle.path_text(log, i, n, top) + "|above" for i in range(n)]
+    assert merkle.subtree_paths(log, n, top, "above") == each
+
+
 def test_any_change_of_leaf_or_sibling_is_seen():
     leaves = [hashlib.sha256(bytes([i])).hexdigest().encode() for i in range(23)]
     top = merkle.height(23)

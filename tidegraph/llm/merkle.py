@@ -101,6 +101,27 @@ def path_text(log: list[bytes], index: int, n: int, top: int, arity: int = ARITY
     )
 
 
+def subtree_paths(log: list[bytes], n: int, top: int, above: str = "", arity: int = ARITY) -> list[str]:
+    """The paths of all leaves of a subtree, each followed by ``above``: places are computed once per level.
+
+    A node's path is its run and then its parent's path, so every level adds one run to the paths above it.
+    """
+    sizes = [n]
+    for _ in range(top):
+        sizes.append(-(-sizes[-1] // arity))
+    paths = [above]
+    for h in range(top - 1, -1, -1):
+        count = sizes[h]
+        places = postorder(np.full(count, h), np.arange(count), np.full(count, n), top, arity)
+        texts, longer = [log[p].decode() for p in places.tolist()], []
+        for parent, first in enumerate(range(0, count, arity)):
+            run = texts[first : first + arity]
+            rest = f"|{paths[parent]}" if paths[parent] else ""
+            longer += [",".join([*run[:k], OWN, *run[k + 1 :]]) + rest for k in range(len(run))]
+        paths = longer
+    return paths
+
+
 def folded(leaf: str, path: str) -> str:
     """The root that a leaf and a path lead to."""
     node = leaf
@@ -266,15 +287,16 @@ def unit_paths(leaves: DataFrame, log: DataFrame, above: DataFrame | None, unit:
     )
 
     def read(mine: pa.Table, found: pa.Table) -> pa.Table:
+        tree, index, n = (mine.column(c).to_numpy() for c in ("tree", "index", "n"))
+        size_of = dict(zip(tree.tolist(), n.tolist()))
         rows = zip(*[found.column(f"log_{c}").to_pylist() for c in ("tree", "unit", "n_units", "nodes", "path")])
-        logs_of = {(t, u): (units, [x.encode() for x in nodes], path) for t, u, units, nodes, path in rows}
-        paths = []
-        for t, i, n in zip(*[mine.column(c).to_pylist() for c in ("tree", "index", "n")]):
-            units, nodes, rest = logs_of[t, i // unit]
-            top = height(unit) if units > 1 else height(n)
-            size = min(n - i // unit * unit, unit)
-            path = path_text(nodes, i % unit, size, top)
-            paths.append("|".join(x for x in (path, rest) if x))
+        paths_of = {}
+        for t, u, units, nodes, rest in rows:
+            total = size_of[t]
+            top = height(unit) if units > 1 else height(total)
+            size = min(total - u * unit, unit)
+            paths_of[t, u] = subtree_paths([x.encode() for x in nodes], size, top, rest)
+        paths = [paths_of[t, i // unit][i % unit] for t, i in zip(tree.tolist(), index.tolist())]
         table = mine.select(["tree", "index"]).append_column("path", pa.array(paths, pa.string()))
         for c in carried:
             table = table.append_column(c, mine.column(c))
