@@ -10,10 +10,12 @@ ranks. All documents of a batch go through the ranks together.
 
 Sets that share a band of slots share a bucket. Of a bucket one set is the centre,
 the one that meets most others in all its buckets; it is compared with the full sets
-of the rest. What is connected is joined by union-find, the centre leaves the bucket
-with all its comparisons made, and the next round looks only at buckets that still
-hold sets of different components, with four times as many centres. So a group of m
-near copies around one text costs m comparisons, and no candidate is left out.
+of the rest, and what is connected is joined by union-find. So a group of m near copies
+around one text costs m comparisons. Two other sets of a bucket both stand in the
+centre's star. Where a star has sets that are not linked with its centre, these are
+compared, as full sets, with all of the star, in blocks: the sizes of all
+intersections of two blocks are one matrix product, and a task gives back only the
+links that join them. No candidate is left out, and no row stands for a pair.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..storage import Scratch, stored
@@ -37,7 +39,8 @@ BATCH_BYTES = 8_000_000
 # Elements that go through the ranks together; each has a permutation of SLOTS bytes.
 ELEMENTS = 1 << 17
 LOCAL_LINKS = 1 << 18  # Links joined by union-find at a time inside a task.
-MORE_CENTRES = 4
+# Sets of a block and bytes of their elements, on average; columns of a matrix at a time.
+BLOCK_SETS, BLOCK_BYTES, COLUMNS = 512, 16_000_000, 1 << 13
 
 _ODD = 0x9E3779B97F4A7C15
 _WHITE = (32, 9, 10, 11, 12, 13)
@@ -258,77 +261,136 @@ def united(links: DataFrame, scratch: Scratch) -> DataFrame:
     return components
 
 
-def candidate_pairs(members: DataFrame, labels: DataFrame | None, centres: int, scratch: Scratch) -> tuple:
-    """Stored (bucket, key, ...) of the chosen centres, and (a, b): each with the others of its buckets.
+def stars(members: DataFrame) -> DataFrame:
+    """(a, n_a, b, n): the centre of each bucket with the other sets of its buckets, each once."""
+    best = F.max_by(F.struct("key", "n"), F.struct("score", "key"))
+    centres = members.groupBy("bucket").agg(best.alias("c"))
+    centres = centres.select(F.col("bucket").alias("of"), F.col("c.key").alias("a"), F.col("c.n").alias("n_a"))
+    met = members.join(centres, (F.col("bucket") == F.col("of")) & (F.col("key") != F.col("a")))
+    return met.select("a", "n_a", F.col("key").alias("b"), "n").distinct()
 
-    Buckets that hold one component only are left out, as are pairs of one component and pairs that their
-    sizes keep from being similar. None, None when no bucket is left.
-    """
-    if labels is None:
-        left = members.withColumn("component", F.col("key"))
-    else:
-        known = labels.withColumnRenamed("node", "key")
-        named = join_counted(members, known, ["key"]).withColumn("component", F.coalesce("component", "key"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        mixed = scratch.stored(mixed.where("low <> high").select("bucket"), "mixed-buckets")
-        left = scratch.stored(join_counted(named, mixed, ["bucket"], "left_semi"), "open-buckets")
-        scratch.drop(mixed)
-    # The best of each task are found before the best of the bucket.
-    ranked = Window.partitionBy("bucket").orderBy(F.desc("score"), "key")
-    chosen = left.withColumn("__rank", F.row_number().over(ranked)).where(F.col("__rank") <= centres).drop("__rank")
-    chosen = scratch.stored(chosen, "centres")
-    if chosen.isEmpty():
-        scratch.drop(left, chosen)
-        return None, None
-    heads = chosen.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "component", "score")])
-    met = (
-        join_counted(left, heads, ["bucket"], "inner")
-        .where("component <> component_a AND 100 * least(n, n_a) >= %d * greatest(n, n_a)" % SIMILAR)
-        # The better centre first: two centres of a bucket, or of several, are one pair.
-        .withColumn("__first", F.struct(-F.col("score_a"), F.col("key_a")) < F.struct(-F.col("score"), F.col("key")))
-        .select(F.when(F.col("__first"), F.col("key_a")).otherwise(F.col("key")).alias("a"),
-                F.when(F.col("__first"), F.col("key")).otherwise(F.col("key_a")).alias("b"))
-    )
-    pairs = scratch.stored(met.distinct(), "candidates")
-    if labels is not None:
-        scratch.drop(left)
-    return chosen, pairs
+
+def similar(shared, n, m):
+    return 100 * shared >= SIMILAR * (n + m - shared)
 
 
 def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. ``bodies``: (key, text), one row per set.
+    """The pairs (a, b) whose full sets are similar. ``bodies``: (key, body), one row per set.
 
-    The text of b, which has few partners, moves first; the centre a is split by adaptive execution if it has many.
+    The elements of b, which has few partners, move first; the centre a is split by adaptive execution if it has many.
     """
 
     def compare(batches):
-        centre, elements = None, None
         for batch in batches:
             kept = []
-            for a, x, y in zip(_bytes(batch, "a"), _bytes(batch, "text_a"), _bytes(batch, "text_b")):
-                if a != centre:
-                    centre, elements = a, shingle_set(x)
-                other = shingle_set(y)
-                shared = len(np.intersect1d(elements, other, assume_unique=True))
-                kept.append(100 * shared >= SIMILAR * (len(elements) + len(other) - shared))
+            for x, y in zip(_sets(batch.column("body_a")), _sets(batch.column("body_b"))):
+                kept.append(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    ends = [bodies.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b")]
-    both = pairs.join(ends[1], "b").join(ends[0], "a").select("a", "b", "text_a", "text_b")
+    ends = [bodies.select(F.col("key").alias(c), F.col("body").alias(f"body_{c}")) for c in ("a", "b")]
+    both = pairs.join(ends[1], "b").join(ends[0], "a").select("a", "b", "body_a", "body_b")
     return both.mapInArrow(trimmed(compare), "a binary, b binary")
 
 
-def set_texts(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(key, text): one text for each of the wanted (doc_id, key)."""
+def _sets(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u8") for x in column.to_pylist()]
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of ``a`` shares with each of ``b``, as matrix products over what both blocks hold."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    common = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    places = [[np.searchsorted(common, x[np.isin(x, common, assume_unique=True)]) for x in block] for block in (a, b)]
+    for first in range(0, len(common), COLUMNS):
+        width = min(COLUMNS, len(common) - first)
+        # Counts up to 2^24 are exact in 32 bits, and a part of them even more so.
+        both = [np.zeros((len(block), width), np.float32) for block in places]
+        for matrix, block in zip(both, places):
+            for i, at in enumerate(block):
+                matrix[i, at[np.searchsorted(at, first) : np.searchsorted(at, first + width)] - first] = 1
+        out += both[0] @ both[1].T
+    return out
+
+
+def joining_links(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A few of the links (i, j) of a matrix that connect the same rows and columns as all of them."""
+    rows, columns = linked.shape
+    label = np.arange(rows + columns)
+    out = []
+    for i in np.flatnonzero(linked.any(axis=1)):
+        for j in np.flatnonzero(linked[i]):
+            x, y = label[i], label[rows + j]
+            if x != y:
+                label[label == max(x, y)] = min(x, y)
+                out.append((int(i), int(j)))
+        if (label[:rows] == label[0]).all() and (label[rows:] == label[0]).all():
+            break
+    return out
+
+
+def block_links(star: DataFrame, labels: DataFrame, bodies: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): links that connect what is similar among the sets of a star that its centre leaves apart.
+
+    In each star those that are not of the centre's component are compared with each other and with the rest.
+    """
+    of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("component"))
+    of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("component_a"))
+    named = join_counted(join_counted(star, of_b, ["b"]), of_a, ["a"]).select(
+        "a", "b", "n", F.coalesce("component", "b").alias("component"), F.coalesce("component_a", "a").alias("of_centre")
+    )
+    named = named.withColumn("apart", F.col("component") != F.col("of_centre"))
+    sizes = named.groupBy("a").agg(
+        *[
+            F.ceil(F.greatest(F.count_if(side) / BLOCK_SETS, F.sum(F.when(side, F.col("n") * 8)) / BLOCK_BYTES))
+            .cast("int").alias(name)
+            for name, side in (("blocks", F.col("apart")), ("others", ~F.col("apart")))
+        ],
+        F.count(F.lit(1)).alias("size"),
+    )
+    sizes = scratch.stored(sizes.where("size > 1 AND blocks > 0").drop("size"), "stars-apart")
+    mine = join_counted(named, sizes, ["a"], "inner")
+    place = F.xxhash64("b")
+    blocks, others = F.col("blocks"), F.coalesce("others", F.lit(0))
+    own = F.when(F.col("apart"), F.pmod(place, blocks)).otherwise(F.pmod(place, others)).cast("int")
+    # The block pairs (i, j) of a set, i <= j: blocks from ``blocks`` on are those of the centre's component.
+    index = F.when(F.col("apart"), own).otherwise(blocks + own)
+    partner = F.when(F.col("apart"), F.sequence(F.lit(0), blocks + others - 1)).otherwise(F.sequence(F.lit(0), blocks - 1))
+    dealt = mine.select("a", "b", "component", index.alias("own"), F.explode(partner).alias("partner")).select(
+        "a", "b", "component", "own", F.least("own", "partner").alias("i"), F.greatest("own", "partner").alias("j")
+    )
+    filled = dealt.join(bodies, dealt["b"] == bodies["key"]).select("a", "i", "j", "own", "b", "component", "body")
+
+    def compare(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        own = table.column("own").to_numpy()
+        key, component, sets = table.column("b").to_pylist(), table.column("component").to_pylist(), _sets(table.column("body"))
+        left, right = (np.flatnonzero(own == k).tolist() for k in (i, j))
+        found = []
+        if left and right and len(set(component)) > 1:
+            number = {c: k for k, c in enumerate(set(component))}
+            part = np.array([number[c] for c in component])
+            size = np.array([len(x) for x in sets])
+            shared = intersections([sets[k] for k in left], [sets[k] for k in right])
+            linked = similar(shared, size[left][:, None], size[right][None, :])
+            linked &= part[left][:, None] != part[right][None, :]
+            found = [(key[left[x]], key[right[y]]) for x, y in joining_links(linked)]
+        return pa.table({c: pa.array([f[k] for f in found], pa.binary()) for k, c in enumerate(("a", "b"))})
+
+    return filled.groupBy("a", "i", "j").applyInArrow(trimmed(compare), "a binary, b binary")
+
+
+def set_bodies(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(key, body): the sorted elements of each of the wanted (doc_id, key), once."""
 
     def name(batches):
         for batch in batches:
-            keys = [set_key(shingle_set(x)) for x in _bytes(batch, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column("text")], ["key", "text"])
+            sets = [shingle_set(x) for x in _bytes(batch, "text")]
+            columns = [[set_key(s) for s in sets], [s.astype("<u8").tobytes() for s in sets]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["key", "body"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = join_counted(rows, wanted.select("doc_id").distinct(), ["doc_id"], "left_semi")
-    named = rows.select("text").mapInArrow(trimmed(name), "key binary, text string")
+    named = rows.select("text").mapInArrow(trimmed(name), "key binary, body binary")
     # Rows that share a doc_id with a wanted one have other sets; repeated rows count once.
     return named.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
@@ -359,36 +421,19 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         members = bucket_members(distinct, scratch)
         wanted = members.select("key").distinct().join(distinct.select("key", "doc_id"), "key")
         wanted = scratch.stored(wanted, "wanted")
-        bodies = scratch.stored(set_texts(docs, doc_id, text, wanted), "set-texts")
-        scratch.drop(wanted)
-        labels, tried, centres = None, None, 1
-        while True:
-            chosen, pairs = candidate_pairs(members, labels, centres, scratch)
-            if chosen is None:
-                break
-            if tried is not None:
-                fresh = scratch.stored(pairs.join(tried, ["a", "b"], "left_anti"), "fresh-pairs")
-                scratch.drop(pairs)
-                pairs = fresh
-            found = scratch.stored(verified(pairs, bodies), "links")
-            if not found.isEmpty():
-                before = labels
-                if before is not None:
-                    hung = before.select(F.col("node").alias("a"), F.col("component").alias("b"))
-                    found = found.unionByName(hung.where("a <> b"))
-                labels = united(found, scratch)
-                scratch.drop(before)
-            # A centre has met all of its bucket.
-            rest = members.join(chosen.select("bucket", "key"), ["bucket", "key"], "left_anti")
-            old, members = members, scratch.stored(rest, "bucket-members")
-            scratch.drop(old, chosen)
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            centres *= MORE_CENTRES
+        star = scratch.stored(stars(members), "stars")
+        bodies = scratch.stored(set_bodies(docs, doc_id, text, wanted), "set-bodies")
+        scratch.drop(members, wanted)
+        close = star.where("100 * least(n, n_a) >= %d * greatest(n, n_a)" % SIMILAR).select("a", "b")
+        links = scratch.stored(verified(close, bodies), "star-links")
+        first = united(links, scratch)
+        more = scratch.stored(block_links(star, first, bodies, scratch), "block-links")
+        scratch.drop(star, bodies)
+        hung = first.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
+        labels = united(hung.unionByName(more), scratch)
+        scratch.drop(first, links, more)
         named = distinct.select("key", "doc_id", "rows")
-        if labels is not None:
-            named = named.join(labels.withColumnRenamed("node", "key"), "key", "left")
-        else:
-            named = named.withColumn("component", F.lit(None).cast("binary"))
+        named = named.join(labels.withColumnRenamed("node", "key"), "key", "left")
         linked = scratch.stored(named.where("component IS NOT NULL OR rows > 1"), "linked-sets")
         root = F.coalesce("component", "key")
         lowest = linked.groupBy(root.alias("root")).agg(F.min("doc_id").alias("component_id"))
