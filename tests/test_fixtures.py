@@ -8,6 +8,7 @@ from tidegraph.functions import intervals as iv
 from tidegraph.functions import times as tm
 from tidegraph.operators import changelog as cl
 from tidegraph.operators import graph as g
+from tidegraph.operators.diameter import hop_diameter
 from tidegraph.operators import measures, ordered, snapshots, synthesis, topology, validity
 from tidegraph.plans.temporal_graph import IntervalGraph, SnapshotGraph
 from tidegraph.schema import ENTITY, INTERVALS
@@ -269,7 +270,7 @@ def test_measures(spark):
     assert {r["id"] for r in g.degree_median(g.degrees(graph.edges)).collect()} == {5}
     assert tuple(g.graph_stats(graph).first()) == (6, 6, 1.0)
     # 1 reaches 4 in two hops, 2 reaches 4 in two, 4 reaches 3 in two.
-    assert g.hop_diameter(graph, words=1).first()["diameter"] == 2
+    assert hop_diameter(graph, 1).first()["diameter"] == 2
 
 
 def test_diameter_needs_several_batches(spark):
@@ -278,7 +279,7 @@ def test_diameter_needs_several_batches(spark):
     graph = g.PropertyGraph(
         spark.range(n).withColumn("attributes", F.lit(None).cast("map<string,string>")), edges.where("src < 12 or src > 140")
     )
-    assert g.hop_diameter(graph, words=1).first()["diameter"] == 12
+    assert hop_diameter(graph, 1).first()["diameter"] == 12
 
 
 def test_messages_and_subgraph(spark):

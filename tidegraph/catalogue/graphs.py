@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import changelog as cl
+from ..operators import diameter as dm
 from ..operators import graph as g
 from ..operators import synthesis as sy
 from ..operators import topology as tp
@@ -191,7 +192,7 @@ walk AS (SELECT src, dst, 1 AS hops FROM steps
 shortest AS (SELECT src, dst, min(hops) AS hops FROM walk WHERE src <> dst GROUP BY src, dst)
 SELECT CAST(coalesce(max(hops), 0) AS BIGINT) AS diameter FROM shortest""")
 def hop_diameter(spark, sf):
-    return g.hop_diameter(nation_graph(spark, sf), words=1)
+    return dm.hop_diameter(nation_graph(spark, sf))
 
 
 @query(f"""

@@ -69,6 +69,24 @@ def read_contacts(spark, sf):
     return contacts.read_contacts(spark, path, ",")
 
 
+@query(
+    "SELECT CASE l_linenumber WHEN 1 THEN 'bad_source' WHEN 2 THEN 'bad_target' WHEN 3 THEN 'bad_time' WHEN 4 THEN 'too_few_fields' "
+    "ELSE 'too_many_fields' END AS reason, count(*) AS lines FROM lineitem WHERE l_linenumber <= 4 OR l_returnflag = 'R' GROUP BY 1"
+)
+def rejected_contacts(spark, sf):
+    """Lines of a contact file that cannot be read, by reason."""
+    number = F.col("l_linenumber")
+    src = F.when(number == 1, "customer").otherwise(F.col("l_orderkey").cast("string"))
+    dst = F.when(number == 2, "1.5").otherwise(F.col("l_suppkey").cast("string"))
+    time = F.when(number == 3, "99999999999999999999").otherwise(F.unix_seconds(F.col("l_shipdate").cast("timestamp")).cast("string"))
+    more = F.when((number > 4) & (F.col("l_returnflag") == "R"), F.lit(";7")).otherwise("")
+    line = F.when(number == 4, F.concat_ws(";", src, dst)).otherwise(F.concat(F.concat_ws(";", src, dst, time), more))
+    path = new_path(spark, "contact-lines")
+    samples.table(spark, sf, "lineitem").select(line.alias("value")).write.text(path)
+    _, rejected = contacts.read_contact_lines(spark, path, ";")
+    return rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query(
     f"WITH {q.TRADE_CONTACTS}, ends AS (SELECT src AS id FROM contacts UNION SELECT dst FROM contacts) "
     "SELECT 'vertex' AS part, id, CAST(NULL AS BIGINT) AS src, CAST(NULL AS BIGINT) AS dst, CAST(NULL AS TIMESTAMP) AS ts FROM ends "
@@ -303,7 +321,7 @@ _PLACES = "places AS (SELECT ts, row_number() OVER (ORDER BY ts, seq) - 1 AS pos
 
 @query(f"WITH {q.USERS}, {_PLACES} SELECT ts FROM places WHERE position = n // 20 - 1")
 def nth_log_timestamp(spark, sf):
-    return cl.nth_log_timestamp(cl.indexed_log(users(spark, sf)))
+    return cl.nth_log_timestamp(users(spark, sf))
 
 
 @query(
@@ -311,7 +329,7 @@ def nth_log_timestamp(spark, sf):
     "JOIN places ON position = (n // 21) * i"
 )
 def log_timestamp_quantile(spark, sf):
-    return cl.log_timestamp_quantiles(cl.indexed_log(users(spark, sf)), 21)
+    return cl.log_timestamp_quantiles(users(spark, sf), 21)
 
 
 # -- squashing ---------------------------------------------------------------

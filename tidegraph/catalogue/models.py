@@ -183,14 +183,29 @@ def save_snapshots(spark, sf):
     return _state(store.load_snapshots(spark, path).states, "snapshot_no", *_STATE)
 
 
+def _parts_sql(parts: int) -> str:
+    """Rows of the states of so many snapshots of the users' log, one more if the last is not full."""
+    every = f"greatest((SELECT count(*) FROM users) // {parts}, 1)"
+    windows = _windows_sql("row_number() OVER (ORDER BY ts, seq) - 1", every, f"(SELECT (count(*) - 1) // {every} FROM users)")
+    return (
+        f"SELECT '{parts} snapshots' AS model, 'snapshots' AS part, count(*) AS rows, count(*) * 2 AS attribute_entries "
+        f"FROM (WITH {windows} SELECT * FROM snapshots) UNION ALL SELECT '{parts} snapshots', 'log', count(*), "
+        "CAST(2 * sum(CASE WHEN action <> 'DELETE' THEN 1 ELSE 0 END) AS BIGINT) FROM users"
+    )
+
+
 @query(f"""
-WITH {q.USERS}, {q.values_over_time('users')}, {_BY_TIME}
+WITH {q.USERS}, {q.values_over_time('users')}
 SELECT 'intervals' AS model, 'intervals' AS part, count(*) AS rows, count(*) FILTER (WHERE key <> '') AS attribute_entries FROM facts
-UNION ALL SELECT 'daily', 'snapshots', count(*), count(*) * 2 FROM snapshots
-UNION ALL SELECT 'daily', 'log', count(*), CAST(2 * sum(CASE WHEN action <> 'DELETE' THEN 1 ELSE 0 END) AS BIGINT) FROM users""")
+UNION ALL {_parts_sql(10)} UNION ALL {_parts_sql(100)}""")
 def storage_comparison(spark, sf):
-    intervals = vl.attribute_intervals(users(spark, sf))
-    return ms.storage_comparison(intervals, {"daily": user_snapshots_by_time(spark, sf)})
+    """What a log takes as intervals and with 10 and 100 snapshots, read back from what is stored."""
+    log = users(spark, sf)
+    entries = log.count()
+    models = {
+        f"{n} snapshots": saved(spark, SnapshotGraph.from_log(log, every_actions=max(entries // n, 1))).model for n in (10, 100)
+    }
+    return ms.storage_comparison(saved(spark, IntervalGraph.from_log(log)).intervals, models)
 
 
 # -- state at a time ---------------------------------------------------------

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.attributes import attributes_text, merge_attributes
 from ..functions.intervals import within
-from ..functions.times import instant
+from ..functions.times import epoch_micros, instant
 from ..schema import CREATE, DELETE, EDGE, ENTITY, ORDER, STATE, UPDATE, VERTEX, conform, no_attributes
-from .ordered import OrderedRows, dense_index
+from .ordered import OrderedRows, dense_index, rows_at_places
 
 
 def is_lifecycle(action: Column) -> Column:
@@ -82,21 +82,24 @@ def log_count(log: DataFrame) -> DataFrame:
     return log.agg(F.count(F.lit(1)).alias("entries"))
 
 
-def nth_log_timestamp(indexed: DataFrame, divisor: int = 20) -> DataFrame:
+def times_at_places(log: DataFrame, places: list[int]) -> DataFrame:
+    """(position, ts) of the entries at some places of the log, which is neither sorted nor numbered for it."""
+    order = {"ts": epoch_micros(F.col("ts")), "seq": F.col("seq")}
+    return rows_at_places(log, order, places).select("position", "ts")
+
+
+def nth_log_timestamp(log: DataFrame, divisor: int = 20) -> DataFrame:
     """Time of the entry at place floor(n / divisor), counted from 1."""
-    size = indexed.count()
-    return indexed.where(F.col("position") == size // divisor - 1).select("ts")
+    return times_at_places(log, [log.count() // divisor - 1]).select("ts")
 
 
-def log_timestamp_quantiles(indexed: DataFrame, parts: int = 21) -> DataFrame:
+def log_timestamp_quantiles(log: DataFrame, parts: int = 21) -> DataFrame:
     """Times of the entries at place floor(n / parts) * i, counted from 0, for each i < parts."""
-    step = indexed.count() // parts
+    step = log.count() // parts
     places = [step * i for i in range(parts)]
-    hits = indexed.where(F.col("position").isin(sorted(set(places)))).select("position", "ts")
-    numbers = indexed.sparkSession.createDataFrame(
-        [(i, p) for i, p in enumerate(places)], "iteration INT, position BIGINT"
-    )
-    return numbers.join(F.broadcast(hits), "position").select("iteration", "ts")
+    numbers = log.sparkSession.createDataFrame(list(enumerate(places)), "iteration INT, position BIGINT")
+    # As many rows as parts.
+    return numbers.join(F.broadcast(times_at_places(log, places)), "position").select("iteration", "ts")
 
 
 # -- squashing ---------------------------------------------------------------

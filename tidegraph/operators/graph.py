@@ -9,8 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import EDGE, VERTEX
-from ..storage import stored
-from .ordered import dense_index
+from .ordered import rows_at_places
 
 
 @dataclass(frozen=True)
@@ -164,10 +163,10 @@ def in_out_degree_sum(edges: DataFrame, how: str = "inner") -> DataFrame:
 
 def degree_median(degree: DataFrame) -> DataFrame:
     """The vertex in the middle by degree, or both middle ones of an even number."""
-    ranked = dense_index(degree, ["degree", "id"])
-    size = ranked.count()
+    size = degree.count()
     middle = sorted({(size - 1) // 2, size // 2}) if size else []
-    return ranked.where(F.col("position").isin(middle)).select("id", "degree")
+    order = {"degree": F.col("degree"), "id": F.col("id")}
+    return rows_at_places(degree, order, middle).select("id", "degree")
 
 
 def graph_stats(graph: PropertyGraph) -> DataFrame:
@@ -190,68 +189,6 @@ def neighbour_ids(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(pairs)).distinct()
 
 
-_BITS = 64
-
-
-def hop_diameter(graph: PropertyGraph, words: int = 16) -> DataFrame:
-    """Longest finite directed shortest path over all pairs of vertices, in hops.
-
-    Breadth-first search from 64 * ``words`` sources at a time: a vertex keeps one
-    bit per source that has reached it, an edge passes the bits on and they are
-    OR-ed before they move. So no pair of vertices is ever a row. The work is that
-    of a search per vertex; rounds are stored, so a lost executor costs one round.
-    """
-    whole = implicit_vertices(graph).vertices.select("id")
-    numbered = dense_index(whole, ["id"], "number")
-    arcs = stored(graph.edges.where("src <> dst").select("src", "dst").distinct(), "arcs")
-    count = numbered.count()
-    bits = [f"w{i}" for i in range(words)]
-    longest = 0
-    for start in range(0, count, _BITS * words):
-        place = F.col("number") - start
-        sources = numbered.where((place >= 0) & (place < _BITS * words)).select(
-            "id",
-            *[
-                F.when(
-                    (place >= _BITS * i) & (place < _BITS * (i + 1)),
-                    F.call_function("shiftleft", F.lit(1).cast("bigint"), (place - _BITS * i).cast("int")),
-                )
-                .otherwise(F.lit(0).cast("bigint"))
-                .alias(b)
-                for i, b in enumerate(bits)
-            ],
-        )
-        frontier = reached = sources
-        depth = 0
-        while True:
-            sent = (
-                arcs.join(frontier, arcs["src"] == frontier["id"])
-                .groupBy("dst")
-                .agg(*[F.bit_or(b).alias(b) for b in bits])
-                .withColumnRenamed("dst", "id")
-            )
-            known = reached.select("id", *[F.col(b).alias(f"known_{b}") for b in bits])
-            new = {
-                b: F.col(b).bitwiseAND(F.bitwise_not(F.coalesce(F.col(f"known_{b}"), F.lit(0).cast("bigint"))))
-                for b in bits
-            }
-            any_new = F.lit(False)
-            for b in bits:
-                any_new = any_new | (F.col(b) != 0)
-            frontier = stored(
-                sent.join(known, "id", "left").select("id", *[c.alias(b) for b, c in new.items()]).where(any_new),
-                "frontier",
-            )
-            if frontier.isEmpty():
-                break
-            depth += 1
-            reached = stored(
-                reached.unionByName(frontier).groupBy("id").agg(*[F.bit_or(b).alias(b) for b in bits]), "reached"
-            )
-        longest = max(longest, depth)
-    return graph.edges.sparkSession.range(1).select(F.lit(longest).cast("bigint").alias("diameter"))
-
-
 def compare_graphs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of two state tables that are missing on one side or differ.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .snapshots import Snapshots
 from .validity import is_merged
@@ -25,6 +25,21 @@ def storage_comparison(intervals: DataFrame, snapshots: dict[str, Snapshots]) ->
     return result
 
 
+def stored_bytes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(model, part, files, bytes) of stored models: a part is a folder directly under a model's path.
+
+    The sizes come from the file system's own listing, one recursive summary per part.
+    """
+    rows = []
+    for model, path in paths.items():
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        for part in system.listStatus(place):
+            summary = system.getContentSummary(part.getPath())
+            rows.append((model, part.getPath().getName(), summary.getFileCount(), summary.getLength()))
+    return spark.createDataFrame(rows, "model STRING, part STRING, files BIGINT, bytes BIGINT")
+
+
 def mean_runtime(timings: DataFrame, by: list[str] = ["function"]) -> DataFrame:
     """Mean of repeated timings (columns ``function`` and ``value``)."""
     return timings.groupBy(*by).agg(

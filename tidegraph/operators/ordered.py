@@ -245,3 +245,120 @@ def repeat_rows(
         .withColumn(name, F.explode(F.sequence(chunk * _CHUNK, F.least((chunk + 1) * _CHUNK, count) - 1)))
         .drop("__chunk")
     )
+
+
+# Ranges that one pass tells apart, and rows of a range that are simply fetched.
+_RANGES, _FEW = 1024, 1000
+
+
+@dataclass
+class _Range:
+    """Rows with the values ``fixed`` of the first order columns and the next one in [low, high]."""
+
+    fixed: tuple[int, ...]
+    low: int
+    high: int
+    before: int
+    rows: int
+    places: list[int]
+
+    def holds(self, names: list[str]) -> Column:
+        match = F.lit(True)
+        for name, value in zip(names, self.fixed):
+            match = match & (F.col(name) == value)
+        if len(self.fixed) < len(names):
+            match = match & F.col(names[len(self.fixed)]).between(self.low, self.high)
+        return match
+
+
+def keys_at_places(
+    df: DataFrame, order: list[Column], places: list[int], ranges: int | None = None, few: int | None = None
+) -> dict[int, tuple[int, ...]]:
+    """The values of ``order`` (whole numbers without nulls) of the rows at some places, counted from 0.
+
+    Nothing is sorted or numbered: each pass counts the rows in ranges of the order and
+    goes on inside those that hold a place, until few rows are left to fetch. A pass is
+    a partial aggregate, and the driver sees ``ranges`` counts per place. Places beyond
+    the rows are left out.
+    """
+    ranges, few = ranges or _RANGES, few or _FEW
+    names = [f"__order_{i}" for i in range(len(order))]
+    keys = df.select(*[c.cast("bigint").alias(n) for c, n in zip(order, names)])
+    rows, low, high = keys.agg(F.count(F.lit(1)), F.min(names[0]), F.max(names[0])).first()
+    wanted = sorted({p for p in places if 0 <= p < rows})
+    open_ = [_Range((), low, high, 0, rows, wanted)] if wanted else []
+    found: dict[int, tuple[int, ...]] = {}
+    while open_:
+        small = [r for r in open_ if r.rows <= few]
+        if small:
+            _fetch(keys, names, small, found)
+        # A range of one value is cut by the next column of the order.
+        large, narrow = [], []
+        for r in open_:
+            if r.rows <= few:
+                continue
+            if r.low < r.high:
+                large.append(r)
+            elif len(r.fixed) + 1 == len(names):
+                found.update({p: (*r.fixed, r.low) for p in r.places})
+            else:
+                narrow.append(_Range((*r.fixed, r.low), 0, 0, r.before, r.rows, r.places))
+        if narrow:
+            _bound(keys, names, narrow)
+        open_ = narrow + (_cut(keys, names, large, ranges) if large else [])
+    return found
+
+
+def _numbered(keys: DataFrame, names: list[str], ranges: list[_Range], value: Callable[[_Range], Column]) -> DataFrame:
+    """Rows of the ranges with the range's number and a value."""
+    number, amount = F.lit(None).cast("int"), F.lit(None).cast("bigint")
+    for i, r in enumerate(ranges):
+        number = F.when(r.holds(names), i).otherwise(number)
+        amount = F.when(r.holds(names), value(r)).otherwise(amount)
+    return keys.select(*names, number.alias("__range"), amount.alias("__value")).where(F.col("__range").isNotNull())
+
+
+def _bound(keys: DataFrame, names: list[str], ranges: list[_Range]) -> None:
+    for r in ranges:
+        r.low, r.high = -(1 << 63), (1 << 63) - 1
+    rows = _numbered(keys, names, ranges, lambda r: F.col(names[len(r.fixed)]))
+    for row in rows.groupBy("__range").agg(F.min("__value").alias("low"), F.max("__value").alias("high")).collect():
+        ranges[row["__range"]].low, ranges[row["__range"]].high = row["low"], row["high"]
+
+
+def _cut(keys: DataFrame, names: list[str], ranges: list[_Range], parts: int) -> list[_Range]:
+    width = [(r.high - r.low) // parts + 1 for r in ranges]
+    # Integer division: a quotient of doubles is not exact above 2^53.
+    part = {
+        id(r): F.expr(f"cast((`{names[len(r.fixed)]}` - ({r.low})) div {w} as bigint)") for r, w in zip(ranges, width)
+    }
+    counts = _numbered(keys, names, ranges, lambda r: part[id(r)]).groupBy("__range", "__value").count().collect()
+    out = []
+    for i, (r, w) in enumerate(zip(ranges, width)):
+        before = r.before
+        for row in sorted((c for c in counts if c["__range"] == i), key=lambda c: c["__value"]):
+            inside = [p for p in r.places if before <= p < before + row["count"]]
+            if inside:
+                low = r.low + row["__value"] * w
+                out.append(_Range(r.fixed, low, min(low + w - 1, r.high), before, row["count"], inside))
+            before += row["count"]
+    return out
+
+
+def _fetch(keys: DataFrame, names: list[str], ranges: list[_Range], found: dict[int, tuple[int, ...]]) -> None:
+    rows = _numbered(keys, names, ranges, lambda r: F.lit(0).cast("bigint")).collect()
+    for i, r in enumerate(ranges):
+        mine = sorted(tuple(row[n] for n in names) for row in rows if row["__range"] == i)
+        found.update({p: mine[p - r.before] for p in r.places})
+
+
+def rows_at_places(df: DataFrame, order: dict[str, Column], places: list[int], name: str = "position") -> DataFrame:
+    """The rows of ``df`` at some places of an order that tells rows apart, with their place."""
+    found = keys_at_places(df, list(order.values()), places)
+    match, place = F.lit(False), F.lit(None).cast("bigint")
+    for p, key in found.items():
+        here = F.lit(True)
+        for c, value in zip(order.values(), key):
+            here = here & (c.cast("bigint") == value)
+        match, place = match | here, F.when(here, p).otherwise(place)
+    return df.where(match).withColumn(name, place)

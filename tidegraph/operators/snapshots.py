@@ -23,7 +23,7 @@ from .changelog import (
     vertex_logs,
 )
 from .ordered import OrderedRows, repeat_rows
-from .validity import _is_live, assemble, attribute_intervals_over, edge_ends
+from .validity import _is_live, assemble, attribute_intervals_over, edge_ends, first_activations
 
 # "Every entry at this instant is included."
 _ALL_OF_INSTANT = (1 << 63) - 1
@@ -37,6 +37,8 @@ class Snapshots:
     index: DataFrame
     log: DataFrame
     attributes: str = "merge"
+    # The log once more, in buckets of entities (see ``in_buckets``); only stored models have it.
+    entries: DataFrame | None = None
 
 
 def _every(log: DataFrame, at: str, width: int, origin: int, last: int, attributes: str, hot_rows) -> DataFrame:
@@ -166,28 +168,48 @@ def snapshot_delta(model: Snapshots, t) -> DataFrame:
     return apply_logs(conform(state, STATE), model.log.where(_since(snapshot, t)), model.attributes)
 
 
+# Partition columns of the log by entity: how many buckets there are, and the entity's.
+BUCKETS, BUCKET, BUCKET_ROWS, MOST_BUCKETS = "buckets", "bucket", 1_000_000, 4096
+
+
+def _bucket(entity_type: Column, id_: Column) -> Column:
+    return F.pmod(F.xxhash64(entity_type, id_), F.col(BUCKETS).cast("bigint")).cast("int")
+
+
+def in_buckets(log: DataFrame, rows: int) -> DataFrame:
+    """The log with an entity's bucket, of which there are enough for about ``BUCKET_ROWS`` rows in each."""
+    buckets = min(max(-(-rows // BUCKET_ROWS), 1), MOST_BUCKETS)
+    numbered = log.withColumn(BUCKETS, F.lit(buckets))
+    return numbered.withColumn(BUCKET, _bucket(F.col("entity_type"), F.col("id")))
+
+
+def _entries_of(model: Snapshots, entity_type: str, id_: int) -> DataFrame:
+    named = (F.col("entity_type") == entity_type) & (F.col("id") == id_)
+    if model.entries is None:
+        return model.log.where(named)
+    # Both sides are partition columns and constants, so one folder is read.
+    bucket = F.col(BUCKET) == _bucket(F.lit(entity_type), F.lit(id_).cast("bigint"))
+    return model.entries.where(bucket & named)
+
+
 def entity_at_delta(model: Snapshots, entity_type: str, id_: int, t) -> DataFrame:
     """The state of one entity at a time: one row, or none.
 
     Both inputs are cut to the entity before they meet. Its stored state is replayed
-    as a CREATE at the place of the snapshot, so one squash gives the answer.
+    as a CREATE at the place of the snapshot, so one squash gives the answer. The
+    snapshot is a scalar subquery: its number prunes the partitions of the states as
+    the query runs, and no job goes before it.
     """
     named = (F.col("entity_type") == entity_type) & (F.col("id") == id_)
-    log = model.log.where(named)
-    snapshot = latest_snapshot_before(model.index, t).first()
-    if snapshot is None:
-        return state_at(log, t, model.attributes)
-    stored_state = (
-        model.states.where(named & (F.col("snapshot_no") == snapshot["snapshot_no"]))
-        .withColumns(
-            {
-                "ts": instant(snapshot["snapshot_ts"]),
-                "seq": F.lit(snapshot["snapshot_seq"]).cast("bigint"),
-                "action": F.lit(CREATE),
-            }
-        )
+    newest = F.max(F.struct("snapshot_ts", "snapshot_no", "snapshot_seq"))
+    snapshot = model.index.where(F.col("snapshot_ts") <= instant(t)).agg(newest.alias("newest")).scalar()
+    stored_state = model.states.where(named & (F.col("snapshot_no") == snapshot["snapshot_no"])).withColumns(
+        {"ts": snapshot["snapshot_ts"], "seq": snapshot["snapshot_seq"], "action": F.lit(CREATE)}
     )
-    since = log.where(_since(snapshot, t)).select(*CHANGELOG.fieldNames())
+    ts, stamp = F.col("ts"), snapshot["snapshot_ts"]
+    # Without an earlier snapshot all entries up to the time count.
+    later = (ts > stamp) | ((ts == stamp) & (F.col("seq") > snapshot["snapshot_seq"])) | stamp.isNull()
+    since = _entries_of(model, entity_type, id_).where((ts <= instant(t)) & later).select(*CHANGELOG.fieldNames())
     return create_graph_from_logs(conform(stored_state, CHANGELOG).unionByName(since), model.attributes)
 
 
@@ -224,6 +246,11 @@ def _touched(entries: DataFrame, by: list[str], start, stop, other: Column) -> D
     )
 
 
+def first_creations(log: DataFrame) -> DataFrame:
+    """The first activation of each entity, from its CREATE entries."""
+    return first_activations(log.where(F.col("action") == CREATE), "ts")
+
+
 def action_ends(log: DataFrame) -> DataFrame:
     """CREATE and DELETE entries of edges by vertex, for asking one vertex."""
     return edge_ends(log.where(is_lifecycle(F.col("action"))), "id", "ts", "seq", "action")

@@ -18,12 +18,15 @@ from .changelog import is_lifecycle
 from .ordered import OrderedRows
 
 
-# Partition column of stored intervals: the year of ``valid_to``, or OPEN.
-END_YEAR, OPEN = "end_year", 9999
+# Partition columns of stored intervals: the years of ``valid_to``, or OPEN, and of ``valid_from``;
+# of stored first activations: the year of the first start.
+END_YEAR, START_YEAR, FIRST_YEAR, OPEN = "end_year", "start_year", "first_year", 9999
 
 
-def with_end_year(intervals: DataFrame) -> DataFrame:
-    return intervals.withColumn(END_YEAR, F.coalesce(F.year("valid_to"), F.lit(OPEN)))
+def with_years(intervals: DataFrame) -> DataFrame:
+    return intervals.withColumns(
+        {END_YEAR: F.coalesce(F.year("valid_to"), F.lit(OPEN)), START_YEAR: F.year("valid_from")}
+    )
 
 
 def _bounds() -> tuple[Column, Column]:
@@ -96,7 +99,7 @@ def is_merged(intervals: DataFrame) -> bool:
     return "key" in intervals.columns
 
 
-def _presence(intervals: DataFrame) -> DataFrame:
+def presence(intervals: DataFrame) -> DataFrame:
     """Rows that tell when an entity exists."""
     return intervals.where(F.col("key").isNull()) if is_merged(intervals) else intervals
 
@@ -126,14 +129,23 @@ def _states(intervals: DataFrame, keep: Column) -> DataFrame:
 def snapshot_validity(intervals: DataFrame, t) -> DataFrame:
     """State at a time: rows with from <= t < to.
 
-    A stored table is partitioned by the year in which rows end, so what ended in
-    earlier years is not read.
+    A stored table is partitioned by the years in which rows end and start, so what
+    ended in earlier years or starts in later ones is not read.
     """
-    if END_YEAR in intervals.columns:
-        intervals = intervals.where(F.col(END_YEAR) >= F.year(instant(t)))
+    intervals = _around(intervals, t)
     return _states(intervals, half_open_contains(*_bounds(), t))
 
 
+def _around(intervals: DataFrame, t) -> DataFrame:
+    """Of a stored table the partitions that may hold at a time."""
+    year = F.year(instant(t))
+    if END_YEAR in intervals.columns:
+        intervals = intervals.where(F.col(END_YEAR) >= year)
+    if START_YEAR in intervals.columns:
+        intervals = intervals.where(F.col(START_YEAR) <= year)
+    return intervals
+
+
 def snapshot_validity_left_open(intervals: DataFrame, t) -> DataFrame:
     """Rows with from < t <= to, with all their columns."""
     return intervals.where(left_open_contains(*_bounds(), t))
@@ -142,7 +154,7 @@ def snapshot_validity_left_open(intervals: DataFrame, t) -> DataFrame:
 def entity_at_validity(intervals: DataFrame, entity_type: str, id_: int, t) -> DataFrame:
     """The state of one entity at a time: one row, or none."""
     named = (F.col("entity_type") == entity_type) & (F.col("id") == id_)
-    return _states(intervals.where(named), half_open_contains(*_bounds(), t))
+    return _states(_around(intervals, t).where(named), half_open_contains(*_bounds(), t))
 
 
 def vertex_at_validity(intervals: DataFrame, id_: int, t) -> DataFrame:
@@ -157,7 +169,7 @@ def neighbours_validity(intervals: DataFrame, vertex: int, start=None, stop=None
     """Vertices that share an edge with ``vertex`` at any time of the closed interval."""
     src, dst = F.col("src"), F.col("dst")
     return (
-        _presence(intervals)
+        presence(intervals)
         .where((F.col("entity_type") == EDGE) & ((src == vertex) | (dst == vertex)))
         .where(touches(*_bounds(), start, stop))
         .select(other_end(src, dst, vertex).alias("id"))
@@ -176,7 +188,7 @@ def edge_ends(rows: DataFrame, *more: str) -> DataFrame:
 
 def life_ends(intervals: DataFrame) -> DataFrame:
     """The lives of edges by vertex, for asking one vertex: (vertex, other, id, valid_from, valid_to)."""
-    return edge_ends(_presence(intervals), "id", "valid_from", "valid_to")
+    return edge_ends(presence(intervals), "id", "valid_from", "valid_to")
 
 
 def neighbours_of_ends(ends: DataFrame, vertex: int, start=None, stop=None) -> DataFrame:
@@ -187,11 +199,26 @@ def neighbours_of_ends(ends: DataFrame, vertex: int, start=None, stop=None) -> D
 
 def earliest_payload(intervals: DataFrame) -> DataFrame:
     """The first state of each entity."""
-    rows = _presence(intervals)
+    rows = presence(intervals)
     first = F.min_by(F.struct("src", "dst", "valid_from", "valid_to", "seq"), F.struct("valid_from", "seq"))
     return rows.groupBy(*ENTITY).agg(first.alias("first")).select(*ENTITY, "first.*")
 
 
+def first_activations(rows: DataFrame, start: str = "valid_from") -> DataFrame:
+    """(entity_type, id, first, first_year): when each entity first comes to exist, from its lives or CREATE entries."""
+    firsts = rows.groupBy(*ENTITY).agg(F.min(start).alias("first"))
+    return firsts.withColumn(FIRST_YEAR, F.year("first"))
+
+
+def activated_first(firsts: DataFrame, start=None, stop=None) -> DataFrame:
+    """Entities whose first activation lies in the closed interval, from a stored table of them: a scan of its years."""
+    if start is not None:
+        firsts = firsts.where(F.col(FIRST_YEAR) >= F.year(instant(start)))
+    if stop is not None:
+        firsts = firsts.where(F.col(FIRST_YEAR) <= F.year(instant(stop)))
+    return firsts.where(within(F.col("first"), start, stop)).select(*ENTITY)
+
+
 def activated_validity(
     intervals: DataFrame, start=None, stop=None, mode: str = "first_activation"
 ) -> DataFrame:
@@ -209,11 +236,11 @@ def activated_validity(
             inside = inside & (ends.isNull() | (ends > instant(stop)))
         else:
             inside = inside & ends.isNull()
-        return _presence(intervals).where(inside).select(*ENTITY)
+        return presence(intervals).where(inside).select(*ENTITY)
     if mode != "first_activation":
         raise ValueError("mode must be 'first_activation' or 'net_create'")
     # Later rows cannot move a first start into the interval, so the scan stops at its end.
-    rows = _presence(intervals).where(within(F.col("valid_from"), None, stop))
+    rows = presence(intervals).where(within(F.col("valid_from"), None, stop))
     return (
         rows.groupBy(*ENTITY)
         .agg(F.min("valid_from").alias("first"))

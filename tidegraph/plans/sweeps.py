@@ -10,14 +10,14 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.times import instant
 from ..operators import graph as g
-from ..operators import snapshots as sn
-from ..operators.changelog import indexed_log, log_timestamp_quantiles, nth_log_timestamp
+from ..operators.changelog import indexed_log, log_timestamp_quantiles, times_at_places
 from ..operators.ordered import dense_index
 from ..schema import CREATE, EDGE, ENTITY, VERTEX
+from ..sources import store
 from ..storage import new_path
 from .temporal_graph import IntervalGraph, SnapshotGraph, TemporalGraph
 
@@ -33,44 +33,62 @@ def _found(answer: DataFrame, **labels) -> DataFrame:
 
 @dataclass(frozen=True)
 class Prepared:
-    """A log with its entries numbered, and both models of it."""
+    """A log's size and the times that are asked for, and both models of it."""
 
-    indexed: DataFrame
     entries: int
+    # At a twentieth of the log; of a log under twenty entries, its first time.
+    early: object
+    low: object
+    high: object
     models: dict[str, TemporalGraph]
 
+    @classmethod
+    def of(cls, log: DataFrame, models: dict[str, TemporalGraph]) -> "Prepared":
+        entries, low, high = log.agg(F.count(F.lit(1)), F.min("ts"), F.max("ts")).first()
+        early = times_at_places(log, [entries // 20 - 1]).first()
+        return cls(entries, early["ts"] if early else low, low, high, models)
+
 
 def prepared(log: DataFrame, attributes: str = "merge", keep: bool = False) -> Prepared:
     """Both models of a log; the snapshots are a tenth of the log apart.
 
     ``keep`` stores the models, which pays when several questions follow.
     """
-    spark = log.sparkSession
-    indexed = indexed_log(log)
-    entries = indexed.count()
+    spacing = max(log.count() // 10, 1)
     models: dict[str, TemporalGraph] = {
         "intervals": IntervalGraph.from_log(log, attributes),
-        "snapshots": SnapshotGraph.from_log(indexed, every_actions=max(entries // 10, 1), attributes=attributes),
+        "snapshots": SnapshotGraph.from_log(log, every_actions=spacing, attributes=attributes),
     }
-    if keep:
-        paths = {name: new_path(spark, name) for name in models}
-        for name, model in models.items():
-            model.save(paths[name])
-        models = {
-            "intervals": IntervalGraph.load(spark, paths["intervals"], attributes),
-            "snapshots": SnapshotGraph.load(spark, paths["snapshots"], attributes),
-        }
-    return Prepared(indexed, entries, models)
+    return Prepared.of(log, {name: saved(log, m, attributes) if keep else m for name, m in models.items()})
+
+
+def saved(log: DataFrame, model: TemporalGraph, attributes: str = "merge") -> TemporalGraph:
+    """A model as it answers once it is stored."""
+    path = new_path(log.sparkSession, "model")
+    model.save(path)
+    return type(model).load(log.sparkSession, path, attributes)
+
+
+def growing_prepared(spark: SparkSession, log_path: str, path: str, iterations: int = 5) -> dict[int, Prepared]:
+    """The logs of all iterations of a stored growing log with both their models, which are made once for all."""
+    log = store.load_growing_log(spark, log_path)
+    if not store.exists(spark, f"{path}/states"):
+        store.save_growing_models(log, path, iterations)
+    out = {}
+    for i in range(1, iterations + 1):
+        intervals, lives, model, actions = store.load_growing_models(spark, path, log, i)
+        models = {"intervals": IntervalGraph(intervals, lives), "snapshots": SnapshotGraph(model, actions)}
+        out[i] = Prepared.of(model.log, models)
+    return out
 
 
 Logs = dict[str, Prepared]
-Ask = Callable[[TemporalGraph, DataFrame], DataFrame]
 
 
-def over_log_sizes(logs: Logs, ask: Ask) -> DataFrame:
+def over_log_sizes(logs: Logs, ask: Callable[[TemporalGraph, Prepared], DataFrame]) -> DataFrame:
     """Ask both models of each log; one row per log and model with the size of the log."""
     return together(
-        _found(ask(graph, log.indexed), log=name, model=model, entries=F.lit(log.entries).cast("bigint"))
+        _found(ask(graph, log), log=name, model=model, entries=F.lit(log.entries).cast("bigint"))
         for name, log in logs.items()
         for model, graph in log.models.items()
     )
@@ -81,42 +99,33 @@ def neighbours_all_time(logs: Logs, vertex: int) -> DataFrame:
     return over_log_sizes(logs, lambda graph, _: graph.direct_neighbours(vertex))
 
 
-def _early_time(indexed: DataFrame):
-    """The time at a twentieth of the log; of a log under twenty entries, its first time."""
-    row = nth_log_timestamp(indexed, 20).first() or indexed.agg(F.min("ts").alias("ts")).first()
-    return row["ts"]
-
-
 def snapshot_early(logs: Logs) -> DataFrame:
     """The state at a twentieth of the log against log size."""
-    return over_log_sizes(logs, lambda graph, indexed: graph.snapshot_at_time(_early_time(indexed)))
+    return over_log_sizes(logs, lambda graph, log: graph.snapshot_at_time(log.early))
 
 
 def entity_early(logs: Logs, entity_type: str, id_: int) -> DataFrame:
     """One entity at a twentieth of the log against log size."""
-    return over_log_sizes(
-        logs, lambda graph, indexed: graph.entity_at_time(entity_type, id_, _early_time(indexed))
-    )
+    return over_log_sizes(logs, lambda graph, log: graph.entity_at_time(entity_type, id_, log.early))
 
 
 def activated_first_half(logs: Logs, half_of: str = "epoch") -> DataFrame:
     """Entities activated from the first entry up to half of the last one's epoch time, or half of the span."""
 
-    def ask(graph: TemporalGraph, indexed: DataFrame) -> DataFrame:
-        low, high = indexed.agg(F.min("ts"), F.max("ts")).first()
-        begin = high.__class__(1970, 1, 1) if half_of == "epoch" else low
-        return graph.activated_entities(low, begin + (high - begin) / 2)
+    def ask(graph: TemporalGraph, log: Prepared) -> DataFrame:
+        begin = log.high.__class__(1970, 1, 1) if half_of == "epoch" else log.low
+        return graph.activated_entities(log.low, begin + (log.high - begin) / 2)
 
     return over_log_sizes(logs, ask)
 
 
-def four_questions(logs: Logs, vertex: int) -> DataFrame:
+def four_questions(logs: Logs, vertex: int, half_of: str = "epoch") -> DataFrame:
     """The four questions above on the same logs, labelled by question."""
     answers = {
         "neighbours": neighbours_all_time(logs, vertex),
         "snapshot": snapshot_early(logs),
         "entity": entity_early(logs, VERTEX, vertex),
-        "activated": activated_first_half(logs),
+        "activated": activated_first_half(logs, half_of),
     }
     return together(df.withColumn("question", F.lit(name)) for name, df in answers.items())
 
@@ -125,20 +134,18 @@ def snapshot_near_materialisation(
     log: DataFrame, every_actions: int, offsets: Iterable[int], attributes: str = "merge"
 ) -> DataFrame:
     """The state at entries some way before or after a snapshot in the middle of the log."""
-    indexed = indexed_log(log)
     offsets = list(offsets)
-    middle = indexed.count() // 2 // every_actions * every_actions - 1
+    middle = log.count() // 2 // every_actions * every_actions - 1
     places = {middle + o: o for o in offsets}
-    model = sn.snapshots_by_count(indexed, every_actions, attributes)
-    hits = indexed.where(F.col("position").isin(list(places))).select("position", "ts").collect()
-    times = {places[r["position"]]: r["ts"] for r in hits}
-    return together(_found(sn.snapshot_delta(model, times[o]), offset=o) for o in offsets if o in times)
+    # Stored, so that each state is a folder of one snapshot and a stretch of the log.
+    model = saved(log, SnapshotGraph.from_log(log, every_actions=every_actions, attributes=attributes), attributes)
+    times = {places[r["position"]]: r["ts"] for r in times_at_places(log, list(places)).collect()}
+    return together(_found(model.snapshot_at_time(times[o]), offset=o) for o in offsets if o in times)
 
 
 def _share_times(log: DataFrame, parts: int) -> list:
     """First time of the log and the times at each ``1/parts`` of it: as many driver values as parts."""
-    indexed = indexed_log(log)
-    return [r["ts"] for r in log_timestamp_quantiles(indexed, parts).orderBy("iteration").collect()]
+    return [r["ts"] for r in log_timestamp_quantiles(log, parts).orderBy("iteration").collect()]
 
 
 def _counted_up_to(firsts: DataFrame, first: Column, model: str, times: list) -> DataFrame:
@@ -211,8 +218,9 @@ def entity_by_spacing(
 ) -> DataFrame:
     """One entity from snapshot models with different spacings."""
     rows = []
-    indexed = indexed_log(log)
+    indexed = indexed_log(log)  # Numbered once for all spacings.
     for spacing in spacings:
-        model = sn.snapshots_by_count(indexed, spacing, attributes)
-        rows.append(_found(sn.entity_at_delta(model, entity_type, id_, t), spacing=spacing))
+        model = SnapshotGraph.from_log(indexed, every_actions=spacing, attributes=attributes)
+        answer = saved(log, model, attributes).entity_at_time(entity_type, id_, t)
+        rows.append(_found(answer, spacing=spacing))
     return together(rows)

@@ -72,10 +72,10 @@ class TemporalGraph(ABC):
 
 
 class IntervalGraph(TemporalGraph):
-    """Answers from a table of intervals; stored ones also hold the lives of edges by vertex."""
+    """Answers from a table of intervals; stored ones also hold the lives of edges by vertex and first activations."""
 
-    def __init__(self, intervals: DataFrame, ends: DataFrame | None = None):
-        self.intervals, self.ends = intervals, ends
+    def __init__(self, intervals: DataFrame, ends: DataFrame | None = None, firsts: DataFrame | None = None):
+        self.intervals, self.ends, self.firsts = intervals, ends, firsts
 
     @classmethod
     def from_log(cls, log: DataFrame, attributes: str = "merge", hot_rows: int | None = None) -> "IntervalGraph":
@@ -85,7 +85,7 @@ class IntervalGraph(TemporalGraph):
     @classmethod
     def load(cls, spark: SparkSession, path: str, attributes: str = "merge") -> "IntervalGraph":
         schema = ATTRIBUTE_INTERVALS if attributes == "merge" else INTERVALS
-        return cls(store.load_intervals(spark, path, schema), store.load_ends(spark, path))
+        return cls(store.load_intervals(spark, path, schema), store.load_ends(spark, path), store.load_firsts(spark, path))
 
     def save(self, path: str) -> None:
         store.save_intervals(self.intervals, path)
@@ -102,14 +102,17 @@ class IntervalGraph(TemporalGraph):
         return vl.neighbours_validity(self.intervals, vertex, start, stop)
 
     def activated_entities(self, start=None, stop=None, mode: str = "first_activation") -> DataFrame:
+        if self.firsts is not None and mode == "first_activation":
+            return vl.activated_first(self.firsts, start, stop)
         return vl.activated_validity(self.intervals, start, stop, mode)
 
 
 class SnapshotGraph(TemporalGraph):
-    """Answers from stored snapshots and the log between them; stored ones also hold edge entries by vertex."""
+    """Answers from snapshots and the log between them; stored ones also hold the log by entity, edge entries by
+    vertex and first activations."""
 
-    def __init__(self, model: sn.Snapshots, ends: DataFrame | None = None):
-        self.model, self.ends = model, ends
+    def __init__(self, model: sn.Snapshots, ends: DataFrame | None = None, firsts: DataFrame | None = None):
+        self.model, self.ends, self.firsts = model, ends, firsts
 
     @classmethod
     def from_log(
@@ -128,7 +131,8 @@ class SnapshotGraph(TemporalGraph):
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, attributes: str = "merge") -> "SnapshotGraph":
-        return cls(store.load_snapshots(spark, path, attributes), store.load_ends(spark, path))
+        model = store.load_snapshots(spark, path, attributes)
+        return cls(model, store.load_ends(spark, path), store.load_firsts(spark, path))
 
     def save(self, path: str) -> None:
         store.save_snapshots(self.model, path)
@@ -145,4 +149,6 @@ class SnapshotGraph(TemporalGraph):
         return sn.neighbours_delta(self.model.log, vertex, start, stop)
 
     def activated_entities(self, start=None, stop=None, mode: str = "first_activation") -> DataFrame:
+        if self.firsts is not None and mode == "first_activation":
+            return vl.activated_first(self.firsts, start, stop)
         return sn.activated_delta(self.model.log, start, stop, mode)

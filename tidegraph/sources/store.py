@@ -5,16 +5,24 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..operators.changelog import is_lifecycle
 from ..operators.graph import PropertyGraph
-from ..operators.snapshots import Snapshots, action_ends
+from ..operators.growing import (
+    GROWING_LOG, ITERATION, growing_intervals, growing_states, log_of, of_iteration, snapshot_places,
+)
+from ..operators.snapshots import BUCKET, BUCKETS, Snapshots, action_ends, first_creations, in_buckets
 from ..operators.synthesis import Distribution
-from ..operators.validity import END_YEAR, life_ends, with_end_year
-from ..schema import CHANGELOG, SNAPSHOT_INDEX, STATE
+from ..operators.validity import (
+    END_YEAR, FIRST_YEAR, START_YEAR, edge_ends, first_activations, life_ends, presence, with_years,
+)
+from ..schema import ATTRIBUTE_INTERVALS, CHANGELOG, SNAPSHOT_INDEX, STATE
 
 _STATES = StructType([*STATE.fields, SNAPSHOT_INDEX["snapshot_no"]])
+_ENTRIES = StructType([*CHANGELOG.fields, *[StructField(c, IntegerType()) for c in (BUCKETS, BUCKET)]])
+_FIRSTS = "entity_type STRING, id BIGINT, first TIMESTAMP_NTZ, first_year INT"
 
 
 def _by_time(log: DataFrame) -> DataFrame:
@@ -58,24 +66,78 @@ def load_or_generate_changelog(
     return load_changelog(spark, path)
 
 
+def load_or_generate_growing_log(
+    spark: SparkSession, path: str, generate: Callable[[], DataFrame], iterations: int = 5
+) -> dict[int, DataFrame]:
+    """The logs of all iterations, stored as one table with a folder for what each iteration adds."""
+    if not exists(spark, path):
+        log = generate().repartitionByRange(ITERATION, "ts", "seq").sortWithinPartitions(ITERATION, "ts", "seq")
+        log.write.mode("overwrite").partitionBy(ITERATION).parquet(path)
+    table = load_growing_log(spark, path)
+    return {i: log_of(table, i) for i in range(1, iterations + 1)}
+
+
+def load_growing_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(GROWING_LOG).parquet(path)
+
+
 def persist_log_grid(
     spark: SparkSession,
     root: str,
     dataset: str,
     generate: Callable[[Distribution, str], DataFrame],
-    distribution_of: Callable[[int], Distribution],
+    distribution: Distribution,
     modes: Iterable[str] = ("negative", "uniform"),
     iterations: int = 5,
-) -> dict[tuple[str, int], str]:
-    """Store a log for every correlation mode and iteration; gives the path of each."""
-    paths = {}
+) -> dict[tuple[str, int], DataFrame]:
+    """Store the logs of all iterations for every correlation mode; gives the log of each mode and iteration."""
+    logs = {}
     for mode in modes:
-        for i in range(1, iterations + 1):
-            distribution = distribution_of(i)
-            path = changelog_path(root, dataset, distribution, mode)
-            load_or_generate_changelog(spark, path, lambda d=distribution, m=mode: generate(d, m))
-            paths[mode, i] = path
-    return paths
+        path = changelog_path(root, dataset, distribution, mode)
+        found = load_or_generate_growing_log(spark, path, lambda m=mode: generate(distribution, m), iterations)
+        logs.update({(mode, i): log for i, log in found.items()})
+    return logs
+
+
+def save_growing_models(log: DataFrame, path: str, iterations: int = 5, parts: int = 10) -> None:
+    """Both models of all iterations of a stored growing log: intervals, snapshots, their index, and edges by vertex."""
+    spark = log.sparkSession
+    rows = _by_years(growing_intervals(log, iterations))
+    rows.write.mode("overwrite").partitionBy(END_YEAR, START_YEAR).parquet(f"{path}/intervals")
+    intervals = load_growing_intervals(spark, path)
+    lives = edge_ends(intervals.where("key IS NULL"), "id", "valid_from", "valid_to", "since", "until")
+    _by_vertex(lives, "valid_from").write.mode("overwrite").parquet(f"{path}/lives")
+    actions = edge_ends(log.where(is_lifecycle(F.col("action"))), "id", "ts", "seq", "action", ITERATION)
+    _by_vertex(actions, "ts").write.mode("overwrite").parquet(f"{path}/actions")
+    places = {i: snapshot_places(log, i, parts) for i in range(1, iterations + 1)}
+    rows = [(i, no, seq) for i, found in places.items() for no, seq in found]
+    index = spark.createDataFrame(rows, f"{ITERATION} INT, snapshot_no BIGINT, snapshot_seq BIGINT")
+    # As many rows as snapshots; the log gives their times.
+    times = log.select(F.col("seq").alias("snapshot_seq"), F.col("ts").alias("snapshot_ts"))
+    index = times.join(F.broadcast(index), "snapshot_seq").select(ITERATION, *SNAPSHOT_INDEX.fieldNames())
+    index.coalesce(1).write.mode("overwrite").parquet(f"{path}/index")
+    order = [ITERATION, "snapshot_no", "entity_type", "id"]
+    states = growing_states(intervals, places).repartitionByRange(*order).sortWithinPartitions(*order)
+    states.write.mode("overwrite").partitionBy(ITERATION, "snapshot_no").parquet(f"{path}/states")
+
+
+def load_growing_intervals(spark: SparkSession, path: str) -> DataFrame:
+    fields = "seq_to BIGINT, since INT, until INT, end_year INT, start_year INT"
+    schema = StructType([*ATTRIBUTE_INTERVALS.fields, *StructType.fromDDL(fields).fields])
+    return spark.read.schema(schema).parquet(f"{path}/intervals")
+
+
+def load_growing_models(spark: SparkSession, path: str, log: DataFrame, iteration: int) -> tuple[DataFrame, DataFrame, Snapshots, DataFrame]:
+    """Of one iteration: the intervals, the lives of edges by vertex, the snapshots, the edges' entries by vertex."""
+    here = F.col(ITERATION) == iteration
+    states = spark.read.schema(StructType([*_STATES.fields, GROWING_LOG[ITERATION]])).parquet(f"{path}/states")
+    index = spark.read.schema(StructType([GROWING_LOG[ITERATION], *SNAPSHOT_INDEX.fields])).parquet(f"{path}/index")
+    return (
+        of_iteration(load_growing_intervals(spark, path), iteration).drop("seq_to"),
+        of_iteration(spark.read.parquet(f"{path}/lives"), iteration),
+        Snapshots(states.where(here).drop(ITERATION), index.where(here).drop(ITERATION), log_of(log, iteration)),
+        log_of(spark.read.parquet(f"{path}/actions"), iteration),
+    )
 
 
 def save_graph(graph: PropertyGraph, path: str) -> None:
@@ -92,18 +154,34 @@ def _by_vertex(ends: DataFrame, time: str) -> DataFrame:
     return ends.repartitionByRange("vertex", time).sortWithinPartitions("vertex", time)
 
 
+def _by_years(intervals: DataFrame) -> DataFrame:
+    columns = [END_YEAR, START_YEAR, "entity_type", "id", "valid_from"]
+    return with_years(intervals).repartitionByRange(*columns).sortWithinPartitions(*columns)
+
+
+def _save_firsts(firsts: DataFrame, path: str) -> None:
+    order = [FIRST_YEAR, "first", "entity_type", "id"]
+    firsts.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(FIRST_YEAR).parquet(path)
+
+
 def save_intervals(intervals: DataFrame, path: str) -> None:
-    """Intervals by end year, each year's files by entity; and the lives of edges by vertex."""
-    columns = [END_YEAR, "entity_type", "id", "valid_from"]
-    rows = with_end_year(intervals).repartitionByRange(*columns).sortWithinPartitions(*columns)
-    rows.write.partitionBy(END_YEAR).parquet(f"{path}/intervals")
-    _by_vertex(life_ends(intervals), "valid_from").write.parquet(f"{path}/ends")
+    """Intervals by the years of their end and start, in those by entity; the lives of edges by vertex; first starts."""
+    _by_years(intervals).write.partitionBy(END_YEAR, START_YEAR).parquet(f"{path}/intervals")
+    # The other layouts are made from the stored one, so the intervals are found once.
+    kept = intervals.sparkSession.read.schema(intervals.schema).parquet(f"{path}/intervals")
+    _by_vertex(life_ends(kept), "valid_from").write.parquet(f"{path}/ends")
+    _save_firsts(first_activations(presence(kept)), f"{path}/firsts")
 
 
 def load_intervals(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The intervals with the partition column ``end_year``."""
-    whole = StructType([*schema.fields, StructField(END_YEAR, IntegerType())])
-    return spark.read.schema(whole).parquet(f"{path}/intervals")
+    """The intervals with the partition columns of their years."""
+    years = [StructField(c, IntegerType()) for c in (END_YEAR, START_YEAR)]
+    return spark.read.schema(StructType([*schema.fields, *years])).parquet(f"{path}/intervals")
+
+
+def load_firsts(spark: SparkSession, path: str) -> DataFrame:
+    """(entity_type, id, first, first_year): first activations."""
+    return spark.read.schema(_FIRSTS).parquet(f"{path}/firsts")
 
 
 def load_ends(spark: SparkSession, path: str) -> DataFrame:
@@ -119,7 +197,18 @@ def save_snapshots(model: Snapshots, path: str) -> None:
     )
     model.index.coalesce(1).write.parquet(f"{path}/index")
     _by_time(model.log).write.parquet(f"{path}/log")
-    _by_vertex(action_ends(model.log), "ts").write.parquet(f"{path}/ends")
+    # The other layouts are made from the stored log.
+    log = load_changelog(model.log.sparkSession, f"{path}/log")
+    _by_vertex(action_ends(log), "ts").write.parquet(f"{path}/ends")
+    _save_entries(log, f"{path}/entries")
+    _save_firsts(first_creations(log), f"{path}/firsts")
+
+
+def _save_entries(log: DataFrame, path: str) -> None:
+    """The log in buckets of entities, so that one entity's entries are in one folder."""
+    order = [BUCKET, "entity_type", "id", "ts", "seq"]
+    rows = in_buckets(log, log.count()).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.write.partitionBy(BUCKETS, BUCKET).parquet(path)
 
 
 def load_snapshots(spark: SparkSession, path: str, attributes: str = "merge") -> Snapshots:
@@ -128,4 +217,5 @@ def load_snapshots(spark: SparkSession, path: str, attributes: str = "merge") ->
         spark.read.schema(SNAPSHOT_INDEX).parquet(f"{path}/index"),
         spark.read.schema(CHANGELOG).parquet(f"{path}/log"),
         attributes,
+        spark.read.schema(_ENTRIES).parquet(f"{path}/entries"),
     )
