@@ -1,6 +1,5 @@
 """Logs that grow by iterations, places in an order, diameters by few searches, and what stored models read."""
 
-import datetime as dt
 import random
 import time
 
