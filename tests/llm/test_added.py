@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tidegraph.llm import alignment, merkle, superminhash
+from tidegraph.llm import alignment, merkle, packing, superminhash, tokens
 from tidegraph.storage import Scratch, work_dir
 
 from . import corpus
@@ -268,6 +268,15 @@ def test_both_libraries_have_one_vocabulary():
     assert encoders.ids(long) == alignment.exact_tokenizer().encode(" " + long, add_special_tokens=False).ids
 
 
+def test_long_white_space_is_packed(spark):
+    n = 999_999
+    df = spark.createDataFrame([(1, "a", " " * n), (2, "a", "\t" * n)], "doc_id bigint, source string, text string")
+    sums = packing.pack_mixture(df).groupBy("doc_id").agg(F.sum("length"), F.max("doc_tokens")).collect()
+    exact = tokens.load_tokenizer()
+    want = {1: len(exact.encode(" " * n, add_special_tokens=False).ids) + 1, 2: len(exact.encode("\t" * n, add_special_tokens=False).ids) + 1}
+    assert {r[0]: (r[1], r[2]) for r in sums} == {d: (k, k) for d, k in want.items()}
+
+
 def test_alignment_of_odd_tables(spark, empty, data):
     assert alignment.align_tokenizers(empty)[0].count() == 0
     again = corpus.frame(spark, data + data[::3] + [(None, t, *rest) for _, t, *rest in data[:3]])

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +30,11 @@ from tokenizers import Tokenizer
 
 from ..storage import Scratch, stored
 from .common import arrow_bytes, release, trimmed
+from .tokens import has_long_white
 
 BYTE_MODEL, PIECE_MODEL = "byte_bpe_50k", "piece_bpe_32k"
 BLOCK_BYTES = 4_000_000  # Of text in a block of documents; a longer text is a block of its own.
 LANE_BYTES = 2_048  # Of a lane of the merge.
-LONG_WHITE = 100_000  # Characters of white space that the fast library is not asked to look through.
-_WHITE = re.compile(r"\s++")
 
 
 def exact_tokenizer() -> Tokenizer:
@@ -90,7 +88,7 @@ class Encoders:
         The fast library has the same vocabulary and rules but cannot look through
         white space of a million characters; there the exact one does the work.
         """
-        if len(text) > LONG_WHITE and any(m.end() - m.start() > LONG_WHITE for m in _WHITE.finditer(text)):
+        if has_long_white(text):
             self.exact = self.exact or exact_tokenizer()
             return self.exact.encode(" " + text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(" " + text)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..storage import stored
 from .common import join_counted, lean, offsets_before, trimmed
-from .tokens import load_fast, load_tokenizer, spliced_ids
+from .tokens import has_long_white, load_fast, load_tokenizer, spliced_ids
 
 LENGTH = 1024
 END = 0  # The id after each document.
@@ -51,11 +51,14 @@ def tokenised(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame
             sources = batch.column("source").to_pylist()
             for name, raw in zip(sources, batch.column("text").cast(pa.binary()).to_pylist()):
                 value = (raw or b"").decode("utf-8", "replace")
-                if len(value) <= WHOLE:
-                    found = fast.encode(value, allowed_special="all")
-                else:
+                if len(value) > WHOLE:
                     exact = exact or load_tokenizer()
                     found = spliced_ids(exact, value)
+                elif has_long_white(value):
+                    exact = exact or load_tokenizer()
+                    found = exact.encode(value, add_special_tokens=False).ids
+                else:
+                    found = fast.encode(value, allowed_special="all")
                 found.append(END)
                 starts.append(started.get(name, 0))
                 started[name] = starts[-1] + len(found)

@@ -12,6 +12,7 @@ If the overlap holds no such place, it is doubled, and at last the chunks are jo
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -30,6 +31,15 @@ MODEL = "byte_bpe_50k"
 SPECIAL = {"<|endoftext|>": 50256}
 
 
+# White space in a row that the fast library is not asked to look through: it gives up at about a million.
+LONG_WHITE = 100_000
+_RUNS = re.compile(r"\s++")
+
+
+def has_long_white(text: str) -> bool:
+    return len(text) > LONG_WHITE and any(m.end() - m.start() > LONG_WHITE for m in _RUNS.finditer(text))
+
+
 def load_tokenizer(path: str | None = None) -> Tokenizer:
     return Tokenizer.from_file(path or public_tokenizers.path(f"{MODEL}.json"))
 
