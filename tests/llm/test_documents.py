@@ -360,13 +360,57 @@ def test_similar_documents(docs, data, broadcast, monkeypatch):
     assert {i: r["component_id"] for i, r in got.items()} == labels
 
 
-def test_prefixes_alone_find_every_link(docs, data, monkeypatch):
-    """Without the first comparison of near copies nothing is lost."""
-    monkeypatch.setattr(shingle_join, "star_pairs", lambda sets: sets.selectExpr("key AS a", "key AS b").limit(0))
+@pytest.mark.parametrize("centres", [True, False])
+def test_blocks_find_every_link(docs, data, centres, monkeypatch):
+    """Blocks of two sets lose nothing, not even where no set was compared with its centre before."""
+    monkeypatch.setattr(shingle_join, "BLOCK_SETS", 2)
+    if not centres:
+        # Stars under other names, and no known component: the former centre is a member like the rest.
+        real = shingle_join.block_links
+        monkeypatch.setattr(
+            shingle_join, "block_links",
+            lambda star, labels, *rest: real(star.selectExpr("~a AS a", "b", "n"), labels.limit(0), *rest),
+        )
+        monkeypatch.setattr(shingle_join, "verified", lambda pairs, bodies: pairs.limit(0))
     got = {r["doc_id"]: r["component_id"] for r in shingle_join.similar_documents(docs).collect()}
     assert got == corpus.similar_components(data)
 
 
+def group_of_near_copies(m, edits, n=120, seed=3):
+    """A text that is not in the table, and ``m`` copies with ``edits`` words of their own."""
+    rng = np.random.default_rng(seed)
+    base = [f"word{i}" for i in range(n)]
+    rows = []
+    for k in range(m):
+        words = list(base)
+        for e, at in enumerate(rng.choice(n, edits, replace=False)):
+            words[at] = f"own{k}x{e}"
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("edits", [2, 4])
+def test_stars_of_near_copies_grow_with_their_number(spark, edits, monkeypatch):
+    """Candidate rows of a group of near copies grow in proportion, and its links are those of brute force."""
+    found = {}
+    for m in (40, 160):
+        rows = group_of_near_copies(m, edits)
+        sizes = []
+        real = shingle_join.entry_stars
+        with monkeypatch.context() as patch:
+            def counted(*args):
+                stars = real(*args)
+                sizes.append(stars.count())
+                return stars
+
+            patch.setattr(shingle_join, "entry_stars", counted)
+            frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+            got = {r["doc_id"]: r["component_id"] for r in shingle_join.similar_documents(frame).collect()}
+        found[m] = sizes[0]
+        assert got == corpus.similar_components([{"doc_id": i, "text": t} for i, t in rows])
+    assert found[160] < 7 * found[40]
+
+
 def test_near_copies_of_odd_tables(docs, data, empty, twice):
     assert shingle_join.similar_documents(empty).count() == 0
     assert shingle_join.similar_documents(twice).count() == twice.count()
@@ -453,3 +497,22 @@ def test_exact_copies_of_odd_tables(docs, data, empty, twice):
     again = recipes.without_copies(twice)
     texts = [re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "") for r in again.collect()]
     assert len(texts) == len(set(texts)) == len(want)
+
+
+def test_a_long_pre_token_is_encoded_in_linear_work():
+    """Text without a boundary is joined in doubling steps; what follows it is spliced as ever."""
+
+    class Counting:
+        def __init__(self):
+            self.inner, self.seen = tokens.load_tokenizer(), 0
+
+        def encode(self, text, **options):
+            self.seen += len(text)
+            return self.inner.encode(text, **options)
+
+    for n in (50_000, 200_000):
+        text = "one two " * 30 + "x" * n + " and some words more" * 50
+        counted = Counting()
+        got = tokens.spliced_ids(counted, text, chunk=1024)
+        assert got == counted.inner.encode(text, add_special_tokens=False).ids
+        assert counted.seen < 12 * len(text)

@@ -5,13 +5,18 @@ are similar enough, the first l of the shingles they share stand within a prefix
 each, whose length grows with l. A document chooses its own l: a longer prefix costs
 more entries to look through, and demands more shared ones before a pair is
 compared. Pairs that share as many entries as the smaller l of the two are compared
-exactly.
+exactly. A document whose entries, all partners together, are fewer than that is
+never read again.
 
 Frequencies come from a sketch of fixed size, which may only overestimate; any order
-gives the same links. Groups of near copies would meet in every entry. So documents
-whose smallest hashes agree are compared with one of them first, then those that
-share an entry with one of these, and pairs that are connected already are not
-listed again: what counts is what is connected.
+gives the same links. Pairs are never listed by shingle: documents of like size that
+hold a shingle form a star around the one with the smallest digest. Since digests
+order all documents alike, near copies find the same few centres in all their
+shingles. Each is compared with its centres, and what is linked is joined by
+union-find. Two documents that share an entry stand in one star. So where a star has
+members that are not connected with its centre, these are compared with all of the
+star, in blocks: shared entries of two blocks are one matrix product, and a task
+gives back only links that join. No candidate is left out.
 """
 
 from __future__ import annotations
@@ -25,21 +30,24 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..storage import stored
-from .common import arrow_bytes, join_counted, lean, trimmed
-from .components import connected_components
+from ..storage import Scratch, stored
+from .common import arrow_bytes, join_counted, trimmed
+from .superminhash import intersections, joining_links, united
 
 WORDS = 5
 SIMILAR = 75  # Percent of the union that is shared.
 # Counters of the sketch, and how many are sent in one piece.
 COUNTERS, PIECE = 1 << 20, 1 << 12
-LONGEST = 4  # The largest number of shared entries asked for.
-MINIMA = 4
+LONGEST = 16  # The largest number of shared entries asked for.
 SHARD_ENTRIES = 1_000_000
 # Entries of a shingle above which it is spread over several shards.
 HOT_ENTRIES = 2_000_000
-PAIR_BYTES = 16_000_000  # Of sets that a task compares at a time.
+BATCH_BYTES = 8_000_000  # Of texts, or of pairs of sets, that a worker looks at together.
 CANDIDATE_IDS = 1_000_000  # Ids that a join may broadcast, 8 bytes each.
+# Sets of a block and bytes of their shingles, on average.
+BLOCK_SETS, BLOCK_BYTES = 512, 16_000_000
+# Sets that may be linked are at most one class of sizes apart; a little wider than needed against rounding.
+CLASS = math.log(100 / SIMILAR) * 1.001
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -103,11 +111,6 @@ def set_key(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def smallest_hashes(shingles: np.ndarray) -> list[int]:
-    with np.errstate(over="ignore"):
-        return [int(np.min(_mixed(shingles ^ np.uint64(_BASE * (i + 1) & (2**64 - 1)))) >> np.uint64(1)) for i in range(MINIMA)]
-
-
 def prefix(shingles: np.ndarray, counts: np.ndarray, usual: float, similar: int = SIMILAR) -> tuple[np.ndarray, int]:
     """The chosen prefix of a set in the common order, and the number of shared entries it asks for."""
     n = len(shingles)
@@ -128,19 +131,18 @@ def _bytes(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
-def document_sets(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Stored (doc_id, n, key, minima), a row per document, and the pieces of the sketch (piece, part, counts)."""
+def document_sets(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Stored (doc_id, n, key), a row per document, and the pieces of the sketch (piece, part, counts)."""
     id_type = docs.schema[doc_id].dataType
 
     def read(batches):
         shingler, sketch = Shingler(), np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            sizes, keys, minima, cells = [], [], [], []
+            sizes, keys, cells = [], [], []
             for value in _bytes(batch, "text"):
                 found = shingler(value)
                 sizes.append(len(found))
                 keys.append(set_key(found))
-                minima.append(smallest_hashes(found) if len(found) else [])
                 cells.append((found & np.uint64(COUNTERS - 1)).astype(np.int64))
             if cells:
                 sketch += np.bincount(np.concatenate(cells), minlength=COUNTERS).astype(np.uint32)
@@ -150,7 +152,6 @@ def document_sets(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, D
                     batch.column("doc_id"),
                     pa.array(sizes, pa.int64()),
                     pa.array(keys, pa.int64()),
-                    pa.array(minima, pa.list_(pa.int64())),
                     pa.nulls(n, pa.int64()),
                     pa.nulls(n, pa.binary()),
                 ],
@@ -162,7 +163,6 @@ def document_sets(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, D
                 pa.nulls(len(pieces), arrow_id),
                 pa.nulls(len(pieces), pa.int64()),
                 pa.nulls(len(pieces), pa.int64()),
-                pa.nulls(len(pieces), pa.list_(pa.int64())),
                 pa.array([i for i, _ in pieces], pa.int64()),
                 pa.array([p.astype("<u4").tobytes() for _, p in pieces], pa.binary()),
             ],
@@ -170,14 +170,13 @@ def document_sets(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, D
         )
 
     arrow_id = to_arrow_type(id_type)
-    names = ["doc_id", "n", "key", "minima", "piece", "counts"]
+    names = ["doc_id", "n", "key", "piece", "counts"]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        trimmed(read),
-        f"doc_id {id_type.simpleString()}, n bigint, key bigint, minima array<bigint>, piece bigint, counts binary",
+        trimmed(read), f"doc_id {id_type.simpleString()}, n bigint, key bigint, piece bigint, counts binary"
     )
-    kept = stored(rows.withColumn("part", F.spark_partition_id()), "document-sets")
+    kept = scratch.stored(rows.withColumn("part", F.spark_partition_id()), "document-sets")
     return (
-        kept.where("piece IS NULL").select("doc_id", "n", "key", "minima"),
+        kept.where("piece IS NULL").select("doc_id", "n", "key"),
         kept.where("piece IS NOT NULL").select("piece", "part", "counts"),
     )
 
@@ -200,15 +199,45 @@ def sketch_counts(pieces: DataFrame) -> np.ndarray:
     return total.reshape(-1)
 
 
-def shared_entries(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray, shingles: int) -> DataFrame:
-    """Stored (token, key, n, ask): entries of prefixes whose shingle another set's prefix holds too.
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(n) / CLASS).astype(np.uint64)
+
 
-    Entries travel packed, a row per batch and shard. Sets that cannot be similar to
-    a neighbour by size are left out.
+def bucket_stars(bucket: np.ndarray, key: np.ndarray, n: np.ndarray, ask: np.ndarray) -> dict[str, np.ndarray]:
+    """Columns a, n_a, b, n, shared, least: the smallest key of each bucket with all of the bucket, itself too.
+
+    A row per (a, b): ``shared`` buckets, and the ``least`` demand of any set in them.
+    """
+    order = np.lexsort((key, bucket))
+    bucket, key, n, ask = bucket[order], key[order], n[order], ask[order]
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+    size = np.diff(np.r_[starts, len(bucket)])
+    several = np.repeat(size > 1, size)
+    at = np.repeat(starts, size)[several]
+    least = np.repeat(np.minimum.reduceat(ask, starts) if len(starts) else ask, size)[several]
+    a, n_a, b, n_b = key[at], n[at], key[several], n[several]
+    order = np.lexsort((b, a))
+    a, n_a, b, n_b, least = a[order], n_a[order], b[order], n_b[order], least[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+    return {
+        "a": a[first],
+        "n_a": n_a[first],
+        "b": b[first],
+        "n": n_b[first],
+        "shared": np.diff(np.r_[first, len(a)]),
+        "least": np.minimum.reduceat(least, first) if len(first) else least,
+    }
+
+
+def entry_stars(docs: DataFrame, text: str, counts: np.ndarray, shingles: int, scratch: Scratch) -> DataFrame:
+    """Stored (a, n_a, b, n, shared, least): the stars of all shingles that several prefixes hold (see bucket_stars).
+
+    A bucket holds the sets of two neighbouring classes of sizes that share a prefix
+    entry. Entries travel packed, a row per batch and shard.
     """
     spark = docs.sparkSession
     usual = shingles / COUNTERS
-    shards = max(1, math.ceil(0.27 * shingles / SHARD_ENTRIES))
+    shards = max(1, math.ceil(0.3 * shingles / SHARD_ENTRIES))
     sent = spark.sparkContext.broadcast(counts)
     hot = HOT_ENTRIES
 
@@ -276,115 +305,165 @@ def shared_entries(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray,
         token, key, n, ask = token[fresh], key[fresh], n[fresh], ask[fresh]
         # Neighbours by size within a shingle: near enough for a link?
         near = (token[1:] == token[:-1]) & (100 * n[:-1] >= SIMILAR * n[1:])
-        keep = np.r_[near, False] | np.r_[False, near]
-        keep |= often_hot[(token & np.uint64(COUNTERS - 1)).astype(np.int64)]
+        apart = often_hot[(token & np.uint64(COUNTERS - 1)).astype(np.int64)]
+        keep = np.r_[near, False] | np.r_[False, near] | apart
+        token, key, n, ask, apart = token[keep], key[keep], n[keep], ask[keep].astype(np.int64), apart[keep]
+        with np.errstate(over="ignore"):
+            bucket = np.concatenate([_mixed(token + (size_class(n) + np.uint64(i)) * np.uint64(_BASE)) for i in (0, 1)])
+        key, n, ask, apart = (np.concatenate([x, x]) for x in (key, n, ask, apart))
+        columns = bucket_stars(bucket[~apart], key[~apart], n[~apart], ask[~apart])
+        # Entries of shingles that several shards hold stay as they are.
+        open_, none = int(apart.sum()), np.zeros(0, np.int64)
+        rest = {"b": key[apart], "n": n[apart], "least": ask[apart], "bucket": bucket[apart].view(np.int64)}
+        done = len(columns["a"])
         return pa.table(
-            {"token": token[keep].astype(np.int64), "key": key[keep], "n": n[keep], "ask": ask[keep].astype(np.int64)}
+            {
+                c: pa.concat_arrays(
+                    [
+                        pa.array(columns[c], pa.int64()) if c in columns else pa.nulls(done, pa.int64()),
+                        pa.array(rest.get(c, none), pa.int64()) if c in rest else pa.nulls(open_, pa.int64()),
+                    ]
+                )
+                for c in names
+            }
         )
 
     often_hot = counts >= hot
-    return stored(
-        packed.groupBy("shard").applyInArrow(trimmed(meet), "token bigint, key bigint, n bigint, ask bigint"), "shared-entries"
+    names = ["a", "n_a", "b", "n", "shared", "least", "bucket"]
+    rows = scratch.stored(
+        packed.groupBy("shard").applyInArrow(trimmed(meet), ", ".join(f"{c} bigint" for c in names)), "shard-stars"
     )
-
-
-def star_pairs(sets: DataFrame) -> DataFrame:
-    """(a, b): each set with the smallest key of those that share one of its smallest hashes."""
-    mins = sets.select("key", F.posexplode("minima").alias("i", "least")).distinct()
-    heads = stored(
-        mins.groupBy("i", "least")
-        .agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("__n"))
-        .where("__n > 1")
-        .drop("__n"),
-        "heads",
+    spread = rows.where("bucket IS NOT NULL")
+    centres = spread.groupBy(F.col("bucket").alias("of")).agg(
+        F.min(F.struct("b", "n")).alias("c"), F.min("least").alias("low"), F.count_distinct("b").alias("size")
     )
-    pairs = join_counted(mins, heads, ["i", "least"], "inner")
-    return pairs.where("a <> key").select("a", F.col("key").alias("b")).distinct()
-
-
-def open_entries(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Stored entries with their components, of the shingles that sets of different components share."""
-    labelled = join_counted(entries, labels.withColumnRenamed("node", "key"), ["key"]).select(
-        "token", "key", "n", "ask", F.coalesce("component", "key").alias("component")
+    met = spread.join(centres.where("size > 1"), F.col("bucket") == F.col("of")).select(
+        F.col("c.b").alias("a"), F.col("c.n").alias("n_a"), "b", "n", F.lit(1).cast("bigint").alias("shared"), F.col("low").alias("least")
+    )
+    both = rows.where("bucket IS NULL").drop("bucket").unionByName(met)
+    whole = both.groupBy("a", "b").agg(
+        F.first("n_a").alias("n_a"), F.first("n").alias("n"), F.sum("shared").alias("shared"), F.min("least").alias("least")
     )
-    # Entries of one component only have nothing left to connect.
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = stored(mixed.where("low <> high").select("token"), "mixed-tokens")
-    return stored(join_counted(labelled, mixed, ["token"], "left_semi"), "open-entries")
+    stars = scratch.stored(whole, "stars")
+    scratch.drop(rows)
+    return stars
 
 
-def centre_pairs(left: DataFrame) -> DataFrame:
-    """(a, b): each open entry's set with one set of the same shingle, chosen by a hash of both.
+def _sets(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u8") for x in column.to_pylist()]
 
-    Every shingle has a centre of its own, so a large group of near copies meets
-    many of them and is connected by as many pairs as it has entries.
-    """
-    centre = F.min_by(F.struct("key", "component"), F.xxhash64("token", "key"))
-    centres = stored(left.groupBy("token").agg(centre.alias("c")).select("token", "c.*"), "centres")
-    centres = centres.select("token", F.col("key").alias("a"), F.col("component").alias("component_a"))
-    met = join_counted(left, centres, ["token"], "inner").where("component <> component_a")
-    return met.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
 
-
-def prefix_pairs(left: DataFrame) -> DataFrame:
-    """(a, b): sets of different components that share as many prefix entries as the smaller demand of the two."""
-    right = left.select(
-        "token", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "ask", "component")]
-    )
-    near = (
-        left.join(right, "token")
-        .where("component <> component_b AND (n < n_b OR n = n_b AND key < key_b)")
-        .where(100 * F.col("n") >= SIMILAR * F.col("n_b"))
-    )
-    return (
-        near.groupBy(F.col("key").alias("a"), F.col("key_b").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("ask", "ask_b")).alias("ask"))
-        .where("shared >= ask")
-        .select("a", "b")
-    )
+def similar(shared, n, m):
+    return 100 * shared >= SIMILAR * (n + m - shared)
 
 
-def similar_pairs(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Stored pairs whose sets are similar, compared exactly."""
+def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share as many prefix entries as the smaller demand and whose full sets are similar."""
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        """Views of the batch's own memory."""
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 8
-        values = np.frombuffer(column.buffers()[2] or b"", "<u8")
-        return [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    def common(x, y):
+        return len(np.intersect1d(x, y, assume_unique=True))
 
     def compare(batches):
         for batch in batches:
             kept = []
-            for x, y in zip(sets(batch.column("set_a")), sets(batch.column("set_b"))):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(100 * shared >= SIMILAR * (len(x) + len(y) - shared))
+            columns = [_sets(batch.column(c)) if c.startswith("body") else batch.column(c).to_pylist() for c in names]
+            for x, y, head_x, head_y, ask_x, ask_y in zip(*columns):
+                enough = common(x[:head_x], y[:head_y]) >= min(ask_x, ask_y)
+                kept.append(enough and similar(common(x, y), len(x), len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    ends = [bodies.select(F.col("key").alias(c), F.col("body").alias(f"set_{c}")) for c in ("a", "b")]
-    both = pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "set_a", "set_b")
-    with arrow_bytes(pairs.sparkSession, PAIR_BYTES):
-        return stored(both.mapInArrow(trimmed(compare), "a bigint, b bigint"), "similar-pairs")
+    names = [f"{c}_{side}" for c in ("body", "head", "ask") for side in ("a", "b")]
+    ends = [
+        bodies.select(F.col("key").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("body", "head", "ask")])
+        for c in ("a", "b")
+    ]
+    both = pairs.join(ends[1], "b").join(ends[0], "a").select("a", "b", *names)
+    return both.mapInArrow(trimmed(compare), "a bigint, b bigint")
+
+
+def block_links(star: DataFrame, labels: DataFrame, bodies: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): links that connect what is similar among the members of a star that are not connected with its centre.
 
+    These are compared with each other and with the rest of the star. ``star``: (a, b, n).
+    """
+    of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("component"))
+    of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("component_a"))
+    named = join_counted(join_counted(star, of_b, ["b"]), of_a, ["a"]).select(
+        "a", "b", "n", F.coalesce("component", "b").alias("component"), F.coalesce("component_a", "a").alias("of_centre")
+    )
+    named = named.withColumn("apart", F.col("component") != F.col("of_centre"))
+
+    def blocks_of(side):
+        return F.ceil(F.greatest(F.count_if(side) / BLOCK_SETS, F.sum(F.when(side, F.col("n") * 8)) / BLOCK_BYTES)).cast("int")
 
-def set_bodies(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """Stored (key, body): the sorted shingles of the documents whose ids are wanted."""
+    # The centre itself needs no second look: all were compared with it.
+    sizes = named.where("a <> b").groupBy("a").agg(
+        blocks_of(F.col("apart")).alias("blocks"),
+        F.coalesce(blocks_of(~F.col("apart")), F.lit(0)).alias("others"),
+        F.count(F.lit(1)).alias("size"),
+    )
+    sizes = scratch.stored(sizes.where("size > 1 AND blocks > 0").drop("size"), "stars-apart")
+    mine = join_counted(named.where("a <> b"), sizes, ["a"], "inner")
+    place, blocks, others = F.xxhash64("b"), F.col("blocks"), F.col("others")
+    own = F.when(F.col("apart"), F.pmod(place, blocks)).otherwise(blocks + F.pmod(place, others)).cast("int")
+    last = F.when(F.col("apart"), blocks + others).otherwise(blocks) - 1
+    dealt = mine.select("a", "b", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other")).select(
+        "a", "b", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    )
+    filled = dealt.join(bodies, dealt["b"] == bodies["key"]).drop("key")
+
+    def compare(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        own, head, ask = (table.column(c).to_numpy() for c in ("own", "head", "ask"))
+        key, component = (table.column(c).to_numpy() for c in ("b", "component"))
+        sets = _sets(table.column("body"))
+        left, right = (np.flatnonzero(own == k) for k in (i, j))
+        found = []
+        if len(left) and len(right) and len(np.unique(component)) > 1:
+            size = np.array([len(x) for x in sets])
+            heads = [[sets[k][: head[k]] for k in side] for side in (left, right)]
+            near = intersections(*heads) >= np.minimum(ask[left][:, None], ask[right][None, :])
+            near &= component[left][:, None] != component[right][None, :]
+            small, large = np.minimum(size[left][:, None], size[right][None, :]), np.maximum(size[left][:, None], size[right][None, :])
+            near &= 100 * small >= SIMILAR * large
+            left, right, near = left[near.any(1)], right[near.any(0)], near[near.any(1)][:, near.any(0)]
+            if near.size:
+                shared = intersections([np.sort(sets[k]) for k in left], [np.sort(sets[k]) for k in right])
+                near &= similar(shared, size[left][:, None], size[right][None, :])
+                found = [(key[left[x]], key[right[y]]) for x, y in joining_links(near)]
+        return pa.table({c: pa.array([f[k] for f in found], pa.int64()) for k, c in enumerate(("a", "b"))})
+
+    return filled.groupBy("a", "i", "j").applyInArrow(trimmed(compare), "a bigint, b bigint")
+
+
+def set_bodies(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, counts: np.ndarray, shingles: int) -> DataFrame:
+    """(key, head, ask, body): the shingles of each wanted (doc_id, key), once; the first ``head`` are its prefix, both parts sorted."""
+    sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def read(batches):
-        shingler = Shingler()
+        shingler, often = Shingler(), sent.value.astype(np.int64)
         for batch in batches:
-            found = [shingler(x) for x in _bytes(batch, "text")]
+            keys, heads, asks, bodies = [], [], [], []
+            for value in _bytes(batch, "text"):
+                found = shingler(value)
+                if not len(found):
+                    continue
+                chosen, ask = prefix(found, often, shingles / COUNTERS)
+                keys.append(set_key(found))
+                heads.append(len(chosen))
+                asks.append(ask)
+                rest = np.setdiff1d(found, chosen, assume_unique=True)
+                bodies.append(np.concatenate([np.sort(chosen), rest]).astype("<u8").tobytes())
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([set_key(x) for x in found], pa.int64()),
-                    pa.array([x.astype("<u8").tobytes() for x in found], pa.binary()),
-                ],
-                ["key", "body"],
+                [pa.array(c, t) for c, t in zip((keys, heads, asks, bodies), types)], ["key", "head", "ask", "body"]
             )
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = join_counted(rows, wanted, ["doc_id"], "left_semi", limit=CANDIDATE_IDS)
-    return stored(rows.select("text").mapInArrow(trimmed(read), "key bigint, body binary"), "set-bodies")
+    rows = join_counted(rows, wanted.select("doc_id").distinct(), ["doc_id"], "left_semi", limit=CANDIDATE_IDS)
+    named = rows.select("text").mapInArrow(trimmed(read), "key bigint, head bigint, ask bigint, body binary")
+    # Rows that share a doc_id with a wanted one have other sets; repeated rows count once.
+    return named.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -399,40 +478,44 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     component of such rows alone has a null id. Repeated rows stay, other columns
     are ignored, an empty table gives an empty result.
     """
-    sets, pieces = document_sets(lean(docs), doc_id, text)
-    counts = sketch_counts(pieces)
-    real = sets.where("n > 0")
-    reps = stored(
-        real.groupBy("key").agg(
-            F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.first("minima").alias("minima")
-        ),
-        "distinct-sets",
-    )
-    entries = shared_entries(docs, doc_id, text, counts, int(counts.sum()))
-    stars = stored(star_pairs(reps), "star-pairs")
-    wanted = entries.select("key").union(stars.select(F.explode(F.array("a", "b")))).distinct()
-    wanted = stored(wanted.join(reps.select("key", "doc_id"), "key").select("doc_id").distinct(), "wanted")
-    bodies = set_bodies(docs, doc_id, text, wanted)
-    first = similar_pairs(stars, bodies)
-    labels = connected_components(first)
-    for pairs_of in (centre_pairs, prefix_pairs):
-        left = open_entries(entries, labels)
-        found = similar_pairs(stored(pairs_of(left), "candidate-pairs"), bodies)
-        known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        labels = connected_components(known.unionByName(found))
-    final = labels
-
-    groups = reps.join(final, reps["key"] == final["node"], "left").select(
-        "key", "doc_id", "rows", F.coalesce("component", "key").alias("component"), F.col("node").isNotNull().alias("linked")
-    )
-    groups = stored(groups.where("linked OR rows > 1"), "groups")
-    lowest = stored(groups.groupBy("component").agg(F.min("doc_id").alias("component_id")), "lowest-ids")
-    named = stored(groups.join(lowest, "component").select("key", "component_id", F.lit(True).alias("__in")), "named")
-    return join_counted(sets, named, ["key"]).select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("__in") & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    spark = docs.sparkSession
+    with Scratch(spark) as scratch, arrow_bytes(spark, BATCH_BYTES):
+        sets, pieces = document_sets(docs, doc_id, text, scratch)
+        counts = sketch_counts(pieces)
+        shingles = int(counts.sum())
+        reps = scratch.stored(
+            sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows")),
+            "distinct-sets",
+        )
+        stars = entry_stars(docs, text, counts, shingles, scratch)
+        # Sets whose entries, all partners together, are as many as the least demand they can meet.
+        able = stars.groupBy(F.col("b").alias("key")).agg(F.sum("shared").alias("s"), F.min("least").alias("least"))
+        able = able.where("s >= least").select("key")
+        wanted = scratch.stored(able.join(reps.select("key", "doc_id"), "key"), "wanted")
+        bodies = scratch.stored(set_bodies(docs, doc_id, text, wanted, counts, shingles), "set-bodies")
+        star = scratch.stored(stars.join(wanted.select(F.col("key").alias("b")), "b", "left_semi").drop("shared", "least"), "star")
+        scratch.drop(stars, wanted)
+        close = star.where("a <> b AND 100 * least(n, n_a) >= %d * greatest(n, n_a)" % SIMILAR).select("a", "b")
+        links = scratch.stored(verified(close, bodies), "star-links")
+        first = united(links, scratch)
+        more = scratch.stored(block_links(star.select("a", "b", "n"), first, bodies, scratch), "block-links")
+        scratch.drop(star, bodies, links)
+        hung = first.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
+        labels = united(hung.unionByName(more), scratch)
+        scratch.drop(first, more)
+        named = reps.join(labels.withColumnRenamed("node", "key"), "key", "left")
+        linked = scratch.stored(named.where("component IS NOT NULL OR rows > 1"), "linked-sets")
+        root = F.coalesce("component", "key")
+        lowest = linked.groupBy(root.alias("root")).agg(F.min("doc_id").alias("component_id"))
+        of_key = linked.select("key", root.alias("root")).join(lowest, "root").select(
+            "key", "component_id", F.lit(True).alias("__in")
+        )
+        of_key = scratch.stored(of_key, "components-of-sets")
+        component = F.when(F.col("__in") & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
+        result = join_counted(sets, of_key, ["key"]).select(
+            "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")
+        )
+        return stored(result, "similar-documents")
 
 
 def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
