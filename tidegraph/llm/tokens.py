@@ -6,7 +6,7 @@ same place far enough from the left chunk's end. From there on both agree with t
 encoding of the whole text: pre-tokens are found from left to right without looking
 back, so what follows a common beginning depends only on what follows it, and up to
 there the left chunk has seen all that a pre-token or a special string can look at.
-If the overlap holds no such place, it is doubled, and at last the chunks are joined.
+If the overlap holds no such place, it is doubled, and at last the left chunk itself.
 """
 
 from __future__ import annotations
@@ -80,10 +80,11 @@ def spliced_ids(
         while True:
             right_start = left_end - width
             if right_start <= left_start:
-                # Not even the whole left chunk has a common beginning: encode both as one.
-                joined, joined_begins = _encoded(tokenizer, text[left_start:right_end], left_start)
+                # Not even the whole left chunk has a common beginning: encode it again with as much
+                # text once more behind it, so that all that is encoded adds up to a few times the text.
+                left_end = min(len(text), left_end + max(chunk, left_end - left_start))
                 # Ids before the splice are final; the left chunk began at a true pre-token.
-                ids, begins, left_end = joined, joined_begins, right_end
+                ids, begins = _encoded(tokenizer, text[left_start:left_end], left_start)
                 break
             right_ids, right_begins = _encoded(tokenizer, text[right_start:right_end], right_start)
             common = [p for p in right_begins if right_start < p <= left_end - guard and p in begins]
