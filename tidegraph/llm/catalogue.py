@@ -160,16 +160,12 @@ def op8_adaptive_prefixes(spark, sf_dir):
 @query()
 def op9_hypergeometric_shards(spark, sf_dir):
     """All documents in 16 shards whose sizes are at most one apart."""
+    rows = documents(spark, sf_dir).select("doc_id", "source", "text")
     text = F.coalesce("text", F.lit(""))
-    rows = documents(spark, sf_dir).select(
+    return sharding.hypergeometric_shards(rows, ["doc_id", "text"]).select(
         "doc_id",
         F.when(F.col("text").isNull(), 1).otherwise(F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-    )
-    return sharding.hypergeometric_shards(rows, ["doc_id", "size", "text_crc32"]).select(
-        "doc_id",
-        "size",
-        "text_crc32",
         F.lit("rows").alias("law"),
         F.col("shard").cast("int").alias("shard"),
         "slot",
