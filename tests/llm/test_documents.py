@@ -407,7 +407,7 @@ def test_stars_of_near_copies_grow_with_their_number(spark, edits, monkeypatch):
             frame = spark.createDataFrame(rows, "doc_id bigint, text string")
             got = {r["doc_id"]: r["component_id"] for r in shingle_join.similar_documents(frame).collect()}
         found[m] = sizes[0]
-        assert got == corpus.similar_components([{"doc_id": i, "text": t} for i, t in rows])
+        assert got == corpus.similar_components(rows)
     assert found[160] < 7 * found[40]
 
 

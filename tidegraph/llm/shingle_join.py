@@ -39,7 +39,8 @@ SIMILAR = 75  # Percent of the union that is shared.
 # Counters of the sketch, and how many are sent in one piece.
 COUNTERS, PIECE = 1 << 20, 1 << 12
 LONGEST = 16  # The largest number of shared entries asked for.
-SHARD_ENTRIES = 1_000_000
+# Entries of a shard on average, and the fewest shards: small inputs keep many cores busy too.
+SHARD_ENTRIES, FEWEST_SHARDS = 1_000_000, 64
 # Entries of a shingle above which it is spread over several shards.
 HOT_ENTRIES = 2_000_000
 BATCH_BYTES = 8_000_000  # Of texts, or of pairs of sets, that a worker looks at together.
@@ -233,11 +234,12 @@ def entry_stars(docs: DataFrame, text: str, counts: np.ndarray, shingles: int, s
     """Stored (a, n_a, b, n, shared, least): the stars of all shingles that several prefixes hold (see bucket_stars).
 
     A bucket holds the sets of two neighbouring classes of sizes that share a prefix
-    entry. Entries travel packed, a row per batch and shard.
+    entry. Entries travel packed, a row per batch and shard. A shard gives a row per
+    member and centre, so there are never more rows than twice the entries.
     """
     spark = docs.sparkSession
     usual = shingles / COUNTERS
-    shards = max(1, math.ceil(0.3 * shingles / SHARD_ENTRIES))
+    shards = max(FEWEST_SHARDS, math.ceil(0.3 * shingles / SHARD_ENTRIES))
     sent = spark.sparkContext.broadcast(counts)
     hot = HOT_ENTRIES
 
