@@ -255,6 +255,24 @@ def snapshot_delta_by_time(spark, sf):
     return _state(model.snapshot_at_time(q.ORDERS_T), "id", "src", "dst", "attributes")
 
 
+@query(f"WITH {q.NATION_EDGES}, {q.state('edges', q.ORDERS_T)} SELECT id, src, dst, attributes FROM state")
+def snapshot_nearest(spark, sf):
+    """The state of the edges out of a later snapshot: of windows of 270 days, in whose second half the time asked lies."""
+    model = saved(spark, SnapshotGraph.from_log(edges(spark, sf), every_seconds=270 * _DAY, backward=True))
+    return _state(model.snapshot_at_time(q.ORDERS_T), "id", "src", "dst", "attributes")
+
+
+_NATIONS_BACK = "1998-05-20 00:00:00"
+
+
+@query(f"WITH {q.NATIONS}, {q.state('nations', _NATIONS_BACK)} SELECT entity_type, id, attributes FROM state")
+def snapshot_nearest_with_ties(spark, sf):
+    """All nations go back from the state after the last entry."""
+    log = nations(spark, sf)
+    model = saved(spark, SnapshotGraph.from_log(log, every_actions=1_000_000_000, backward=True))
+    return _state(model.snapshot_at_time(_NATIONS_BACK))
+
+
 @query(f"WITH {q.USERS}, {q.state('users')} SELECT id, attributes FROM state")
 def current_graph(spark, sf):
     return cl.flat(IntervalGraph.from_log(users(spark, sf)).current_graph().vertices)
@@ -437,7 +455,8 @@ sums AS (SELECT id, CAST(sum(o) + sum(i) AS BIGINT) AS degree FROM ends GROUP BY
 ranked AS (SELECT id, degree, row_number() OVER (ORDER BY degree, id) - 1 AS place, count(*) OVER () AS n FROM sums),
 chosen AS (SELECT DISTINCT id, degree FROM ranked JOIN range(20) r(i) ON place = CAST(floor(i / 20 * (n - 1)) AS BIGINT)),
 pairs AS (SELECT src AS id, dst AS neighbour FROM edges UNION SELECT dst, src FROM edges)
-SELECT id, degree, count(*) AS found FROM chosen JOIN pairs USING (id) GROUP BY id, degree""")
+SELECT model, id, degree, count(*) AS found FROM chosen JOIN pairs USING (id), (VALUES ('intervals'), ('snapshots')) m(model)
+GROUP BY model, id, degree""")
 def q1_neighbours_by_degree(spark, sf):
     sessions = tp.merge_contacts(samples.nation_contacts(spark, sf), 30 * _DAY)
     return sweeps.neighbours_by_degree(edges(spark, sf), sessions)

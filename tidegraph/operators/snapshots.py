@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,6 +10,7 @@ from ..functions.attributes import other_end
 from ..functions.intervals import within
 from ..functions.times import MICROS, epoch_micros, floor_div, instant, micros_to_ts
 from ..schema import CHANGELOG, CREATE, ENTITY, ORDER, SNAPSHOT_INDEX, STATE, conform
+from .backward import between, undo_entries, undo_logs
 from .changelog import (
     apply_logs,
     create_graph_from_logs,
@@ -39,6 +40,8 @@ class Snapshots:
     attributes: str = "merge"
     # The log once more, in buckets of entities (see ``in_buckets``); only stored models have it.
     entries: DataFrame | None = None
+    # What was before each entry (see ``backward``); with it a state may come from a later snapshot.
+    undo: DataFrame | None = None
 
 
 def _every(log: DataFrame, at: str, width: int, origin: int, last: int, attributes: str, hot_rows) -> DataFrame:
@@ -168,6 +171,28 @@ def snapshot_delta(model: Snapshots, t) -> DataFrame:
     return apply_logs(conform(state, STATE), model.log.where(_since(snapshot, t)), model.attributes)
 
 
+def with_undo(model: Snapshots, hot_rows: int | None = None) -> Snapshots:
+    """The model with its undo table, for states from the nearer snapshot on either side."""
+    return replace(model, undo=undo_entries(model.log, model.attributes, hot_rows))
+
+
+def snapshot_nearest(model: Snapshots, t) -> DataFrame:
+    """State at a time: the snapshot nearest in time, replayed forward or backward.
+
+    No more than half the time between two snapshots is replayed. The result is that of
+    ``snapshot_delta``; a model without an undo table is answered by it.
+    """
+    if model.undo is None:
+        return snapshot_delta(model, t)
+    # Driver value: one row of the index, with the time asked as the index's type.
+    later = (F.col("snapshot_ts") > instant(t)).alias("later")
+    snapshot = closest_snapshot(model.index, t).select("*", later).first()
+    if snapshot is None or not snapshot["later"]:
+        return snapshot_delta(model, t)
+    state = conform(model.states.where(F.col("snapshot_no") == snapshot["snapshot_no"]), STATE)
+    return undo_logs(state, model.undo.where(between(snapshot, t)))
+
+
 # Partition columns of the log by entity: how many buckets there are, and the entity's.
 BUCKETS, BUCKET, BUCKET_ROWS, MOST_BUCKETS = "buckets", "bucket", 1_000_000, 4096
 

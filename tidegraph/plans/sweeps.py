@@ -195,22 +195,25 @@ def activated_by_share(log: DataFrame, parts: int = 21) -> DataFrame:
 
 
 def neighbours_by_degree(log: DataFrame, edges: DataFrame, steps: int = 20) -> DataFrame:
-    """Neighbours over all time of ``steps`` vertices spread evenly over the degree order."""
+    """Neighbours over all time of ``steps`` vertices spread evenly over the degree order, from both models."""
     ranked = dense_index(g.in_out_degree_sum(edges), ["degree", "id"])
     size = ranked.count()
     places = {int(i / steps * (size - 1)) for i in range(steps)} if size else set()
     chosen = ranked.where(F.col("position").isin(sorted(places))).select("id", "degree")
-    # As many vertices as steps, so this side is small.
-    touching = log.where((F.col("entity_type") == EDGE) & (F.col("action") == CREATE)).select(
-        F.inline(
-            F.array(
-                F.struct(F.col("src").alias("id"), F.col("dst").alias("neighbour")),
-                F.struct(F.col("dst").alias("id"), F.col("src").alias("neighbour")),
-            )
-        )
+    # Both stored models hold edges by vertex; over all time every life and every CREATE counts.
+    intervals = saved(log, IntervalGraph.from_log(log))
+    snapshots = saved(log, SnapshotGraph.from_log(log, every_actions=max(log.count() // 10, 1)))
+    ends = {"intervals": intervals.ends, "snapshots": snapshots.ends.where(F.col("action") == CREATE)}
+    # As many vertices as steps, so this side is small and its ids reach the scan.
+    few = F.broadcast(chosen.withColumnRenamed("id", "vertex"))
+    return together(
+        touching.join(few, "vertex")
+        .select(F.lit(name).alias("model"), F.col("vertex").alias("id"), "degree", "other")
+        .distinct()
+        .groupBy("model", "id", "degree")
+        .agg(F.count(F.lit(1)).alias("found"))
+        for name, touching in ends.items()
     )
-    pairs = touching.join(F.broadcast(chosen), "id").select("id", "degree", "neighbour").distinct()
-    return pairs.groupBy("id", "degree").agg(F.count(F.lit(1)).alias("found"))
 
 
 def entity_by_spacing(

@@ -122,12 +122,16 @@ class SnapshotGraph(TemporalGraph):
         every_actions: int | None = None,
         attributes: str = "merge",
         hot_rows: int | None = None,
+        backward: bool = False,
     ) -> "SnapshotGraph":
+        """Either spacing; with ``backward`` also the undo table, so states come from the nearer snapshot."""
         if (every_seconds is None) == (every_actions is None):
             raise ValueError("give either every_seconds or every_actions")
         if every_seconds is not None:
-            return cls(sn.snapshots_by_time(log, every_seconds, attributes, hot_rows))
-        return cls(sn.snapshots_by_count(log, every_actions, attributes, hot_rows))
+            model = sn.snapshots_by_time(log, every_seconds, attributes, hot_rows)
+        else:
+            model = sn.snapshots_by_count(log, every_actions, attributes, hot_rows)
+        return cls(sn.with_undo(model, hot_rows) if backward else model)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, attributes: str = "merge") -> "SnapshotGraph":
@@ -138,7 +142,7 @@ class SnapshotGraph(TemporalGraph):
         store.save_snapshots(self.model, path)
 
     def snapshot_at_time(self, t) -> DataFrame:
-        return sn.snapshot_delta(self.model, t)
+        return sn.snapshot_nearest(self.model, t)
 
     def entity_at_time(self, entity_type: str, id_: int, t) -> DataFrame:
         return sn.entity_at_delta(self.model, entity_type, id_, t)

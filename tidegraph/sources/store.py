@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..operators.backward import UNDO, undo_entries
 from ..operators.changelog import is_lifecycle
 from ..operators.graph import PropertyGraph
 from ..operators.growing import (
@@ -189,7 +190,7 @@ def load_ends(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_snapshots(model: Snapshots, path: str) -> None:
-    """States in one folder per snapshot, the index and the log."""
+    """States in one folder per snapshot, the index, the log, and the undo table of a model that has one."""
     states = model.states.repartitionByRange("snapshot_no", "entity_type", "id")
     # Sorted the same way, each task holds few snapshots and writes few files.
     states.sortWithinPartitions("snapshot_no", "entity_type", "id").write.partitionBy("snapshot_no").parquet(
@@ -202,6 +203,8 @@ def save_snapshots(model: Snapshots, path: str) -> None:
     _by_vertex(action_ends(log), "ts").write.parquet(f"{path}/ends")
     _save_entries(log, f"{path}/entries")
     _save_firsts(first_creations(log), f"{path}/firsts")
+    if model.undo is not None:
+        _by_time(undo_entries(log, model.attributes)).write.parquet(f"{path}/undo")
 
 
 def _save_entries(log: DataFrame, path: str) -> None:
@@ -218,4 +221,5 @@ def load_snapshots(spark: SparkSession, path: str, attributes: str = "merge") ->
         spark.read.schema(CHANGELOG).parquet(f"{path}/log"),
         attributes,
         spark.read.schema(_ENTRIES).parquet(f"{path}/entries"),
+        spark.read.schema(UNDO).parquet(f"{path}/undo") if exists(spark, f"{path}/undo") else None,
     )
