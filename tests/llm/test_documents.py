@@ -173,6 +173,38 @@ def test_pareto_sampling_is_fair(spark):
     assert 1.0 <= share <= 2.0 and len({taken[i] for i in range(40)}) > 1
 
 
+def plain_chances(sizes, words):
+    """Probability of each size in proportion to it, up to one, that adds up to the words."""
+    certain = set()
+    while True:
+        free = [s for s in sizes if s not in certain]
+        rate = (words - sum(s for s in sizes if s in certain)) / sum(s * s for s in free)
+        more = {s for s in free if rate * s >= 1}
+        if not more:
+            return {s: 1.0 if s in certain else rate * s for s in sizes}
+        certain |= more
+
+
+def test_inclusion_follows_the_sizes(spark):
+    """Of one source, half of whose words are taken twice: long documents more often, the longest always."""
+    sizes = [1, 2, 4] * 1500 + [3000] * 2 + [2500] + [9000]
+    rows_ = [(i, "w " * n, "en", "s0", 7, *["clash"] * 8) for i, n in enumerate(sizes)]
+    chance = plain_chances(sizes, sum(sizes) / 2)
+    assert chance[9000] == 1 and chance[1] < chance[2] < chance[4] < 1
+    got = mixing.pareto_mixture(corpus.frame(spark, rows_, 2), seed=5).collect()
+    copies = defaultdict(list)
+    for row in got:
+        copies[row["__size"]].append(row["__copies"] - 1)
+    assert copies[9000] == [1]
+    for n in (1, 2, 4):
+        drawn, p, rows_n = sum(copies[n]), chance[n], len(copies[n])
+        # Five standard errors, and what one of the long documents more or less lets in.
+        moved = sum(s * (1 - chance[s]) for s in (2500, 3000, 3000))
+        assert abs(drawn / rows_n - p) <= 5 * (p * (1 - p) / rows_n) ** 0.5 + moved / sum(s for s in sizes if s <= 4)
+    # What is promised: half of the largest document that may be left over.
+    assert abs(sum(r["__size"] * r["__copies"] for r in got) - 1.5 * sum(sizes)) <= 3000 / 2
+
+
 # Removal of repeats
 
 
@@ -241,6 +273,22 @@ def test_repeats_without_broadcasts(docs, data, monkeypatch):
     assert got == {i: sum(m) for i, m in corpus.covered_bytes(data, 100).items()}
 
 
+def test_repeats_of_ids_with_several_texts(spark):
+    """Rows of one doc_id with other text are other documents, the one with the smaller digest first."""
+    rnd = random.Random(4)
+    a, b, shared = ("".join(rnd.choices("abcdefgh ", k=300)) for _ in range(3))
+    later = sorted([b + shared, shared + a[:120]], key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    rows_ = [(n, t, *[None] * 11) for n, t in [(1, a), (5, a), *[(5, t) for t in later], (7, later[0]), (7, later[0]), (9, "short"), (9, None)]]
+    # Numbered in the order that is stated, the rest is the plain rule.
+    order = sorted({(n, hashlib.sha256((t or "").encode()).hexdigest(), t or "") for n, t, *_ in rows_}, key=lambda x: x[:2])
+    marks = corpus.covered_bytes([(i, t, *[None] * 11) for i, (_, _, t) in enumerate(order)], 100)
+    want = {(n, len(t), sum(marks[i])) for i, (n, _, t) in enumerate(order)}
+    got = repeats.without_repeats(corpus.frame(spark, rows_)).collect()
+    assert len(got) == len(rows_)
+    assert {(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got} == want
+    assert (5, 300, 300) in want and all(r["n_removed"] < r["n_bytes"] for r in got if r["doc_id"] == 5 and r["n_bytes"] > 300)
+
+
 def test_repeats_of_odd_tables(empty, twice):
     assert repeats.without_repeats(empty).count() == 0
     assert repeats.without_repeats(twice).count() == twice.count()

@@ -22,8 +22,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.ordered import dense_index
 from ..storage import stored
 from .common import join_counted, lean, trimmed
 from .suffixes import permuted_prefixes, suffix_array
@@ -333,8 +334,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A byte goes if a string of ``length`` bytes over it also starts earlier: in a
     smaller doc_id (null is smallest) or further left. Bytes are those of the UTF-8
-    text, null is empty, no string crosses documents. Ids are whole numbers; rows with
-    one doc_id should be equal, and none of them counts as earlier than another.
+    text, null is empty, no string crosses documents. Ids are whole numbers. Equal rows of
+    one doc_id are treated alike and none of them counts as earlier than another; where
+    rows of one doc_id differ in text, that with the smaller SHA-256 of its text is earlier.
     Other columns are kept, an empty table gives an empty result.
     """
     key = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_FIRST))
@@ -344,6 +346,14 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     digests = stored(
         rows.where(F.length("text") >= length).select("doc", F.sha2("text", 256).alias("digest")), "text-digests"
     )
+    # Texts of one doc_id get numbers in their place, which keep the order. Mostly there are none.
+    by_doc = digests.groupBy("doc").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
+    numbers = None
+    if not by_doc.where("a <> b").isEmpty():
+        numbers = dense_index(digests.distinct(), ["doc", "digest"], "number")
+        rows = _numbered(rows, F.col("doc"), F.col("text"), numbers).where(F.col("__number").isNotNull())
+        rows = rows.select(F.col("__number").alias("doc"), "text")
+        digests = numbers.select(F.col("number").alias("doc"), "digest")
     firsts = stored(
         digests.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies"
     )
@@ -397,12 +407,22 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "removals",
     )
     amount = runs.agg(F.sum(F.aggregate("places", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)))).first()[0]
-    keyed = docs.withColumn("doc__key", key)
+    if numbers is None:
+        keyed = docs.withColumn("doc__key", key)
+    else:
+        keyed = _numbered(docs, key, body, numbers).withColumnRenamed("__number", "doc__key")
     found = packed_runs.withColumnRenamed("doc", "found__key")
     joined = _join_on(keyed, found, "doc__key", "found__key", "left", (amount or 0) + 40 * copies.count())
     return joined.select(*docs.columns, F.col("found").alias("__found"))
 
 
+def _numbered(rows: DataFrame, doc: Column, body: Column, numbers: DataFrame) -> DataFrame:
+    """``rows`` with ``__number``, the place of their text among all, null for texts that have none."""
+    places = numbers.withColumnsRenamed({"doc": "__of", "digest": "__digest", "number": "__number"})
+    match = (doc == F.col("__of")) & (F.sha2(body, 256) == F.col("__digest"))
+    return rows.join(places, match, "left").drop("__of", "__digest")
+
+
 def _join_on(left: DataFrame, right: DataFrame, a: str, b: str, how: str, amount: int) -> DataFrame:
     """Broadcast the right side only if its bytes, counted before, are few."""
     return left.join(F.broadcast(right) if amount <= BROADCAST_BYTES else right, left[a] == right[b], how).drop(b, a)
