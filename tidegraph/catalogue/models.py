@@ -201,10 +201,9 @@ UNION ALL {_parts_sql(10)} UNION ALL {_parts_sql(100)}""")
 def storage_comparison(spark, sf):
     """What a log takes as intervals and with 10 and 100 snapshots, read back from what is stored."""
     log = users(spark, sf)
-    entries = log.count()
-    models = {
-        f"{n} snapshots": saved(spark, SnapshotGraph.from_log(log, every_actions=max(entries // n, 1))).model for n in (10, 100)
-    }
+    entries, numbers = log.count(), (10, 100)
+    graphs = SnapshotGraph.each_from_log(log, [max(entries // n, 1) for n in numbers])
+    models = {f"{n} snapshots": saved(spark, graph).model for n, graph in zip(numbers, graphs)}
     return ms.storage_comparison(saved(spark, IntervalGraph.from_log(log)).intervals, models)
 
 
