@@ -2,6 +2,7 @@
 
 import pytest
 
+from tidegraph.catalogue import models
 from tidegraph.operators import changelog as cl, snapshots
 from tidegraph.plans.temporal_graph import SnapshotGraph
 from tidegraph.sources import store
@@ -55,3 +56,16 @@ def test_an_empty_log_and_a_model_of_states_alone_are_stored(spark):
     path = new_path(spark, "states")
     store.save_snapshots(snapshots.Snapshots(model.states, model.index, model.log), path)
     assert store.load_snapshots(spark, path).states.count() == model.states.count() > 0
+
+
+def test_text_of_a_state_is_made_once_for_all_its_snapshots(spark, monkeypatch):
+    log = static(spark, 3, 40)
+    monkeypatch.setattr(models, "users", lambda *_: log)
+    every = snapshots.snapshots_by_count
+    monkeypatch.setattr(snapshots, "snapshots_by_count", lambda log, _: every(log, 5))
+    found = models.snapshots_by_count(spark, "x")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Top down: the states are repeated after their text is made.
+    assert 0 < plan.index("explode(sequence(") < plan.index("array_join(")
+    want = cl.flat(every(log, 5).states).select(*found.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))

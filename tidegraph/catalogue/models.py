@@ -138,7 +138,9 @@ def snapshots_by_time(spark, sf):
 
 @query(f"WITH {q.USERS}, {_BY_COUNT} SELECT * FROM snapshots")
 def snapshots_by_count(spark, sf):
-    return _state(user_snapshots_by_count(spark, sf).states, "snapshot_no", *_STATE)
+    # The attributes become text once per run, not again in every snapshot through which a state stands.
+    runs = cl.flat(sn.runs_of(user_snapshots_by_count(spark, sf)))
+    return sn.each_snapshot(runs).select("snapshot_no", *_STATE)
 
 
 _INDEX_COUNT = f"""
